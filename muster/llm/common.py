@@ -56,7 +56,9 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     """UTF-8 bytes of a string column and each row's bounds in them; null is empty. No copy of the bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()) if column.null_count == 0 else column.fill_null("").cast(pa.large_binary())
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = column.fill_null(b"")
     bounds = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None and column.buffers()[2].size else np.zeros(0, np.uint8)
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]

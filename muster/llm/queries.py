@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, ngram_join, quality, simple8b, spm
+from . import decontam, exact_dedup, ngram_join, quality, simple8b, spm, suffix_dedup
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_exact_dedup, op5_decontamination, op8_ngram_jaccard, op9_quality, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_exact_dedup, op5_decontamination, op6_suffix_dedup, op8_ngram_jaccard, op9_quality, op10_sentencepiece)}
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
