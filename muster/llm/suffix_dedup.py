@@ -430,14 +430,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     table gives no rows.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
+    scratch, n = Scratch(spark, "repeats"), partitions(spark)
     slots = 4 * n
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     odd = rows.select("doc_id").groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if odd.isEmpty():
         named, names = rows.withColumnRenamed("doc_id", "doc"), None
     else:  # numbers in order of (doc_id, text's hash), one for rows equal in both
-        scratch = Scratch(spark, "repeats")
         key = [F.col("doc_id").asc_nulls_first(), F.col("sha").asc()]
         distinct = rows.select("doc_id", F.sha2("text", 256).alias("sha")).distinct()
         names = scratch.write(distinct.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("doc", F.monotonically_increasing_id()), "names")
@@ -448,9 +447,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def dealt(df):
         return df.repartition(n, "slot").sortWithinPartitions("slot", "kind", "doc")
 
-    found = dealt(named.mapInArrow(_find(slots), PACKED_DDL)).mapInArrow(_repeated(slots), PACKED_DDL)
+    # Between the steps small tables are written, so that each step's shuffle files can go before the next.
+    found = scratch.write(dealt(named.mapInArrow(_find(slots), PACKED_DDL)).mapInArrow(_repeated(slots), PACKED_DDL), "runs")
     strings = dealt(found.union(texts)).mapInArrow(_strings(slots), PACKED_DDL)
-    marks = dealt(strings).mapInArrow(_mark(slots), PACKED_DDL)
+    marks = scratch.write(dealt(strings).mapInArrow(_mark(slots), PACKED_DDL), "marks")
+    scratch.drop(found)
     out = dealt(marks.union(texts)).mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if names is not None:
         out = out.withColumnRenamed("doc_id", "doc").join(names.select("doc", "doc_id"), "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
