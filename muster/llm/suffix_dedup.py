@@ -28,7 +28,7 @@ from .common import Scratch, bytes_of, mix, partitions
 
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
-SLAB = 1 << 21
+SLAB, PART = 1 << 21, 3 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: doc (its row's number or id), first window, windows but one, low bits of the anchor's hash, target
 RUN = np.dtype([("doc", "<i8"), ("at", "<i4"), ("more", "u1"), ("low", "<u4"), ("part", "<i4")])
@@ -332,24 +332,26 @@ def _mark(slots: int):
     def run(batches):
         for _, rows in _slots(batches):
             out = [(r["slot"], MARKS, None, r["blob"], None) for r in rows if r["kind"] == MARKS]
+            strings = [r for r in rows if r["kind"] == STRINGS]
             marks = []
-            distinct: dict[bytes, tuple[int, int]] = {}
-            for r in rows:
-                if r["kind"] != STRINGS:
-                    continue
+            # A slot is worked off in parts that again hold all runs of an anchor.
+            parts = sum(len(r["extra"]) for r in strings) // PART + 1
+            distinct: list[dict[bytes, tuple[int, int]]] = [{} for _ in range(parts)]
+            for r in strings:
                 runs, text, at = np.frombuffer(r["blob"], RUN), r["extra"], 0
-                for doc, begin, more in zip(runs["doc"].tolist(), runs["at"].tolist(), runs["more"].tolist(), strict=True):
+                for doc, begin, more, part in zip(runs["doc"].tolist(), runs["at"].tolist(), runs["more"].tolist(), (runs["low"] % parts).tolist(), strict=True):
                     string = text[at : at + more + WINDOW]
                     at += len(string)
-                    known = distinct.get(string)
+                    known = distinct[part].get(string)
                     if known is None:
-                        distinct[string] = (doc, begin)
+                        distinct[part][string] = (doc, begin)
                     else:  # a whole string again: the later place goes
                         late = max(known, (doc, begin))
-                        distinct[string] = min(known, (doc, begin))
+                        distinct[part][string] = min(known, (doc, begin))
                         marks.append((late[0], late[1], late[1] + len(string)))
-            if len(distinct) > 1:
-                marks += _windows(distinct)
+            while distinct:
+                if len(found := distinct.pop()) > 1:
+                    marks += _windows(found)
             if marks:
                 m = np.array(marks, MARK)
                 out += [(s, MARKS, None, x.tobytes(), None) for s, (x,) in _by(slot_of(m["doc"], slots), m)]
@@ -430,8 +432,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     table gives no rows.
     """
     spark = docs.sparkSession
-    scratch, n = Scratch(spark, "repeats"), partitions(spark)
-    slots = 4 * n
+    scratch, slots = Scratch(spark, "repeats"), partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     odd = rows.select("doc_id").groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if odd.isEmpty():
@@ -439,13 +440,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     else:  # numbers in order of (doc_id, text's hash), one for rows equal in both
         key = [F.col("doc_id").asc_nulls_first(), F.col("sha").asc()]
         distinct = rows.select("doc_id", F.sha2("text", 256).alias("sha")).distinct()
-        names = scratch.write(distinct.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("doc", F.monotonically_increasing_id()), "names")
+        names = scratch.write(distinct.repartitionByRange(slots, *key).sortWithinPartitions(*key).withColumn("doc", F.monotonically_increasing_id()), "names")
         own = rows.withColumn("own", F.sha2("text", 256))
         named = own.join(names, own["doc_id"].eqNullSafe(names["doc_id"]) & (F.col("own") == F.col("sha"))).select("doc", "text")
     texts = named.mapInArrow(_dealt(slots), PACKED_DDL)
 
     def dealt(df):
-        return df.repartition(n, "slot").sortWithinPartitions("slot", "kind", "doc")
+        return df.repartitionById(slots, F.col("slot")).sortWithinPartitions("slot", "kind", "doc")
 
     # Between the steps small tables are written, so that each step's shuffle files can go before the next.
     found = scratch.write(dealt(named.mapInArrow(_find(slots), PACKED_DDL)).mapInArrow(_repeated(slots), PACKED_DDL), "runs")
