@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, ngram_join, quality, simple8b, spm, suffix_dedup
+from . import decontam, exact_dedup, license, ngram_join, pii, quality, sharding, simple8b, spm, suffix_dedup
 from .common import table
 
 
@@ -28,6 +28,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents")).select("doc_id", "bytes", "depth", "prefix", "part", "shard", "shard_bytes")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +44,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents"), key="corpus")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -49,7 +61,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_exact_dedup, op5_decontamination, op6_suffix_dedup, op8_ngram_jaccard, op9_quality, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_exact_dedup, op3_license_scan, op4_extendible_sharding, op5_decontamination, op6_suffix_dedup, op7_pii_surrogates, op8_ngram_jaccard, op9_quality, op10_sentencepiece)}
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
@@ -57,12 +69,20 @@ ORACLES = {
         WITH d AS (SELECT doc_id, sha256({LOW}) AS text_sha256, {LOW} AS low FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY low)""",
+    "op3_license_scan": license.oracle(),
+    "op4_extendible_sharding": f"""
+        WITH h AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
+            ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS x FROM documents),
+        p AS (SELECT *, x >> (60 - depth) AS prefix FROM h, (SELECT unnest(range(0, 57)) AS depth)),
+        t AS (SELECT *, sum(bytes) OVER g AS total, count(*) OVER g AS n FROM p WINDOW g AS (PARTITION BY depth, prefix)),
+        f AS (SELECT * FROM t WHERE total <= {sharding.LIMIT} OR n = 1 QUALIFY row_number() OVER (PARTITION BY doc_id, x ORDER BY depth) = 1)
+        SELECT doc_id, bytes, depth, prefix, 0 AS part, depth || '-' || prefix AS shard, CAST(total AS BIGINT) AS shard_bytes FROM f""",
     "op8_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
-          SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9\x{0080}-\x{10FFFF}]+'), x -> x <> '') AS w FROM documents),
+          SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9\x{0080}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents),
         s AS (
           SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
-            ELSE list_transform(range(1, len(w) - 3), i -> list_aggregate(list_slice(w, i, i + 4), 'string_agg', ' ')) END)) AS g FROM w),
+            ELSE list_transform(range(1, len(w) - 3), lambda i: list_aggregate(list_slice(w, i, i + 4), 'string_agg', ' ')) END)) AS g FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
         e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
