@@ -19,7 +19,7 @@ FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "го
 NEUTRAL = ["Dr", "Prof"]
 _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_NAME = r"\p{Lu}[\p{Ll}'’-]+"
+_NAME = r"\p{Lu}[\p{L}'’-]+"
 _LABEL = r"(?:password|passwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: Kind and pattern, in the order in which they are tried at a place.
 KINDS = [

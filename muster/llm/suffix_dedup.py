@@ -20,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,13 +195,13 @@ def _strings(slots: int):
                 last, runs = slot, np.frombuffer(b"".join(r["blob"] for r in rows if r["kind"] == RUNS), RUN)
                 runs = runs[np.lexsort((runs["at"], runs["doc"]))]
             docs = np.asarray(part.column("doc"))
-            data, bounds = bytes_of(part.column("blob"))
+            large, blobs = zstandard.ZstdDecompressor(), part.column("blob").to_pylist()
             first, end = np.searchsorted(runs["doc"], docs), np.searchsorted(runs["doc"], docs, side="right")
             held: dict[tuple[int, bytes], np.void] = {}
             marks, size, k = [], 0, 0
             while k < len(docs):
                 own = runs[first[k] : end[k]]
-                text = data[bounds[k] : bounds[k + 1]].tobytes()
+                text = large.decompress(blobs[k]) if len(own) else b""
                 for r in own:
                     a, w = int(r["at"]), int(r["more"])
                     key = (int(r["part"]), text[a : a + w + WINDOW])
@@ -231,7 +231,7 @@ def _send(held, marks, slots: int):
         part = r["part"][order]
         cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            out.append((int(part[a]), STRINGS, None, r[order[a:b]].tobytes(), b"".join(texts[k] for k in order[a:b].tolist())))
+            out.append((int(part[a]), STRINGS, None, r[order[a:b]].tobytes(), zstandard.ZstdCompressor(1).compress(b"".join(texts[k] for k in order[a:b].tolist()))))
     if marks:
         m = np.array(marks, MARK)
         out += [(s, MARKS, None, x.tobytes(), None) for s, (x,) in _by(slot_of(m["doc"], slots), m)]
@@ -333,6 +333,9 @@ def _mark(slots: int):
         for _, rows in _slots(batches):
             out = [(r["slot"], MARKS, None, r["blob"], None) for r in rows if r["kind"] == MARKS]
             strings = [r for r in rows if r["kind"] == STRINGS]
+            large = zstandard.ZstdDecompressor()
+            for r in strings:
+                r["extra"] = large.decompress(r["extra"])
             marks = []
             # A slot is worked off in parts that again hold all runs of an anchor.
             parts = sum(len(r["extra"]) for r in strings) // PART + 1
@@ -395,12 +398,12 @@ def _cut(with_text: bool):
                 last, marks = slot, np.frombuffer(b"".join(r["blob"] for r in rows if r["kind"] == MARKS), MARK)
                 marks = marks[np.lexsort((marks["begin"], marks["doc"]))]
             docs = np.asarray(part.column("doc"))
-            data, bounds = bytes_of(part.column("blob"))
+            large, blobs = zstandard.ZstdDecompressor(), part.column("blob").to_pylist()
             first, end = np.searchsorted(marks["doc"], docs), np.searchsorted(marks["doc"], docs, side="right")
             out = []
-            for k, (doc, a, b) in enumerate(zip(docs.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            for k, (doc, blob) in enumerate(zip(docs.tolist(), blobs, strict=True)):
                 own, kept, done, spans, removed = marks[first[k] : end[k]], [], 0, 0, 0
-                text = data[a:b].tobytes()
+                text = large.decompress(blob)
                 begin, stop = -1, -1
                 for x, y in zip(own["begin"].tolist(), own["end"].tolist(), strict=True):
                     if x > stop:
@@ -415,7 +418,7 @@ def _cut(with_text: bool):
                     done, spans, removed = stop, spans + 1, removed + stop - begin
                 kept.append(text[done:])
                 left = b"".join(kept)
-                out.append((doc, b - a, removed, spans, hashlib.sha256(left).hexdigest(), left if with_text else None))
+                out.append((doc, len(text), removed, spans, hashlib.sha256(left).hexdigest(), left if with_text else None))
             for i in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 2000], strict=True), RESULT, strict=True)], schema=RESULT)
 
@@ -466,7 +469,9 @@ def _dealt(slots: int):
         for batch in batches:
             docs = batch.column("doc")
             slot = slot_of(np.asarray(docs), slots).astype(np.int32)
-            none = pa.nulls(len(docs), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.full(len(docs), TEXT, np.int32)), docs, pc.cast(batch.column("text"), pa.binary()), none], schema=PACKED)
+            none, small = pa.nulls(len(docs), pa.binary()), zstandard.ZstdCompressor(1)
+            data, bounds = bytes_of(batch.column("text"))
+            blobs = [small.compress(data[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.full(len(docs), TEXT, np.int32)), docs, pa.array(blobs, pa.binary()), none], schema=PACKED)
 
     return run
