@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A frame that later rounds do not compute again: written to the shared checkpoint folder of the session, or, where it names none, kept."""
-    shared = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if shared else df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A frame written to the checkpoint folder that the session names, so that later rounds neither plan nor compute it again. Only where none is named, as in tests, a local one is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="muster-"))
+    return df.checkpoint()
