@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of
+from .common import bytes_of, slices
 from .words import words
 
 FEATURES = ["log_bytes", "symbols", "bars", "upper", "digits", "spaces", "punctuation", "beyond_ascii", "word_length", "distinct_words", "repeated_next", "words_a_line", "symbol_ended", "log_words"]
@@ -174,8 +174,9 @@ def held_out(doc_id="doc_id"):
 
 def _featured(batches):
     for batch in batches:
-        x = features(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
+        for part in slices(batch):
+            x = features(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
@@ -195,8 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 def _scored(model: Model):
     def run(batches):
         for batch in batches:
-            score = model.score(features(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            for part in slices(batch):
+                score = model.score(features(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
@@ -214,7 +216,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def _kept(model: Model):
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(model.score(features(batch.column("text"))) >= 0.5))
+            for part in slices(batch):
+                yield part.filter(pa.array(model.score(features(part.column("text"))) >= 0.5))
 
     return run
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of
+from .common import bytes_of, slices
 from .simple8b import _ranges
 
 MARK = "▁"
@@ -245,20 +245,11 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 22):
-    size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
-    begin = 0
-    while begin < batch.num_rows:
-        end = max(begin + 1, int(np.searchsorted(size, size[begin] + most, side="right")) - 1)
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def _encoded(path: str, with_ids: bool):
     def run(batches):
         c = coder(path)
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 text = part.column("text")
                 ids, bounds = c.encode(text)
                 data, own = bytes_of(text)
