@@ -4,7 +4,8 @@
 2. Signatures are banded. In each bucket, leaders are compared with all members: a member far above the threshold does
    not lead, so work is members times leaders and a group of near copies makes as many edges as members, not pairs.
    Edges reach down to a similarity of 1 - 2 * (1 - t): Jaccard distance is a metric, so two members linked with each
-   other hang on a common leader. Buckets beyond LIMIT are dealt out first and their leaders meet in a next round.
+   other hang on a common leader. Buckets beyond LIMIT are dealt out in parts first. Their leaders, at most 1 - t and twice the
+   distance of a member from its leader apart, meet in a second and last round: in one task, or in one for each pair of parts.
 3. Connected components of those edges hold all linked pairs. Each is cut into blocks, and each pair of blocks is a
    task of its own: MinHash values are compared a batch at a time, a pair is dropped once the posterior probability
    of reaching the threshold falls below the tolerance, and the rest are verified exactly on their n-gram sets.
@@ -105,12 +106,12 @@ class Forest:
         return True
 
 
-def _bucket(threshold: float):
+def _bucket(threshold: float, last: bool):
     near = least_matches(max(0.0, 2 * threshold - 1), 1e-4)[HASHES]
     tight = next(m for m in range(HASHES + 1) if m >= HASHES * (threshold + (1 - threshold) * 0.7))
 
     def run(batches):
-        for (bucket, _, parts), rows in groups(batches, ["bucket", "salt", "parts"]):
+        for (bucket, _, _, parts), rows in groups(batches, ["bucket", "low", "high", "parts"]):
             keys = rows.column("key").to_pylist()
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(keys), HASHES)
             forest, leads, waiting, edges = Forest(len(keys)), [], np.ones(len(keys), bool), []
@@ -122,7 +123,7 @@ def _bucket(threshold: float):
                 waiting[same >= tight] = False
                 waiting[i] = False
                 edges += [(i, j) for j in np.flatnonzero(same >= near).tolist() if j != i and forest.join(i, j)]
-            out = [("edge", bucket, keys[i], keys[j]) for i, j in edges] + [("lead", bucket, keys[i], None) for i in leads if parts > 1]
+            out = [("edge", bucket, keys[i], keys[j]) for i, j in edges] + [("lead", bucket, keys[i], None) for i in leads if parts > 1 and not last]
             for i in range(0, len(out), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 5000], strict=True), EDGES, strict=True)], schema=EDGES)
 
@@ -131,18 +132,23 @@ def _bucket(threshold: float):
 
 def candidate_edges(scratch: Scratch, classes: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) between class keys whose components hold every candidate pair."""
-    n, found = partitions(scratch.spark), None
-    rows = classes.select("key", F.explode("bands").alias("bucket"))
-    while True:
+    n = partitions(scratch.spark)
+
+    def compared(rows: DataFrame, last: bool) -> DataFrame:
+        """Buckets in parts of about LIMIT members: each alone, or in the last round all pairs of them."""
         counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        many = rows.join(counts, "bucket").withColumn("parts", F.ceil(F.col("n") / LIMIT).cast("int")).withColumn("salt", F.expr("cast(pmod(xxhash64(key), parts) as int)"))
-        full = many.join(classes.select("key", "sig"), "key").select("bucket", "salt", "parts", "key", "sig")
-        out = scratch.write(full.repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "key").mapInArrow(_bucket(threshold), "kind string, bucket long, a binary, b binary"), "buckets")
-        edges = out.where("kind = 'edge'").select("a", "b")
-        found = edges if found is None else found.union(edges)
-        rows = out.where("kind = 'lead'").select(F.col("a").alias("key"), "bucket")
-        if rows.isEmpty():
-            return found
+        dealt = rows.join(counts, "bucket").withColumn("parts", F.ceil(F.col("n") / LIMIT).cast("int")).withColumn("salt", F.expr("cast(pmod(xxhash64(key), parts) as int)"))
+        met = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).where("parts = 1 or other != salt") if last else dealt.withColumn("other", F.col("salt"))
+        met = met.select("bucket", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "parts", "key")
+        full = met.join(classes.select("key", "sig"), "key").select("bucket", "low", "high", "parts", "key", "sig")
+        placed = full.repartition(n, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "key")
+        return scratch.write(placed.mapInArrow(_bucket(threshold, last), "kind string, bucket long, a binary, b binary"), "buckets")
+
+    first = compared(classes.select("key", F.explode("bands").alias("bucket")), False)
+    found, leads = first.where("kind = 'edge'").select("a", "b"), first.where("kind = 'lead'").select(F.col("a").alias("key"), "bucket")
+    if leads.isEmpty():
+        return found
+    return found.union(compared(leads, True).where("kind = 'edge'").select("a", "b"))
 
 
 def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:

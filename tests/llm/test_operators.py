@@ -122,6 +122,18 @@ def test_links_are_those_of_brute_force(spark):
     assert got == want
 
 
+def test_links_of_buckets_over_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIMIT", 3)
+    words = ["w%d" % i for i in range(600)]
+    texts = [words[8 * i : 8 * i + 160] for i in range(24)] + [[*words[300:459], "x"][: 10 + 6 * i] + ["y%d" % i] + words[311 + 6 * i : 460] for i in range(24)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in enumerate(texts)}
+    want = {i: sum(len(s & o) >= 0.8 * len(s | o) for j, o in sets.items() if j != i) for i, s in sets.items()}
+    assert min(want.values()) > 1
+    got = {x["doc_id"]: x["n_links"] for x in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_leaks(spark):
     r = random.Random(2)
     item = "".join(r.choice("abcdefghijklmnop ") for _ in range(120))
