@@ -105,7 +105,7 @@ def txt_similarity_summary(spark, d):
 @query()
 def txt_unique_greedy(spark, d):
     s = similarity.sets(t(spark, d, "documents"))
-    return similarity.first_come(s, similarity.near_pairs(s, 0.5).select("a", "b"))
+    return similarity.unique(s, 0.5)
 
 
 @query(r"""WITH y AS (SELECT page_id, list_sort(list_distinct(list_filter(list_transform(list_filter(string_split_regex(coalesce(html, ''), '[^\p{L}\p{N}]+'), lambda x: regexp_full_match(x, '[0-9]{4}')), lambda x: CAST(x AS INT)), lambda v: v BETWEEN 1900 AND 2100))) AS y FROM pages)

@@ -54,6 +54,20 @@ def test_first_come_is_not_drop_all(spark):
     assert {r["id"]: r["accepted"] for r in similarity.first_come(ids, edges).collect()} == {0: True, 1: False, 2: True, 3: False}
 
 
+def test_unique_with_copies(spark, tmp_path):
+    from muster.catalog import queries
+
+    texts = {1: "a b c d e f g h", 2: "a b c d e f g x", 3: "a b c d e f g x", 4: "A b c d e f g h", 5: "q r s t u", 6: "q r s t u", 7: "", 8: "", 9: None, 10: "c d e f g x y z w"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, x in texts.items() for w in [(x or "").lower().split()]}
+    stand: list[int] = []
+    for i, s in sets.items():
+        if not any(s & sets[j] and len(s & sets[j]) > 0.5 * len(s | sets[j]) for j in stand):
+            stand.append(i)
+    got = {r["id"]: r["accepted"] for r in queries()["txt_unique_greedy"](spark, str(tmp_path)).collect()}
+    assert stand == [1, 5, 7, 8, 9, 10] and got == {i: i in stand for i in texts}
+
+
 def test_claims(spark):
     df = spark.createDataFrame([("в пять лет и twenty three long years, in 1999 years 7 7",), ("",)], "t string").select(F.split(F.lower("t"), T.SPLIT).alias("w"))
     got = [r[0] for r in df.select(T.year_claims(F.col("w"))).collect()]
