@@ -489,9 +489,8 @@ def cmp_team_size(spark, d):
     x AS (SELECT place, service, base * factor AS x, CASE WHEN base * factor >= 50000 THEN 5000 WHEN base * factor >= 10000 THEN 1000 ELSE 100 END AS step FROM o) SELECT place, service, CAST(round(x / step) * step AS BIGINT) AS price FROM x""")
 def cmp_offers(spark, d):
     places = t(spark, d, "supplier").select(F.col("s_suppkey").alias("place"), (F.col("s_nationkey") % 5).alias("segment"), F.col("s_nationkey").alias("region"), (F.col("s_acctbal") > 0).alias("solvent"))
-    # A service catalog is a short list; every fiftieth part stands for one.
     needs = F.when(F.col("p_size") % 3 == 0, "solvent").when(F.col("p_size") % 3 == 1, "always").otherwise("unknown")
-    catalog = t(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("service"), (F.col("p_size") % 5).alias("segment"), needs.alias("needs"), (F.col("p_retailprice") * 10).alias("low"), (F.col("p_retailprice") * 30).alias("high"))
+    catalog = t(spark, d, "part").select(F.col("p_partkey").alias("service"), (F.col("p_size") % 5).alias("segment"), needs.alias("needs"), (F.col("p_retailprice") * 10).alias("low"), (F.col("p_retailprice") * 30).alias("high"))
     factors = t(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("region"), (F.lit(1.0) + F.col("n_nationkey") / 10).alias("factor"))
     return compose.offers(places, catalog, {"always": F.lit(True), "solvent": F.col("solvent")}, factors).select("place", "service", "price")
 

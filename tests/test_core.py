@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +71,25 @@ def test_unique_with_copies(spark, tmp_path):
     assert stand == [1, 5, 7, 8, 9, 10] and got == {i: i in stand for i in texts}
 
 
+def test_offers_of_all_parts(spark, tmp_path):
+    from muster.catalog import queries
+
+    suppliers = [(i, i % 7, 100.0 if i % 2 else -5.0) for i in range(1, 12)]
+    parts = [(i, i % 50 + 1, 900.0 + i) for i in range(1, 121)]
+    for name, rows, ddl in (("supplier", suppliers, "s_suppkey long, s_nationkey int, s_acctbal double"), ("part", parts, "p_partkey long, p_size int, p_retailprice double"), ("nation", [(i, i % 5) for i in range(25)], "n_nationkey int, n_regionkey int")):
+        spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = {}
+    for place, nation, balance in suppliers:
+        for service, size, retail in parts:
+            if nation % 5 == size % 5 and (size % 3 == 1 or (size % 3 == 0 and balance > 0)):
+                draw = int(hashlib.md5(f"2026|{place}:{service}".encode()).hexdigest()[:8], 16) % 1000 / 1000
+                x = (retail * 10 + math.floor((retail * 30 - retail * 10) * draw)) * (1 + nation / 10 if nation % 5 < 3 else 1.0)
+                step = 5000 if x >= 50000 else 1000 if x >= 10000 else 100
+                want[place, service] = math.floor(x / step + 0.5) * step
+    got = {(r["place"], r["service"]): r["price"] for r in queries()["cmp_offers"](spark, str(tmp_path)).collect()}
+    assert got == want and len({s for _, s in want}) > 60
+
+
 def test_claims(spark):
     df = spark.createDataFrame([("в пять лет и twenty three long years, in 1999 years 7 7",), ("",)], "t string").select(F.split(F.lower("t"), T.SPLIT).alias("w"))
     got = [r[0] for r in df.select(T.year_claims(F.col("w"))).collect()]
