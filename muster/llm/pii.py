@@ -20,11 +20,11 @@ NEUTRAL = ["Dr", "Prof"]
 _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
-_LABEL = r"(?:password|passwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+_LABEL = r"(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: Kind and pattern, in the order in which they are tried at a place.
 KINDS = [
     ("email", r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@(?:[\p{L}0-9-]+\.)+\p{L}{2,}"),
-    ("secret", rf"(?<![\p{{L}}0-9_]){_LABEL}[A-Za-z0-9_/+-]{{8,}}"),
+    ("secret", rf"(?<![\p{{L}}0-9]){_LABEL}[A-Za-z0-9_/+-]{{8,}}"),
     ("key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"),
@@ -35,7 +35,7 @@ KINDS = [
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: Every mention has a digit, an at sign, a label or a title.
-HINT = rf"[0-9@]|password|passwd|token|secret|api.?key|{_TITLE}"
+HINT = rf"[0-9@]|(?i:password|passwd|token|secret|api.?key)|{_TITLE}"
 KEEP = {"email": r"^$", "secret": rf"^{_LABEL}", "key": "^.{4}", "phone": r"^(?:\+[0-9]{1,3})?", "card": "^.", "iban": "^[A-Z]{2}", "name": rf"^{_TITLE}\s", "ip": "^$", "ssn": "^$"}
 ENTITY = "struct<kind:string,canon:string>"
 ATTEMPTS = 64
@@ -68,14 +68,15 @@ def _digest(key: str, attempt: int, chars: Column) -> Column:
 
 
 def _drawn(text: Column, digest: Column, hexadecimal: Column) -> Column:
-    """text with each letter and digit drawn anew in its class; other characters stay."""
+    """text with each letter and digit drawn anew in its class; other characters stay. Digits of upper-case hexadecimal text give upper case too."""
+    capital = F.regexp_like(text, F.lit("[A-F]")) & ~F.regexp_like(text, F.lit("[a-f]"))
 
     def one(c, i):
         v = F.conv(F.substring(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
         pick = lambda letters: F.substring(F.lit(letters), v % len(letters) + 1, F.lit(1))
         upper = c != F.lower(c)
         letter = F.when(F.lower(c).rlike(r"^\p{IsCyrillic}$"), pick(CYRILLIC)).otherwise(pick("abcdefghijklmnopqrstuvwxyz"))
-        return F.when(hexadecimal & c.rlike("^[0-9a-f]$"), pick("0123456789abcdef")).when(c.rlike("^[0-9]$"), pick("0123456789")).when(c.rlike(r"^\p{L}$"), F.when(upper, F.upper(letter)).otherwise(letter)).otherwise(c)
+        return F.when(hexadecimal & c.rlike("^[0-9A-Fa-f]$"), F.when(upper | capital, pick("0123456789ABCDEF")).otherwise(pick("0123456789abcdef"))).when(c.rlike("^[0-9]$"), pick("0123456789")).when(c.rlike(r"^\p{L}$"), F.when(upper, F.upper(letter)).otherwise(letter)).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -91,7 +92,7 @@ def _surrogate(key: str, attempt: int) -> Column:
     kind, canon = F.col("kind"), F.col("canon")
     tail = F.when(kind.isin("phone", "key", "card", "iban"), F.substring_index(canon, ":", -1)).otherwise(canon)
     head = F.when(kind.isin("phone", "key", "card", "iban"), F.concat(F.substring_index(canon, ":", 1), F.lit(":"))).otherwise("")
-    hexadecimal = (kind == "secret") & F.regexp_like(tail, F.lit("^[0-9a-f]+$"))
+    hexadecimal = (kind == "secret") & F.regexp_like(tail, F.lit("^[0-9A-Fa-f]+$"))
     digest = _digest(key, attempt, F.length(tail) + 16)
     at = lambda k: F.conv(F.substring(digest, k * 4 + 1, 4), 16, 10).cast("int")
     address = F.concat_ws(".", *[(at(k) % 254 + 1).cast("string") for k in range(4)])
@@ -170,7 +171,7 @@ def surrogates(scratch: Scratch, mentions: DataFrame, key: str) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_entities, kinds, text with its entities replaced.
 
-    Found are e-mail and IP addresses, phone, card, account and social security numbers, access keys, labelled secrets, and names after a title. kinds are
+    Found are e-mail and IP addresses, phone, card, account and social security numbers, access keys, secrets after a label in any case, and names after a title. kinds are
     the kinds found, sorted and joined by commas. Null texts stay null and empty ones empty, without entities; texts of any length are read whole. Repeated
     rows and ids give a row each; extra columns are not read; an empty table gives no rows.
     """

@@ -155,6 +155,14 @@ def test_surrogates(spark):
     assert upper.lower() == lower
 
 
+def test_labels_in_any_case(spark):
+    texts = ['TOKEN = "9233A8EC9233A8EC9233A8EC9233A8EC9233A8EC"', "access_token=abcd1234wxyz", "DB_PASSWORD: Hunter2Hunter2", "Api-Key=deadbeef00"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["kinds"], x["text"]) for x in pii.replace_entities(docs, "key").collect()}
+    assert all(kind == "secret" for kind, _ in got.values()) and all(got[i][1] != x and len(got[i][1]) == len(x) for i, x in enumerate(texts))
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"', got[0][1]) and got[1][1].startswith("access_token=") and got[2][1].startswith("DB_PASSWORD: ") and re.fullmatch("Api-Key=[0-9a-f]{10}", got[3][1])
+
+
 def test_shards_fit(spark):
     docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(500)] + [(1000, "y" * 40)] * 30 + [(2000, "z" * 900)], "doc_id long, text string")
     got = sharding.assign(docs, 200).groupBy("shard").agg(F.sum("bytes").alias("b"), F.count("*").alias("n"), F.max("shard_bytes").alias("s")).collect()
