@@ -442,10 +442,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         named, names = rows.withColumnRenamed("doc_id", "doc"), None
     else:  # numbers in order of (doc_id, text's hash), one for rows equal in both
         key = [F.col("doc_id").asc_nulls_first(), F.col("sha").asc()]
-        distinct = rows.select("doc_id", F.sha2("text", 256).alias("sha")).distinct()
+        distinct = rows.groupBy("doc_id", F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("copies"))
         names = scratch.write(distinct.repartitionByRange(slots, *key).sortWithinPartitions(*key).withColumn("doc", F.monotonically_increasing_id()), "names")
         own = rows.withColumn("own", F.sha2("text", 256))
-        named = own.join(names, own["doc_id"].eqNullSafe(names["doc_id"]) & (F.col("own") == F.col("sha"))).select("doc", "text")
+        met = own.join(names, own["doc_id"].eqNullSafe(names["doc_id"]) & (F.col("own") == F.col("sha"))).select("doc", "text", "copies")
+        named = met.where("copies = 1").select("doc", "text").union(met.where("copies > 1").groupBy("doc").agg(F.first("text").alias("text")))
     texts = named.mapInArrow(_dealt(slots), PACKED_DDL)
 
     def dealt(df):
@@ -458,7 +459,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     scratch.drop(found)
     out = dealt(marks.union(texts)).mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if names is not None:
-        out = out.withColumnRenamed("doc_id", "doc").join(names.select("doc", "doc_id"), "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+        each = names.select("doc", "doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+        out = out.withColumnRenamed("doc_id", "doc").join(each, "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     return out if with_text else out.drop("kept")
 
 

@@ -106,6 +106,21 @@ def test_suffix_array_and_repeats(spark):
     assert got == want
 
 
+def test_repeats_of_equal_rows(spark):
+    a, b = "".join(chr(97 + i * i % 23) + str(i) for i in range(120)), "".join(chr(98 + i * 7 % 19) + str(i * 3) for i in range(90))
+    rows = [(None, a), (None, a), (1, a + b), (1, a + b), (1, a + b), (2, b), (3, "x" * 150), (3, "x" * 150), (None, "short")]
+    seen, want = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0], hashlib.sha256(r[1].encode()).hexdigest())):
+        raw, gone = t.encode(), np.zeros(len(t), bool)
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(raw[k : k + 100])
+        want[i, t] = (i, len(raw), int(gone.sum()), hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["kept_sha256"]) for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted((want[r] for r in rows), key=str)
+
+
 def test_links_are_those_of_brute_force(spark):
     r = random.Random(5)
     words = ["w%d" % i for i in range(400)]
