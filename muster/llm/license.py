@@ -65,6 +65,20 @@ RULES = [
     ("Unlicense", ["UNLICENSE"]),
     ("Proprietary", ["RESERVED"]),
 ]
+# What notices hold beside the sentences that the SQL knows, and the rules for it, which go before those of GPL-3.0-or-later.
+MORE_SENTENCES = [("EITHER3", "either version 3"), ("EITHER2", "either version 2")]
+MORE_RULES = [
+    ("GPL-3.0-or-later", ["GPLANY", "EITHER3", "LATER"]),
+    ("GPL-2.0-or-later", ["GPLANY", "EITHER2", "LATER"]),
+    ("AGPL-3.0-or-later", ["AGPL3", "LATER"]),
+    ("LGPL", ["LGPL", "EITHER3", "LATER"]),
+    ("LGPL", ["LGPL", "EITHER2", "LATER"]),
+    ("LGPL", ["LGPL", "EITHER3"]),
+    ("LGPL", ["LGPL", "EITHER2"]),
+    ("LGPL", ["LGPL", "LATER"]),
+    ("GPL-3.0", ["GPLANY", "EITHER3"]),
+    ("GPL-2.0", ["GPLANY", "EITHER2"]),
+]
 #: A sentence ends at a mark before white space, or at an empty line. A word of HINT is in every known sentence.
 END = r"[.!?;:][\"')]*\s+|\n\s*\n"
 HINT = r"licen[cs]e|permission|redistribution|provided|neither the name|later version|public domain|creative\s+commons|cc.?by|cc0|rights\s+reserved|software"
@@ -74,26 +88,31 @@ def scan(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, sentences, licenses, unmatched.
 
     sentences are the identifiers found in order, licenses the licences of the rules that matched in order of the rules, each as often as it was found,
-    unmatched the identifiers that no rule took; all joined by commas, empty where there are none, as for null and empty texts. A sentence that holds two
-    known ones gives the first listed. Lines of one sentence are joined. Repeated rows give the same row each; extra columns are not read; an empty table
-    gives no rows.
+    unmatched the identifiers that no rule took; all joined by commas, empty where there are none, as for null and empty texts. A sentence that holds
+    several known ones gives each in order of place, but none within another; of two at one place the first listed. Lines of one sentence are joined.
+    Repeated rows give the same row each; extra columns are not read; an empty table gives no rows.
     """
+    known, at = SENTENCES + MORE_SENTENCES, [name for name, _ in RULES].index("GPL-3.0-or-later")
+    rules, any_known = RULES[:at] + MORE_RULES + RULES[at:], r"\b(?:" + "|".join(p for _, p in known) + r")\b"
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
-    def identifier(sentence):
+    def identifiers(sentence):
         plain = F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
+        return F.transform(F.regexp_extract_all(plain, F.lit(any_known), F.lit(0)), identifier)
+
+    def identifier(match):
         out = None
-        for name, pattern in SENTENCES:
-            hit = F.regexp_like(plain, F.lit(rf"\b{pattern}\b"))
+        for name, pattern in known:
+            hit = F.regexp_like(match, F.lit(f"^(?:{pattern})$"))
             out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
         return out
 
     hinted = F.filter(F.split(low, END), lambda s: F.regexp_like(s, F.lit(HINT)))
-    found = F.when(F.regexp_like(low, F.lit(HINT)), F.filter(F.transform(hinted, identifier), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.regexp_like(low, F.lit(HINT)), F.flatten(F.transform(hinted, identifiers))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
     rows = rows.select("doc_id", F.array_join("found", ",").alias("sentences"), F.when(F.size("found") > 0, F.concat(F.lit(","), F.array_join("found", ",,"), F.lit(","))).otherwise("").alias("left"))
     parts = []
-    for k, (name, ids) in enumerate(RULES):
+    for k, (name, ids) in enumerate(rules):
         want = ",,".join(ids)
         rows = rows.withColumns({f"n{k}": F.when(F.col("left") != "", F.regexp_count("left", F.lit(f",{want},"))).otherwise(0), "left": F.replace("left", F.lit(f",{want},"), F.lit(""))})
         parts.append(F.array_repeat(F.lit(name), F.col(f"n{k}")))

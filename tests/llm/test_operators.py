@@ -190,6 +190,21 @@ def test_licences(spark):
     assert got == {1: ("Apache-2.0,Proprietary", ""), 2: ("", ""), 3: ("", "")}
 
 
+def test_licence_notices(spark):
+    notice = "This program is free software%s you can redistribute it and/or modify it under the terms of the GNU %sGeneral Public License as published by\nthe Free Software Foundation%s either version %s of the License, or\n(at your option) any later version.\n"
+    texts = {
+        notice % (":", "", ",", "3"): ("GPL3,LATER", "GPL-3.0-or-later", ""),
+        notice % (";", "", ";", "2"): ("GPLANY,EITHER2,LATER", "GPL-2.0-or-later", ""),
+        notice % (";", "Lesser ", ";", "2.1"): ("LGPL,EITHER2,LATER", "LGPL", ""),
+        notice % (":", "Affero ", ",", "3"): ("AGPL3,LATER", "AGPL-3.0-or-later", ""),
+        "Licensed under the Apache License, Version 2.0 or the GNU General Public License version 2": ("APACHE2,GPL2", "Apache-2.0,GPL-2.0", ""),
+        "Under CC-BY-NC-SA 4.0": ("CCBYNCSA", "CC-BY-NC-SA-4.0", ""),
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["sentences"], x["licenses"], x["unmatched"]) for x in license.scan(docs).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def test_quality_learns(spark):
     r = random.Random(1)
     good = [" ".join(r.choice(["the", "of", "river", "stone", "walk", "green"]) + str(r.randint(0, 99)) for _ in range(60)) for _ in range(200)]
