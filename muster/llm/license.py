@@ -83,6 +83,9 @@ MORE_RULES = [
 END = r"[.!?;:][\"')]*\s+|\n\s*\n"
 HINT = r"licen[cs]e|permission|redistribution|provided|neither the name|later version|public domain|creative\s+commons|cc.?by|cc0|rights\s+reserved|software"
 
+#: HINT for texts whose white space and marks are not joined yet, with what MORE_SENTENCES hold.
+LOOSE = "|".join([*(h.replace(r"\s+", " ").replace(" ", "[^a-z0-9]+").replace(".?", "[^a-z0-9]*") for h in HINT.split("|")), "either[^a-z0-9]+version"])
+
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, sentences, licenses, unmatched.
@@ -107,8 +110,8 @@ def scan(docs: DataFrame) -> DataFrame:
             out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
         return out
 
-    hinted = F.filter(F.split(low, END), lambda s: F.regexp_like(s, F.lit(HINT)))
-    found = F.when(F.regexp_like(low, F.lit(HINT)), F.flatten(F.transform(hinted, identifiers))).otherwise(F.array().cast("array<string>"))
+    hinted = F.filter(F.split(low, END), lambda s: F.regexp_like(s, F.lit(LOOSE)))
+    found = F.when(F.regexp_like(low, F.lit(LOOSE)), F.flatten(F.transform(hinted, identifiers))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
     rows = rows.select("doc_id", F.array_join("found", ",").alias("sentences"), F.when(F.size("found") > 0, F.concat(F.lit(","), F.array_join("found", ",,"), F.lit(","))).otherwise("").alias("left"))
     parts = []

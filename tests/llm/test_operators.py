@@ -205,6 +205,13 @@ def test_licence_notices(spark):
     assert got == dict(enumerate(texts.values()))
 
 
+def test_wrapped_licence_sentences(spark):
+    texts = {"This work is dedicated to the public\ndomain.": "CC0-1.0", "# either version 2 or any later\n# version": "", "CC  BY-SA 4.0": "CC-BY-SA-4.0"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["licenses"], x["unmatched"]) for x in license.scan(docs).collect()}
+    assert got == {0: ("CC0-1.0", ""), 1: ("", "EITHER2,LATER"), 2: ("CC-BY-SA-4.0", "")}
+
+
 def test_quality_learns(spark):
     r = random.Random(1)
     good = [" ".join(r.choice(["the", "of", "river", "stone", "walk", "green"]) + str(r.randint(0, 99)) for _ in range(60)) for _ in range(200)]
