@@ -2,7 +2,8 @@
 
 An occurrence of an item of n characters with at most k edits shares at least n - q + 1 - k * q q-grams with it, on diagonals that
 lie within k of one another. Shared q-grams are counted in bands of 2 * (k + 1) diagonals that overlap by half, so one band holds
-them all; regions that meet the bound are kept and verified by alignment within that band.
+them all; regions that meet the bound are kept and verified by alignment within that band. Items of fewer than q characters are
+looked up as whole words.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q, RATE, LEAST = 8, 0.1, 40
+Q, RATE = 8, 0.1
 BLOCK_BYTES = 4 << 20
 PIECE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -53,11 +54,14 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.ids, self.codes, self.edits, self.bound = [], [], [], []
+        self.short: dict[bytes, list[int]] = {}  # items without a q-gram
         for item_id, text in items:
             codes = normalised(text or "")[0]
             if len(codes) and codes[-1] == 32:
                 codes = codes[:-1]
-            if len(codes) < LEAST:
+            if len(codes) < Q:
+                if len(codes):
+                    self.short.setdefault(codes.tobytes(), []).append(item_id)
                 continue
             k = min(int(rate * len(codes)), (len(codes) - Q) // Q)
             self.ids.append(item_id)
@@ -164,7 +168,23 @@ class Items:
                     if found and ((first, item) not in best or found[0] < best[first, item][0]):
                         best[first, item] = found
                     first += 1
-        return [(t, self.ids[i], e, int(texts[t][1][a]), int(texts[t][1][b - 1]) + 1) for (t, i), (e, a, b) in sorted(best.items())]
+        long = [(t, self.ids[i], e, int(texts[t][1][a]), int(texts[t][1][b - 1]) + 1) for (t, i), (e, a, b) in sorted(best.items())]
+        return long + [(t, i, 0, int(at[a]), int(at[b - 1]) + 1) for t, (codes, at) in enumerate(texts) if self.short for i, a, b in self.words(codes)]
+
+    def words(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item id, start, end) of the first place where each item without a q-gram stands as whole words."""
+        bounded = np.concatenate(([32], codes, [32])).astype(np.uint32)
+        starts, out = np.flatnonzero((bounded[:-1] == 32) & (bounded[1:] != 32)), []
+        for n in sorted({len(x) // 4 for x in self.short}):
+            at = starts[starts + n <= len(codes)]
+            at = at[bounded[at + n + 1] == 32]
+            left = {x for x in self.short if len(x) == 4 * n}
+            first = np.array([np.frombuffer(x, np.uint32)[0] for x in left])
+            for a in at[np.isin(codes[at], first)].tolist():
+                if (x := codes[a : a + n].tobytes()) in left:
+                    left.remove(x)
+                    out += [(i, a, a + n) for i in self.short[x]]
+        return out
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, edits, start, end) of the best occurrence of each item in a text; bounds are characters of the lower-cased text."""
@@ -200,8 +220,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     """doc_id, item_id, edits, start, end: the best occurrence of each benchmark item (item_id, text) in each document (doc_id, text).
 
     An item occurs where its characters (letters and digits in lower case, one space for whatever lies between) align with a stretch
-    of the document's with at most rate * length edits, or (length - q) / q if that is less. Items under 40 such characters are no
-    evidence and never occur; null and empty texts hold nothing. Repeated rows are found each; a null doc_id is reported as null.
+    of the document's with at most rate * length edits, or (length - q) / q if that is less. Items under q such characters occur
+    where they stand as whole words, without edits; null and empty texts hold nothing. Repeated rows are found each; a null doc_id is reported as null.
     Items go to the tasks in blocks of at most 4 MB of text, each block against all documents. Extra columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -160,6 +160,15 @@ def test_leaks(spark):
     assert [x["doc_id"] for x in decontam.drop_contaminated(docs, bench).orderBy("doc_id").collect()] == [3, 4]
 
 
+def test_leaks_of_short_items(spark):
+    items = {1: "Why?", 2: "Who is he", 3: "Name the capital of Peru", 4: "Which river runs through Cairo today?", 5: "zu", 6: "--"}
+    texts = {1: "He asked: why? Whyever", 2: "whys and anywhy", 3: "so, WHO is he!", 4: "name the capitol of peru", 5: "which river runs thrugh Cairo, today", 6: "why", 7: "", 8: None, 9: "name a capitol in peru -- zulu"}
+    docs, bench = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["edits"], x["start"], x["end"]) for x in decontam.contaminated(docs, bench).collect()}
+    assert {k: e for k, (e, _, _) in got.items()} == {(1, 1): 0, (3, 2): 0, (4, 3): 1, (5, 4): 1, (6, 1): 0}
+    assert got[1, 1][1:] == (10, 13) and got[6, 1][1:] == (0, 3)
+
+
 def test_surrogates(spark):
     docs = spark.createDataFrame([(1, "Mr. John Smith and Mrs Ann Smith, JOHN@x.com john@x.com 4111 1111 1111 1111 10.0.0.1"), (2, "Mr John Smith 4111111111111111"), (3, None)], "doc_id long, text string")
     got = {x["doc_id"]: x["text"] for x in pii.replace_entities(docs, "key").collect()}
