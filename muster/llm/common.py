@@ -25,13 +25,15 @@ class Scratch:
     """Tables written below the folder that the cluster names in spark.checkpoint.dir.
 
     A written table cuts lineage and survives lost executors. Only where the setting is
-    absent (a local session, as in tests) is a folder of our own made.
+    absent and the session is local, as in tests, is a folder of our own made.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if base is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="muster-")
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -82,10 +84,6 @@ def slices(batch: pa.RecordBatch, most: int = 1 << 22):
         begin = end
 
 
-def table_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
-
-
 def groups(batches, keys: list[str]):
     """Joins a sorted stream of batches into one table for each run of equal keys."""
     held, last = [], None
@@ -119,24 +117,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): a row (node, label) for each node, label the least node.
 
-    Large-star and small-star steps in turn until nothing changes. Each step is a grouped minimum,
-    combined before its shuffle, and an equi-join, which AQE splits where a node is hot; nothing is
-    gathered in one task and every step is a written table.
+    Large-star and small-star steps in turn until nothing changes. Each step is a grouped minimum, combined before its shuffle and written,
+    and an equi-join of two tables, which AQE splits where a node is hot; nothing is gathered in one task.
     """
     now = scratch.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     seen = None
+
+    def with_least(pairs: DataFrame):
+        least = scratch.write(pairs.groupBy("a").agg(F.min("b").alias("m")), "least")
+        return least, pairs.join(least, "a")
+
     while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             break
         seen = mark
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+        first, both = with_least(now.union(now.select("b", "a")))
+        large = scratch.write(both.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), "large")
+        second, joined = with_least(large)
+        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(second.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         then = scratch.write(small, "edges")
-        scratch.drop(now)
+        for old in (now, first, large, second):
+            scratch.drop(old)
         now = then
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct())

@@ -1,22 +1,21 @@
 """Join of texts by the Jaccard similarity of their word n-grams, with Bayesian pruning of candidates.
 
-1. Rows with equal n-gram sets form a class; one row of each class goes on. Each has a MinHash signature.
-2. Signatures are banded. In each bucket, leaders are compared with all members: a member far above the threshold does
-   not lead, so work is members times leaders and a group of near copies makes as many edges as members, not pairs.
-   Edges reach down to a similarity of 1 - 2 * (1 - t): Jaccard distance is a metric, so two members linked with each
-   other hang on a common leader. Buckets beyond LIMIT are dealt out in parts first. Their leaders, at most 1 - t and twice the
-   distance of a member from its leader apart, meet in a second and last round: in one task, or in one for each pair of parts.
-3. Connected components of those edges hold all linked pairs. Each is cut into blocks, and each pair of blocks is a
-   task of its own: MinHash values are compared a batch at a time, a pair is dropped once the posterior probability
-   of reaching the threshold falls below the tolerance, and the rest are verified exactly on their n-gram sets.
-   Pairs are counted in place and never leave as rows.
+1. Rows with equal n-gram sets form a class; one row of each class goes on, with its MinHash values.
+2. Values are banded. Two classes are candidates when a band of theirs is equal, and the bucket of the first such band alone compares them:
+   each candidate pair is compared once, and no other pair is. A bucket of more than BLOCK members is cut into blocks by hash, and each pair of
+   its blocks is a group of its own, so that no bucket is held whole.
+3. MinHash values are compared a batch at a time; a pair is dropped once the posterior probability of reaching the threshold falls below the
+   tolerance. The first pass has the values alone and tells which members have pairs left. Their n-gram sets are then sent where they are
+   needed, and what pruning leaves is verified exactly. Pairs are counted in place and never leave as rows.
 4. Links give each row its number of links and, by connected components, its class id.
+
+With 24 bands of 4 values a pair of similarity 0.8 is a candidate with probability 1 - (1 - 0.8^4)^24 = 0.999997, and more surely above.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,8 @@ from .common import Scratch, components, groups, mix, partitions
 from .words import shingle_sets
 
 HASHES, ROWS, STEP = 96, 4, 16
-LIMIT, BLOCK, BLOCK_GRAMS = 2000, 512, 1 << 20
+#: Members of a block of a bucket, and their n-grams: buckets of long texts are cut finer.
+BLOCK, BLOCK_GRAMS = 512, 1 << 19
 TOLERANCE = 1e-6
 
 
@@ -41,7 +41,7 @@ def minhash(grams: np.ndarray) -> np.ndarray:
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(grams), 1024):
         np.minimum(out, (grams[i : i + 1024, None] * a + b).min(0), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (out >> np.uint64(48)).astype(np.uint16)  # a band of four is a number of 64 bits
 
 
 @lru_cache
@@ -58,29 +58,20 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> tuple[int,
     return tuple(out)
 
 
-def signatures(threshold: float, size: int):
+def signatures(size: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             out: list[tuple] = []
-            for doc_id, grams in zip(ids, shingle_sets(batch.column("text"), size), strict=True):
-                if not len(grams):
-                    out.append((doc_id, None, 0, None, []))
-                    continue
-                s = minhash(grams)
-                bands = s.reshape(-1, ROWS).astype(np.uint64)
-                h = np.arange(1, len(bands) + 1, dtype=np.uint64) << np.uint64(40)
-                for k in range(ROWS):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + bands[:, k])
-                out.append((doc_id, _key(grams), len(grams), s.tobytes(), h.view(np.int64).tolist()))
+            for doc_id, own, grams in zip(batch.column("doc_id").to_pylist(), batch.column("own").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
+                out.append((doc_id, own, _key(grams), len(grams), minhash(grams).astype("<u2").tobytes()) if len(grams) else (doc_id, own, None, 0, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SIGNED, strict=True)], schema=SIGNED)
 
     return run
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
-EDGES = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("sig", pa.binary())])
 LINKS = pa.schema([("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
+GROUP = ["band", "bucket", "low", "high"]
 
 
 def _key(grams: np.ndarray) -> bytes:
@@ -106,51 +97,6 @@ class Forest:
         return True
 
 
-def _bucket(threshold: float, last: bool):
-    near = least_matches(max(0.0, 2 * threshold - 1), 1e-4)[HASHES]
-    tight = next(m for m in range(HASHES + 1) if m >= HASHES * (threshold + (1 - threshold) * 0.7))
-
-    def run(batches):
-        for (bucket, _, _, parts), rows in groups(batches, ["bucket", "low", "high", "parts"]):
-            keys = rows.column("key").to_pylist()
-            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(keys), HASHES)
-            forest, leads, waiting, edges = Forest(len(keys)), [], np.ones(len(keys), bool), []
-            for i in range(len(keys)):
-                if not waiting[i]:
-                    continue
-                leads.append(i)
-                same = (sig == sig[i]).sum(1)
-                waiting[same >= tight] = False
-                waiting[i] = False
-                edges += [(i, j) for j in np.flatnonzero(same >= near).tolist() if j != i and forest.join(i, j)]
-            out = [("edge", bucket, keys[i], keys[j]) for i, j in edges] + [("lead", bucket, keys[i], None) for i in leads if parts > 1 and not last]
-            for i in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 5000], strict=True), EDGES, strict=True)], schema=EDGES)
-
-    return run
-
-
-def candidate_edges(scratch: Scratch, classes: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) between class keys whose components hold every candidate pair."""
-    n = partitions(scratch.spark)
-
-    def compared(rows: DataFrame, last: bool) -> DataFrame:
-        """Buckets in parts of about LIMIT members: each alone, or in the last round all pairs of them."""
-        counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        dealt = rows.join(counts, "bucket").withColumn("parts", F.ceil(F.col("n") / LIMIT).cast("int")).withColumn("salt", F.expr("cast(pmod(xxhash64(key), parts) as int)"))
-        met = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).where("parts = 1 or other != salt") if last else dealt.withColumn("other", F.col("salt"))
-        met = met.select("bucket", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "parts", "key")
-        full = met.join(classes.select("key", "sig"), "key").select("bucket", "low", "high", "parts", "key", "sig")
-        placed = full.repartition(n, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "key")
-        return scratch.write(placed.mapInArrow(_bucket(threshold, last), "kind string, bucket long, a binary, b binary"), "buckets")
-
-    first = compared(classes.select("key", F.explode("bands").alias("bucket")), False)
-    found, leads = first.where("kind = 'edge'").select("a", "b"), first.where("kind = 'lead'").select(F.col("a").alias("key"), "bucket")
-    if leads.isEmpty():
-        return found
-    return found.union(compared(leads, True).where("kind = 'edge'").select("a", "b"))
-
-
 def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs reach the threshold, exactly."""
     used, place = np.unique(np.concatenate((i, j)), return_inverse=True)
@@ -181,40 +127,63 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
     return both >= threshold * whole - 1e-9
 
 
-def surviving(sig: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of left and right rows (all pairs with left < right if they are the same) that pruning leaves."""
-    least, within = least_matches(threshold), left is right
+def surviving(sig: np.ndarray, band: int, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of left and right rows (all pairs with left < right if they are the same) of which this band is the first equal one and that pruning leaves."""
+    least, within, bands = least_matches(threshold), left is right, sig.view("<u8")
     found_i, found_j = [], []
     for k, i in enumerate(left.tolist()):
         others = right[k + 1 :] if within else right
+        if band:
+            others = others[~(bands[others, :band] == bands[i, :band]).any(1)]
         match = np.zeros(len(others), np.int64)
         for step in range(0, HASHES, STEP):
+            if not len(others):
+                break
             match += (sig[others, step : step + STEP] == sig[i, step : step + STEP]).sum(1)
             keep = match >= least[step + STEP]
             others, match = others[keep], match[keep]
-            if not len(others):
-                break
         found_i.append(np.full(len(others), i))
         found_j.append(others)
     empty = [np.zeros(0, np.int64)]
     return np.concatenate(found_i or empty), np.concatenate(found_j or empty)
 
 
+def _compared(threshold: float, key: tuple, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one pair of blocks that pruning leaves."""
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(rows.num_rows, HASHES)
+    block, (band, _, low, high) = np.asarray(rows.column("block")), key
+    left = np.flatnonzero(block == low)
+    return surviving(sig, band, left, left if low == high else np.flatnonzero(block == high), threshold)
+
+
+def _needed(threshold: float):
+    """Of the members of each pair of blocks, those with a pair left."""
+
+    def run(batches):
+        for key, rows in groups(batches, GROUP):
+            if rows.num_rows > 1:
+                pairs = _compared(threshold, key, rows)
+                used = np.unique(np.concatenate(pairs))
+                if len(used):
+                    yield from rows.select([*GROUP, "block", "key"]).take(used).combine_chunks().to_batches()
+
+    return run
+
+
 def _pairs(threshold: float):
     def run(batches):
-        for (_, low, high), rows in groups(batches, ["label", "low", "high"]):
-            keys, weight, block = rows.column("key").to_pylist(), np.array(rows.column("n_docs")), np.array(rows.column("block"))
-            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(keys), HASHES)
-            sets = [np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()]
-            left = np.flatnonzero(block == low)
-            i, j = surviving(sig, left, left if low == high else np.flatnonzero(block == high), threshold)
+        for key, rows in groups(batches, GROUP):
+            i, j = _compared(threshold, key, rows)
             if not len(i):
                 continue
-            real = verified(sets, i, j, threshold)
+            keys, weight = rows.column("key").to_pylist(), np.array(rows.column("n_docs"))
+            real = verified([np.frombuffer(x, np.uint64) for x in rows.column("grams").to_pylist()], i, j, threshold)
             i, j = i[real], j[real]
             links = np.bincount(i, weight[j], len(keys)) + np.bincount(j, weight[i], len(keys))
             forest = Forest(len(keys))
-            out = [("edge", keys[x], keys[y], 0) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y)]
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                forest.join(x, y)
+            out = [("edge", keys[x], keys[forest.root(x)], 0) for x in range(len(keys)) if forest.root(x) != x]
             out += [("links", keys[x], None, int(links[x])) for x in np.flatnonzero(links).tolist()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), LINKS, strict=True)], schema=LINKS)
@@ -227,7 +196,7 @@ def _grams(size: int):
         for batch in batches:
             keep, blobs = [], []
             for i, (key, grams) in enumerate(zip(batch.column("key").to_pylist(), shingle_sets(batch.column("text"), size), strict=True)):
-                if len(grams) and _key(grams) == key:  # else another text with the same doc_id
+                if len(grams) and _key(grams) == key:  # else another text of one hash
                     keep.append(i)
                     blobs.append(grams.tobytes())
             part = batch.drop_columns(["text"]).take(pa.array(keep, pa.int64()))
@@ -236,6 +205,24 @@ def _grams(size: int):
     return run
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    return members.repartition(*GROUP).sortWithinPartitions(*GROUP, "key")
+
+
+def candidates(scratch: Scratch, classes: DataFrame, threshold: float) -> DataFrame:
+    """band, bucket, low, high, block, key: the members of each pair of blocks that have a pair left after pruning."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda b: F.substring(F.col("sig"), b * 2 * ROWS + 1, F.lit(2 * ROWS)))
+    rows = classes.select("key", "n", F.posexplode(bands).alias("band", "bucket"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_GRAMS)).cast("int")
+    # Tables are written before they are joined, so that both sides of a join come from a shuffle and skewed ones can be split.
+    shared = scratch.write(rows.groupBy("band", "bucket").agg(blocks.alias("blocks"), F.count("*").alias("members")).where("members > 1").drop("members"), "shared")
+    members = rows.drop("n").join(shared, ["band", "bucket"]).withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
+    members = scratch.write(members, "members").join(classes.select("key", "sig"), "key")
+    members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    members = members.select("band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "sig")
+    return scratch.write(_dealt(members).mapInArrow(_needed(threshold), "band int, bucket binary, low int, high int, block int, key binary"), "needed")
+
+
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, class_id, class_size, n_links.
 
@@ -245,32 +232,29 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> Data
     fewer words than n have one n-gram, all their words. Rows that repeat a doc_id are rows like others; null doc_ids take part,
     and a class of them alone has a null class_id. Extra columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch, n = Scratch(spark, "jaccard"), partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.write(rows.mapInArrow(signatures(threshold, size), "doc_id long, key binary, n int, sig binary, bands array<long>"), "signed")
-    grouped = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = scratch.write(grouped, "classes")
-    labels = components(scratch, candidate_edges(scratch, classes, threshold))
-    member = classes.join(labels, classes["key"] == labels["node"]).select("key", "n_docs", "rep", "sig", "n", "label")
-    sizes = labels.join(classes, classes["key"] == labels["node"]).groupBy("label").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_grams"))
-    blocks = F.greatest(F.ceil(F.col("n_keys") / BLOCK), F.ceil(F.col("n_grams") / BLOCK_GRAMS)).cast("int")
-    placed = scratch.write(member.join(sizes.select("label", blocks.alias("blocks")), "label").withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) as int)")), "placed")
-    with_text = placed.join(rows, placed["rep"].eqNullSafe(rows["doc_id"])).select("label", "key", "n_docs", "sig", "block", "blocks", "text")
-    sets = with_text.mapInArrow(_grams(size), "label binary, key binary, n_docs long, sig binary, block int, blocks int, grams binary").dropDuplicates(["key"])
-    paired = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    paired = paired.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "n_docs", "block", "sig", "grams")
-    dealt = paired.repartition(n, "label", "low", "high").sortWithinPartitions("label", "low", "high", "key")
-    found = scratch.write(dealt.mapInArrow(_pairs(threshold), "kind string, a binary, b binary, links long"), "links")
-    links = found.where("kind = 'links'").groupBy("a").agg(F.sum("links").alias("links"))
-    final = components(scratch, found.where("kind = 'edge'").select("a", "b"))
-    per = classes.select("key", "n_docs", "rep").join(final, F.col("key") == F.col("node"), "left").select("key", "n_docs", "rep", F.coalesce("label", "key").alias("label"))
-    whole = per.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n_docs").alias("class_size"))
-    per = per.join(whole, "label").join(links.withColumnRenamed("a", "key"), "key", "left")
-    per = per.select("key", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
-    linked = signed.where("key is not null").select("doc_id", "key").join(per, "key").select("doc_id", "class_id", "class_size", "n_links")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
+    signed = scratch.write(rows.mapInArrow(signatures(size), "doc_id long, own long, key binary, n int, sig binary"), "signed")
+    # One row of a class is read again by its id and its text's hash.
+    grouped = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("least_id"), F.min(F.struct("own", "doc_id")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = scratch.write(grouped.select("key", "n_docs", "least_id", F.col("rep.own").alias("own"), F.col("rep.doc_id").alias("rep"), "n", "sig"), "classes")
+    needed = candidates(scratch, classes, threshold)
+    used = scratch.write(needed.select("key").distinct().join(classes, "key").select("key", "n_docs", "sig", F.col("own").alias("rep_own"), "rep"), "used")
+    with_text = used.join(rows, (F.col("rep_own") == rows["own"]) & F.col("rep").eqNullSafe(rows["doc_id"])).select("key", "n_docs", "sig", "text")
+    sets = with_text.mapInArrow(_grams(size), "key binary, n_docs long, sig binary, grams binary").dropDuplicates(["key"])
+    found = scratch.write(_dealt(needed.join(sets, "key")).mapInArrow(_pairs(threshold), "kind string, a binary, b binary, links long"), "links")
+    links = found.where("kind = 'links'").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    labels = components(scratch, found.where("kind = 'edge'").select("a", "b")).withColumnRenamed("node", "key")
+    per = scratch.write(classes.select("key", "n_docs", "least_id").join(labels, "key", "left").join(links, "key", "left"), "labelled")
+    whole = scratch.write(per.where("label is not null").groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("n_docs").alias("class_size")), "whole")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")
+    linked = per.join(whole, "label").select("key", "class_id", "class_size", n_links)
+    single = per.where("label is null").select("key", F.col("least_id").alias("class_id"), F.col("n_docs").alias("class_size"), n_links)
+    each = scratch.write(linked.union(single), "classed")
+    told = signed.where("key is not null").select("doc_id", "key").join(each, "key").select("doc_id", "class_id", "class_size", "n_links")
     alone = signed.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
-    return linked.union(alone)
+    return told.union(alone)
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
