@@ -3,6 +3,9 @@
 A text's fingerprint is its bytes read as a polynomial in 256 modulo a 127-bit prime. That of two joined parts is
 f(x + y) = f(x) * 256^len(y) + f(y), so chunks are hashed apart, in any order and place, and combined. Texts with
 equal fingerprint and length are compared chunk by chunk; only that comparison makes them equal.
+
+A huge text goes in pieces, which are hashed and compared in parallel as texts of their own. Its fingerprint is combined from its pieces', and
+it equals the texts whose pieces equal its own, place by place. No task holds such a text but the one that reads its row.
 """
 
 from __future__ import annotations
@@ -14,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 PRIME = 0x6A09E667F3BCC908B2FB1366EA957D3F  # raised to the next prime below; not near a power of two, for 256 must have a large order
 CHUNK = 1 << 16
 HELD = 48 << 20
+#: Bytes from which a text is huge, and of its pieces.
+HUGE, PIECE = 32 << 20, 4 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -65,57 +72,115 @@ def same(x: bytes, y: bytes) -> bool:
     return len(x) == len(y) and all(a == b for a, b in zip(chunks(x), chunks(y), strict=True))
 
 
-FOUND = pa.schema([("fp", pa.binary()), ("size", pa.int64()), ("sha", pa.string()), ("text", pa.binary()), ("ids", pa.list_(pa.int64()))])
-CLASSED = pa.schema([("group", pa.binary()), ("sha", pa.string()), ("doc_id", pa.int64())])
-
-
-def _gather(batches):
-    """Joins equal texts of one task, so that a hot text leaves it once, with the ids of its rows."""
-    held: dict[tuple, list] = {}
-    size = 0
+GATHERED, COMPARED = "fp binary, size long, sha string, text binary, ids array<{}>", "group binary, sha string, id {}"
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+
+def _gather(kind: pa.DataType, huge: int):
+    """Joins equal texts of one task, so that a hot text leaves it once, with the ids of its rows. Ids of huge texts leave alone."""
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def leave():
+            rows = [(key[0], key[1], sha, text, ids) for key, found in held.items() for sha, text, ids in found]
+            for i in range(0, len(rows), 2000):
+                yield _batch(rows[i : i + 2000], ["fp", "size", "sha", "text", "ids"], [pa.binary(), pa.int64(), pa.string(), pa.binary(), pa.list_(kind)])
+
+        for batch in batches:
+            for own, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
+                raw = text.as_py() or b""
+                if len(raw) >= huge:
+                    held.setdefault((b"", len(raw)), [(None, None, [])])[0][2].append(own)
+                    size += 40
+                    continue
+                low = raw.translate(LOWER)
+                value, length = fingerprint(low)
+                found = held.setdefault((value.to_bytes(16, "big"), length), [])
+                for known in found:
+                    if same(known[1], low):
+                        known[2].append(own)
+                        size += 40
+                        break
+                else:
+                    found.append((hashlib.sha256(low).hexdigest(), low, [own]))
+                    size += length + 240
+                if size > HELD:
+                    yield from leave()
+                    held, size = {}, 0
+        yield from leave()
+
+    return run
+
+
+def _compare(kind: pa.DataType):
+    """Texts of equal fingerprint and length follow one another; each is compared with one text of each class found so far. Huge texts have no class yet."""
+
+    def run(batches):
+        last, classes = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for fp, size, sha, text, ids in zip(*(batch.column(c) for c in ("fp", "size", "sha", "text", "ids")), strict=True):
+                key, text = (fp.as_py(), size.as_py()), text.as_py()
+                if text is None:
+                    out += [(None, None, i) for i in ids.as_py()]
+                    continue
+                if key != last:
+                    last, classes = key, []
+                number = next((i for i, known in enumerate(classes) if same(known, text)), len(classes))
+                if number == len(classes):
+                    classes.append(text)
+                name = key[0] + key[1].to_bytes(8, "big") + number.to_bytes(4, "big")
+                out += [(name, sha.as_py(), i) for i in ids.as_py()]
+            for i in range(0, len(out), 20_000):
+                yield _batch(out[i : i + 20_000], ["group", "sha", "id"], [pa.binary(), pa.string(), kind])
+
+    return run
+
+
+def _classed(rows: DataFrame, kind: pa.DataType, ddl: str, huge: int) -> DataFrame:
+    """group, sha, id of rows (id, text): equal groups for equal texts, null for huge ones."""
+    found = rows.mapInArrow(_gather(kind, huge), GATHERED.format(ddl))
+    return found.repartition("fp", "size").sortWithinPartitions("fp", "size").mapInArrow(_compare(kind), COMPARED.format(ddl))
+
+
+def _pieces(batches):
+    """Pieces of huge texts, each with its text's name and its place."""
+    for batch in batches:
+        for name, text in zip(batch.column("name").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
+            view = memoryview(text.as_buffer())
+            for place, at in enumerate(range(0, len(view), PIECE)):
+                yield _batch([(f"{name}/{place}", bytes(view[at : at + PIECE]))], ["id", "text"], [pa.string(), pa.binary()])
 
-    def leave():
-        rows = [(key[0], key[1], sha, text, ids) for key, found in held.items() for sha, text, ids in found]
-        for i in range(0, len(rows), 2000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 2000], strict=True), FOUND, strict=True)], schema=FOUND)
 
+def _combined(batches):
+    """The group of each text of its pieces' groups in order: the fingerprint that theirs combine to, and which classes they are."""
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
-            low = (text.as_py() or b"").translate(LOWER)
-            value, length = fingerprint(low)
-            found = held.setdefault((value.to_bytes(16, "big"), length), [])
-            for known in found:
-                if same(known[1], low):
-                    known[2].append(doc_id)
-                    break
-            else:
-                found.append((hashlib.sha256(low).hexdigest(), low, [doc_id]))
-                size += length + 200
-            if size > HELD:
-                yield from leave()
-                held, size = {}, 0
-    yield from leave()
-
-
-def _compare(batches):
-    """Texts of equal fingerprint and length follow one another; each is compared with one text of each class found so far."""
-    last, classes = None, []
-    for batch in batches:
-        out: list[tuple] = []
-        for fp, size, sha, text, ids in zip(*(batch.column(c) for c in ("fp", "size", "sha", "text", "ids")), strict=True):
-            key, text = (fp.as_py(), size.as_py()), text.as_py()
-            if key != last:
-                last, classes = key, []
-            number = next((i for i, known in enumerate(classes) if same(known, text)), len(classes))
-            if number == len(classes):
-                classes.append(text)
-            name = key[0] + key[1].to_bytes(8, "big") + number.to_bytes(4, "big")
-            out += [(name, sha.as_py(), i) for i in ids.as_py()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CLASSED, strict=True)], schema=CLASSED)
-
-
-def exact_groups(docs: DataFrame) -> DataFrame:
+        out = []
+        for name, parts in zip(batch.column("name").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+            value, size = reduce(combine, [(int.from_bytes(x[:16], "big"), int.from_bytes(x[16:24], "big")) for x in parts], (0, 0))
+            out.append((name, value.to_bytes(16, "big") + size.to_bytes(8, "big") + hashlib.sha256(b"".join(parts)).digest()))
+        yield _batch(out, ["name", "group"], [pa.string(), pa.binary()])
+
+
+def _huge_groups(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """group, sha, id of rows (id, text) of huge texts."""
+    sha = F.sha2(normalised(F.col("text")), 256)
+    named = rows.select("id", "text", sha.alias("sha")).withColumn("name", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "sha"))
+    names = scratch.write(named.drop("text"), "names")
+    pieces = named.select("name", "text").repartition("name").mapInArrow(_pieces, "id string, text binary")
+    classes = _classed(scratch.write(pieces, "pieces"), pa.string(), "string", 2 * PIECE)
+    # Rows equal in id and text share a name, and their pieces are the same.
+    parts = classes.groupBy(F.substring_index("id", "/", 1).alias("name")).agg(F.sort_array(F.collect_set(F.struct(F.substring_index("id", "/", -1).cast("int").alias("place"), "group"))).alias("parts"))
+    groups = parts.select("name", F.col("parts.group").alias("parts")).mapInArrow(_combined, "name string, group binary")
+    return names.join(groups, "name").select("group", "sha", "id")
+
+
+def exact_groups(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, empty texts are copies of one another.
@@ -123,11 +188,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     a group are null (keep_id is then null). Extra columns are not read, an empty table gives no rows. Equal texts are
     joined within each task first, so a text held by a third of all rows is shuffled once a task, and row ids alone after that.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_gather, "fp binary, size long, sha string, text binary, ids array<long>")
-    dealt = found.repartition("fp", "size").sortWithinPartitions("fp", "size")
-    members = dealt.mapInArrow(_compare, "group binary, sha string, doc_id long").groupBy("group", "sha", "doc_id").agg(F.count("*").alias("times"))
-    per = members.groupBy("group").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
+    scratch = Scratch(docs.sparkSession, "copies")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    members = scratch.write(_classed(rows, pa.int64(), "long", huge), "members")
+    if not members.where("group is null").isEmpty():
+        members = members.where("group is not null").union(_huge_groups(scratch, rows.where(F.octet_length("text") >= huge)))
+    members = members.withColumnRenamed("id", "doc_id")
+    # Written, so that both sides of the join come from a shuffle and AQE splits a hot group.
+    members = scratch.write(members.groupBy("group", "sha", "doc_id").agg(F.count("*").alias("times")), "members")
+    per = scratch.write(members.groupBy("group").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")), "groups")
     each = members.join(per, "group").select("doc_id", "keep_id", "group_size", "sha", F.explode(F.expr("sequence(1L, times)")).alias("nth"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
@@ -139,8 +208,19 @@ def normalised(text):
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group, all columns as they are."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_own", F.sha2(normalised(F.col("text")), 256))
-    joined = own.join(kept, (F.col("_own") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    """docs with one row of each group, all columns as they are.
+
+    It is the row that exact_groups() keeps; of rows that share its doc_id that with the least text, and of those with one text that of least hash.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    found = scratch.write(exact_groups(docs).select("doc_id", "kept", "text_sha256"), "groups")
+    odd = found.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 or doc_id is null").select("doc_id")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
+    if odd.isEmpty():
+        return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() != "map"]
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.sha2(normalised(text), 256).alias("sha"), F.struct(text, F.xxhash64(*plain)).alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = found.where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("of"))
+    first = rows.join(kept, F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("of")), "left_semi")
+    return first.groupBy("id", "sha").agg(F.min_by("row", "tie").alias("row")).select("row.*")
