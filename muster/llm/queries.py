@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, exact_dedup, license, ngram_join, pii, quality, sharding, simple8b, spm, suffix_dedup
@@ -12,12 +9,10 @@ from .common import table
 
 
 def vocabulary(name: str) -> str:
-    """The place of a public vocabulary file: a folder named by TOKENIZERS_DIR, or that of the installed files."""
-    folder = os.environ.get("TOKENIZERS_DIR")
-    if folder is None:
-        spec = importlib.util.find_spec("public_tokenizers")
-        folder = os.path.dirname(spec.origin) if spec else "/opt/tokenizers"
-    return os.path.join(folder, name)
+    """The place of a public vocabulary file on a machine that has the package, as executors must have it too."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,13 +65,7 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY low)""",
     "op3_license_scan": license.oracle(),
-    "op4_extendible_sharding": f"""
-        WITH h AS (SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
-            ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS x FROM documents),
-        p AS (SELECT *, x >> (60 - depth) AS prefix FROM h, (SELECT unnest(range(0, 57)) AS depth)),
-        t AS (SELECT *, sum(bytes) OVER g AS total, count(*) OVER g AS n FROM p WINDOW g AS (PARTITION BY depth, prefix)),
-        f AS (SELECT * FROM t WHERE total <= {sharding.LIMIT} OR n = 1 QUALIFY row_number() OVER (PARTITION BY doc_id, x ORDER BY depth) = 1)
-        SELECT doc_id, bytes, depth, prefix, 0 AS part, depth || '-' || prefix AS shard, CAST(total AS BIGINT) AS shard_bytes FROM f""",
+    "op4_extendible_sharding": sharding.oracle(),
     "op8_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9\x{0080}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents),
