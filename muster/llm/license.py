@@ -1,141 +1,228 @@
 """Licence scans by sentences: each normalised sentence that is known gives an identifier, and ordered rules match the sequence of identifiers.
 
-All of it is DataFrame expressions. A rule takes its identifiers out of the sequence, so that a later, shorter rule does not see them again.
+All of it is DataFrame expressions. A rule takes its identifiers out of the sequence, so that a later, shorter rule does not see them again; one
+identifier of another licence may stand between two of a rule, and stays.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Known sentences. Identifier, and what its sentence holds once it is in lower case with one space for whatever is not a letter or digit.
+_L, _UNDER = "licen[cs]e", "(?:under|by|subject to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+
+
+def _v(number: str) -> str:
+    """A version in a licence's name, as (version) 2.0 or v2."""
+    whole, _, part = number.partition(".")
+    return rf"(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?{whole}" + ("(?: 0)?" if part in ("", "0") else f" {part}")
+
+
+# Licences known by name. Identifier, licence, and the name in lower case with one space for whatever is not a letter or digit.
+NAMES = [
+    ("AGPL3", "AGPL-3.0", rf"(?:gnu )?affero general public {_L}{_v('3')}|(?:gnu )?agpl{_v('3')}"),
+    ("LGPL3", "LGPL-3.0", rf"(?:gnu )?(?:lesser|library) general public {_L}{_v('3')}|(?:gnu )?lgpl{_v('3')}"),
+    ("LGPL21", "LGPL-2.1", rf"(?:gnu )?(?:lesser|library) general public {_L}{_v('2.1')}|(?:gnu )?lgpl{_v('2.1')}"),
+    ("LGPL20", "LGPL-2.0", rf"(?:gnu )?(?:lesser|library) general public {_L}{_v('2')}|(?:gnu )?lgpl{_v('2')}"),
+    ("LGPL", "LGPL", rf"(?:gnu )?(?:lesser|library) general public {_L}|gnu lgpl"),
+    ("GPL3", "GPL-3.0", rf"gnu general public {_L}{_v('3')}|(?:gnu )?gpl{_v('3')}"),
+    ("GPL2", "GPL-2.0", rf"gnu general public {_L}{_v('2')}|(?:gnu )?gpl{_v('2')}"),
+    ("GPL1", "GPL-1.0", rf"gnu general public {_L}{_v('1')}|(?:gnu )?gpl{_v('1')}"),
+    ("GPLANY", "GPL", rf"gnu general public {_L}|gnu gpl"),
+    ("GFDL13", "GFDL-1.3", rf"gnu free documentation {_L}{_v('1.3')}"),
+    ("GFDL12", "GFDL-1.2", rf"gnu free documentation {_L}{_v('1.2')}"),
+    ("GFDL", "GFDL", rf"gnu free documentation {_L}"),
+    ("APACHE2", "Apache-2.0", rf"licen[cs]ed under the apache {_L}{_v('2')}|apache (?:software )?{_L}{_v('2')}|apache 2 0 {_L}"),
+    ("APACHE11", "Apache-1.1", rf"apache (?:software )?{_L}{_v('1.1')}"),
+    ("MPL2", "MPL-2.0", rf"mozilla public {_L}{_v('2')}"),
+    ("MPL11", "MPL-1.1", rf"mozilla public {_L}{_v('1.1')}"),
+    ("EPL2", "EPL-2.0", rf"eclipse public {_L}{_v('2')}"),
+    ("EPL1", "EPL-1.0", rf"eclipse public {_L}{_v('1')}"),
+    ("CPL1", "CPL-1.0", rf"common public {_L}{_v('1')}"),
+    ("CDDL11", "CDDL-1.1", rf"common development and distribution {_L}(?: cddl)?{_v('1.1')}"),
+    ("CDDL1", "CDDL-1.0", rf"common development and distribution {_L}(?: cddl)?(?:{_v('1')})?"),
+    ("EUPL12", "EUPL-1.2", rf"(?:european union public {_L}|eupl){_v('1.2')}"),
+    ("EUPL11", "EUPL-1.1", rf"(?:european union public {_L}|eupl){_v('1.1')}"),
+    ("ARTISTIC2", "Artistic-2.0", rf"artistic {_L}{_v('2')}"),
+    ("ARTISTIC1", "Artistic-1.0", rf"artistic {_L}(?:{_v('1')})?"),
+    ("BOOST", "BSL-1.0", rf"boost software {_L}(?:{_v('1')})?"),
+    ("BUSL", "BUSL-1.1", rf"business source {_L}(?:{_v('1.1')})?"),
+    ("OFL11", "OFL-1.1", rf"(?:sil )?open font {_L}(?:{_v('1.1')})?"),
+    ("ODBL", "ODbL-1.0", rf"open (?:data commons open )?database {_L}(?:{_v('1')})?"),
+    ("PSF", "PSF-2.0", rf"(?:python software foundation|psf) {_L}(?:{_v('2')})?"),
+    ("ZLIBREF", "Zlib", rf"zlib(?: libpng)? {_L}"),
+    ("WTFPL", "WTFPL", rf"do what the fuck you want to public {_L}|wtfpl"),
+    ("BSD0", "0BSD", rf"(?:zero clause|0 clause) bsd(?: {_L})?|bsd (?:zero|0) clause(?: {_L})?|0bsd {_L}"),
+    ("BSD2", "BSD-2-Clause", rf"(?:two|2) clause bsd(?: {_L})?|bsd (?:two|2) clause(?: {_L})?|(?:simplified|freebsd) bsd {_L}"),
+    ("BSD3", "BSD-3-Clause", rf"(?:three|3) clause bsd(?: {_L})?|bsd (?:three|3) clause(?: {_L})?|(?:new|modified|revised) bsd {_L}"),
+    ("BSD4", "BSD-4-Clause", rf"(?:four|4) clause bsd(?: {_L})?|bsd (?:four|4) clause(?: {_L})?"),
+    ("BSDANY", "BSD", rf"bsd(?: style)? {_L}"),
+    ("MITREF", "MIT", rf"(?:released|licen[cs]ed|distributed|available) {_UNDER}(?:mit|expat) {_L}|(?:mit|expat) {_L}"),
+    ("ISCREF", "ISC", rf"isc {_L}"),
+    ("CC0", "CC0-1.0", "cc0(?: 1 0)?|dedicated to the public domain"),
+    ("UNLICENSEREF", "Unlicense", "under (?:the )?unlicen[cs]e"),
+]
+#: Creative Commons licences, by their parts and versions.
+CC = [("BY-NC-SA", "by nc sa", "attribution non ?commercial share ?alike"), ("BY-NC-ND", "by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"), ("BY-NC", "by nc", "attribution non ?commercial"), ("BY-SA", "by sa", "attribution share ?alike"), ("BY-ND", "by nd", "attribution no ?deriv(?:ative)?s?(?: works)?"), ("BY", "by", "attribution")]
+NAMES += [(f"CC{part.replace('-', '')}" + ("" if v == "4.0" else v.replace(".", "")), f"CC-{part}-{v}", rf"(?:cc {short}|creative commons {long})(?: {_L})?(?: version| v)? ?{v.replace('.', ' ')}(?: international| generic| unported)?") for part, short, long in CC for v in ("4.0", "3.0", "2.5", "2.0", "1.0")]
+# Sentences of licences and notices that do not name one.
 SENTENCES = [
     ("MITGRANT", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("MITNOTICE", "the above copyright notice and this permission notice shall be included in all copies"),
-    ("ASIS", "(the|this) software is provided (by .{0,80} )?as is"),
-    ("MITREF", "(released|licen[cs]ed|distributed|available) under (the )?(terms of the )?(mit|expat) licen[cs]e"),
+    ("BOOSTGRANT", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("BOOSTNOTICE", "the copyright notices in the software and this entire statement including the above license grant"),
+    ("ASIS", "(?:the|this) (?:font )?software is provided (?:by .{0,80} )?as is"),
+    ("ISCNOTICE", "provided that the above copyright notice and this permission notice appear in all copies"),
     ("ISCGRANT", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("BSDREDIST", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("BSDSOURCE", "redistributions of source code must retain the above copyright notice"),
     ("BSDBINARY", "redistributions in binary form must reproduce the above copyright notice"),
+    ("BSDADVERT", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
     ("BSDENDORSE", "neither the name of .{0,120} may be used to endorse or promote products"),
-    ("APACHE2", "licen[cs]ed under the apache licen[cs]e version 2 0"),
     ("APACHECOMPLY", "you may not use this file except in compliance with the licen[cs]e"),
-    ("AGPL3", "(gnu )?affero general public licen[cs]e( as published by the free software foundation)?( either)? version 3"),
-    ("LGPL", "gnu (lesser|library) general public licen[cs]e"),
-    ("GPL3", "gnu general public licen[cs]e( as published by the free software foundation)?( either)? version 3"),
-    ("GPL2", "gnu general public licen[cs]e( as published by the free software foundation)?( either)? version 2"),
-    ("GPLANY", "gnu general public licen[cs]e"),
-    ("LATER", "or (at your option )?any later version"),
-    ("MPL2", "mozilla public licen[cs]e (v|version )?2 0"),
-    ("CCBYNCSA", "(cc by nc sa|creative commons attribution non ?commercial share ?alike) 4 0"),
-    ("CCBYNC", "(cc by nc|creative commons attribution non ?commercial) 4 0"),
-    ("CCBYSA", "(cc by sa|creative commons attribution share ?alike) 4 0"),
-    ("CCBY", "(cc by|creative commons attribution) 4 0"),
-    ("CC0", "(cc0 1 0|dedicated to the public domain)"),
+    ("MPLCOMPLY", "a copy of the mpl was not distributed with this file"),
+    ("ZLIBGRANT", "permission is granted to anyone to use this software for any purpose"),
+    ("ZLIBORIGIN", "the origin of this software must not be misrepresented"),
+    ("ZLIBALTERED", "altered source versions must be plainly marked as such"),
+    ("ZLIBKEEP", "this notice may not be removed or altered from any source distribution"),
+    ("EITHER3", "either version 3"),
+    ("EITHER21", "either version 2 1"),
+    ("EITHER2", "either version 2"),
+    ("EITHER1", "either version 1"),
+    ("LATER", "or (?:at your option )?(?:any )?later(?: version)?"),
     ("UNLICENSE", "this is free and unencumbered software released into the public domain"),
     ("RESERVED", "all rights reserved"),
 ]
-# Rules, the first to match first. A licence and its identifiers in order.
+# Rules of several sentences, the first to match first. A licence and its identifiers in order.
 RULES = [
+    ("BSD-4-Clause", ["BSDREDIST", "BSDSOURCE", "BSDBINARY", "BSDADVERT", "BSDENDORSE", "ASIS"]),
     ("BSD-3-Clause", ["BSDREDIST", "BSDSOURCE", "BSDBINARY", "BSDENDORSE", "ASIS"]),
     ("BSD-3-Clause", ["BSDREDIST", "BSDSOURCE", "BSDBINARY", "BSDENDORSE"]),
     ("BSD-2-Clause", ["BSDREDIST", "BSDSOURCE", "BSDBINARY", "ASIS"]),
     ("BSD-2-Clause", ["BSDREDIST", "BSDSOURCE", "BSDBINARY"]),
     ("MIT", ["MITGRANT", "MITNOTICE", "ASIS"]),
     ("MIT", ["MITGRANT", "MITNOTICE"]),
-    ("ISC", ["ISCGRANT", "ASIS"]),
-    ("ISC", ["ISCGRANT"]),
+    ("BSL-1.0", ["BOOSTGRANT", "BOOSTNOTICE", "ASIS"]),
+    ("BSL-1.0", ["BOOSTGRANT", "BOOSTNOTICE"]),
+    ("ISC", ["ISCGRANT", "ISCNOTICE", "ASIS"]),
+    ("ISC", ["ISCGRANT", "ISCNOTICE"]),
+    ("0BSD", ["ISCGRANT", "ASIS"]),
+    ("Zlib", ["ASIS", "ZLIBGRANT", "ZLIBORIGIN", "ZLIBALTERED", "ZLIBKEEP"]),
+    ("Zlib", ["ZLIBGRANT", "ZLIBORIGIN", "ZLIBALTERED", "ZLIBKEEP"]),
+    ("Unlicense", ["UNLICENSE", "ASIS"]),
+    ("Apache-2.0", ["APACHE2", "APACHECOMPLY", "APACHE2"]),
     ("Apache-2.0", ["APACHE2", "APACHECOMPLY"]),
-    ("Apache-2.0", ["APACHE2"]),
+    ("MPL-2.0", ["MPL2", "MPLCOMPLY"]),
+    ("AGPL-3.0-or-later", ["AGPL3", "LATER"]),
+    ("LGPL-3.0-or-later", ["LGPL3", "LATER"]),
+    ("LGPL-2.1-or-later", ["LGPL21", "LATER"]),
+    ("LGPL-2.0-or-later", ["LGPL20", "LATER"]),
+    ("LGPL-3.0-or-later", ["LGPL", "EITHER3", "LATER"]),
+    ("LGPL-2.1-or-later", ["LGPL", "EITHER21", "LATER"]),
+    ("LGPL-2.0-or-later", ["LGPL", "EITHER2", "LATER"]),
+    ("LGPL-3.0", ["LGPL", "EITHER3"]),
+    ("LGPL-2.1", ["LGPL", "EITHER21"]),
+    ("LGPL-2.0", ["LGPL", "EITHER2"]),
     ("GPL-3.0-or-later", ["GPL3", "LATER"]),
     ("GPL-2.0-or-later", ["GPL2", "LATER"]),
-    ("AGPL-3.0", ["AGPL3"]),
-    ("LGPL", ["LGPL"]),
-    ("GPL-3.0", ["GPL3"]),
-    ("GPL-2.0", ["GPL2"]),
-    ("GPL", ["GPLANY"]),
-    ("MIT", ["MITREF"]),
-    ("MPL-2.0", ["MPL2"]),
-    ("CC-BY-NC-SA-4.0", ["CCBYNCSA"]),
-    ("CC-BY-NC-4.0", ["CCBYNC"]),
-    ("CC-BY-SA-4.0", ["CCBYSA"]),
-    ("CC-BY-4.0", ["CCBY"]),
-    ("CC0-1.0", ["CC0"]),
-    ("Unlicense", ["UNLICENSE"]),
-    ("Proprietary", ["RESERVED"]),
-]
-# What notices hold beside the sentences that the SQL knows, and the rules for it, which go before those of GPL-3.0-or-later.
-MORE_SENTENCES = [("EITHER3", "either version 3"), ("EITHER2", "either version 2")]
-MORE_RULES = [
+    ("GPL-1.0-or-later", ["GPL1", "LATER"]),
     ("GPL-3.0-or-later", ["GPLANY", "EITHER3", "LATER"]),
     ("GPL-2.0-or-later", ["GPLANY", "EITHER2", "LATER"]),
-    ("AGPL-3.0-or-later", ["AGPL3", "LATER"]),
-    ("LGPL", ["LGPL", "EITHER3", "LATER"]),
-    ("LGPL", ["LGPL", "EITHER2", "LATER"]),
-    ("LGPL", ["LGPL", "EITHER3"]),
-    ("LGPL", ["LGPL", "EITHER2"]),
-    ("LGPL", ["LGPL", "LATER"]),
+    ("GPL-1.0-or-later", ["GPLANY", "EITHER1", "LATER"]),
+    ("GFDL-1.3-or-later", ["GFDL13", "LATER"]),
+    ("GFDL-1.2-or-later", ["GFDL12", "LATER"]),
     ("GPL-3.0", ["GPLANY", "EITHER3"]),
     ("GPL-2.0", ["GPLANY", "EITHER2"]),
 ]
-#: A sentence ends at a mark before white space, or at an empty line. A word of HINT is in every known sentence.
+# Identifiers that are a licence by themselves, beside the names.
+SINGLE = {name: licence for name, licence, _ in NAMES} | {"UNLICENSE": "Unlicense", "RESERVED": "Proprietary", "ISCGRANT": "0BSD", "MITGRANT": "MIT", "BOOSTGRANT": "BSL-1.0"}
+#: Licence identifiers after the SPDX tag, with their ending.
+TAG = "spdx licen[cs]e identifier "
+_TAGGED = sorted({licence for _, licence, _ in NAMES}, key=lambda x: (-len(x), x))
+TAGS = [(f"TAG:{x}{end}", TAG + re.sub("[^a-z0-9]+", " ", (x + end).lower())) for x in _TAGGED for end in ("-or-later", "-only", "")]
+SINGLE |= {name: name.removeprefix("TAG:").removesuffix("-only") for name, _ in TAGS}
+KNOWN = TAGS + SENTENCES + [(name, pattern) for name, _, pattern in NAMES]
+ANY = r"\b(?:" + "|".join(f"(?:{p})" for _, p in KNOWN) + r")\b"
+#: A sentence ends at a mark before white space, or at an empty line. A text with a known sentence has a match of HINT, and so has the sentence.
 END = r"[.!?;:][\"')]*\s+|\n\s*\n"
-HINT = r"licen[cs]e|permission|redistribution|provided|neither the name|later version|public domain|creative\s+commons|cc.?by|cc0|rights\s+reserved|software"
+HINT = r"licen[cs]|permission|redistribut|provided|endorse|version|later|domain|creative|cc[^a-z0-9]*(?:by|0)|rights\s|software|gpl|eupl|wtfpl|bsd|misrepresented|altered|this[^a-z0-9]+entire|advertising|the[^a-z0-9]+mpl"
+#: A full stop within a version, as in v. 2.0, ends no sentence; a tag's colon neither.
+JOINED = [(r"\b(v|ver|version)\.\s*([0-9])", "{0}1 {0}2"), (r"(spdx-license-identifier):\s*", "{0}1 ")]
+
 
-#: HINT for texts whose white space and marks are not joined yet, with what MORE_SENTENCES hold.
-LOOSE = "|".join([*(h.replace(r"\s+", " ").replace(" ", "[^a-z0-9]+").replace(".?", "[^a-z0-9]*") for h in HINT.split("|")), "either[^a-z0-9]+version"])
+def _sequence(ids: list[str]) -> tuple[str, str]:
+    """What matches a rule's identifiers with at most one other between two, and what is left of it, groups written {0}n."""
+    return "((?:,[^,]+,)??)".join(f",{re.escape(i)}," for i in ids), "".join(f"{{0}}{k}" for k in range(1, len(ids)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, sentences, licenses, unmatched.
 
-    sentences are the identifiers found in order, licenses the licences of the rules that matched in order of the rules, each as often as it was found,
-    unmatched the identifiers that no rule took; all joined by commas, empty where there are none, as for null and empty texts. A sentence that holds
-    several known ones gives each in order of place, but none within another; of two at one place the first listed. Lines of one sentence are joined.
-    Repeated rows give the same row each; extra columns are not read; an empty table gives no rows.
+    sentences are the identifiers found in order; licenses the licences of the rules that matched in order of the rules, each as often as it was found,
+    and then those of identifiers that are a licence by themselves, in order of place; unmatched the identifiers that neither took; all joined by commas,
+    empty where there are none, as for null and empty texts. A sentence that holds several known ones gives each in order of place, but none within
+    another; of two at one place the first listed. Lines of one sentence are joined. Repeated rows give the same row each; extra columns are not read; an
+    empty table gives no rows.
     """
-    known, at = SENTENCES + MORE_SENTENCES, [name for name, _ in RULES].index("GPL-3.0-or-later")
-    rules, any_known = RULES[:at] + MORE_RULES + RULES[at:], r"\b(?:" + "|".join(p for _, p in known) + r")\b"
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def identifiers(sentence):
         plain = F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
-        return F.transform(F.regexp_extract_all(plain, F.lit(any_known), F.lit(0)), identifier)
+        return F.transform(F.regexp_extract_all(plain, F.lit(ANY), F.lit(0)), identifier)
 
     def identifier(match):
         out = None
-        for name, pattern in known:
+        for name, pattern in KNOWN:
             hit = F.regexp_like(match, F.lit(f"^(?:{pattern})$"))
             out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
         return out
 
-    hinted = F.filter(F.split(low, END), lambda s: F.regexp_like(s, F.lit(LOOSE)))
-    found = F.when(F.regexp_like(low, F.lit(LOOSE)), F.flatten(F.transform(hinted, identifiers))).otherwise(F.array().cast("array<string>"))
+    whole = low
+    for pattern, to in JOINED:
+        whole = F.regexp_replace(whole, pattern, to.format("$"))
+    hinted = F.filter(F.split(whole, END), lambda s: F.regexp_like(s, F.lit(HINT)))
+    found = F.when(F.regexp_like(low, F.lit(HINT)), F.flatten(F.transform(hinted, identifiers))).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
     rows = rows.select("doc_id", F.array_join("found", ",").alias("sentences"), F.when(F.size("found") > 0, F.concat(F.lit(","), F.array_join("found", ",,"), F.lit(","))).otherwise("").alias("left"))
     parts = []
-    for k, (name, ids) in enumerate(rules):
-        want = ",,".join(ids)
-        rows = rows.withColumns({f"n{k}": F.when(F.col("left") != "", F.regexp_count("left", F.lit(f",{want},"))).otherwise(0), "left": F.replace("left", F.lit(f",{want},"), F.lit(""))})
+    for k, (name, ids) in enumerate(RULES):
+        pattern, rest = _sequence(ids)
+        rows = rows.withColumns({f"n{k}": F.when(F.col("left") != "", F.regexp_count("left", F.lit(pattern))).otherwise(0), "left": F.when(F.col("left") != "", F.regexp_replace("left", pattern, rest.format("$"))).otherwise("")})
         parts.append(F.array_repeat(F.lit(name), F.col(f"n{k}")))
-    return rows.select("doc_id", "sentences", F.array_join(F.concat(*parts), ",").alias("licenses"), F.trim(F.regexp_replace("left", ",+", " ")).alias("unmatched")).withColumn("unmatched", F.replace("unmatched", F.lit(" "), F.lit(",")))
+    ids = F.filter(F.split("left", ","), lambda x: x != "")
+    licence = F.create_map(*[F.lit(x) for pair in SINGLE.items() for x in pair])
+    rows = rows.select("doc_id", "sentences", F.concat(*parts).alias("ruled"), ids.alias("ids"))
+    single = F.filter(F.transform("ids", lambda x: F.try_element_at(licence, x)), lambda x: x.isNotNull())
+    left = F.filter("ids", lambda x: ~x.isin(list(SINGLE)))
+    return rows.select("doc_id", "sentences", F.array_join(F.concat("ruled", single), ",").alias("licenses"), F.array_join(left, ",").alias("unmatched"))
 
 
 def oracle() -> str:
     """The same in the SQL of the correctness check."""
-    case = " ".join(f"WHEN regexp_matches(trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')), '\\b{p}\\b') THEN '{n}'" for n, p in SENTENCES)
-    end, hint = END.replace("'", "''"), HINT
+
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    case = " ".join(f"WHEN regexp_full_match(x, {text(p)}) THEN {text(n)}" for n, p in KNOWN)
+    whole = "lower(coalesce(text, ''))"
+    for pattern, to in JOINED:
+        whole = f"regexp_replace({whole}, {text(pattern)}, {text(to.format(chr(92)))}, 'g')"
     steps, names, last = [], [], "f"
     for k, (name, ids) in enumerate(RULES):
-        want = f",{',,'.join(ids)},"
-        steps.append(f"r{k} AS (SELECT * REPLACE (replace(rest, '{want}', '') AS rest), (length(rest) - length(replace(rest, '{want}', ''))) // {len(want)} AS n{k} FROM {last})")
-        names.append(f"list_transform(range(n{k}), lambda i: '{name}')")
+        pattern, rest = _sequence(ids)
+        steps.append(f"r{k} AS (SELECT * REPLACE (regexp_replace(rest, {text(pattern)}, {text(rest.format(chr(92)))}, 'g') AS rest), len(regexp_extract_all(rest, {text(pattern)})) AS n{k} FROM {last})")
+        names.append(f"list_transform(range(n{k}), lambda i: {text(name)})")
         last = f"r{k}"
+    singles = "MAP {" + ", ".join(f"{text(a)}: {text(b)}" for a, b in SINGLE.items()) + "}"
     return f"""
-        WITH s AS (SELECT doc_id, list_filter(list_transform(list_filter(string_split_regex(lower(coalesce(text, '')), '{end}'), lambda s: regexp_matches(s, '{hint}')),
-            lambda s: CASE {case} END), lambda x: x IS NOT NULL) AS found FROM documents),
-        f AS (SELECT doc_id, coalesce(array_to_string(found, ','), '') AS sentences, CASE WHEN len(found) > 0 THEN ',' || array_to_string(found, ',,') || ',' ELSE '' END AS rest FROM s),
-        {", ".join(steps)}
-        SELECT doc_id, sentences, coalesce(array_to_string(flatten([{", ".join(names)}]), ','), '') AS licenses,
-            replace(trim(regexp_replace(rest, ',+', ' ', 'g')), ' ', ',') AS unmatched FROM {last}"""
+        WITH s AS (SELECT doc_id, list_filter(string_split_regex({whole}, {text(END)}), lambda s: regexp_matches(s, {text(HINT)})) AS parts FROM documents),
+        w AS (SELECT doc_id, flatten(list_transform(parts, lambda s: regexp_extract_all(trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')), {text(ANY)}))) AS hits FROM s),
+        g AS (SELECT doc_id, list_transform(hits, lambda x: CASE {case} END) AS found FROM w),
+        f AS (SELECT doc_id, coalesce(array_to_string(found, ','), '') AS sentences, CASE WHEN len(found) > 0 THEN ',' || array_to_string(found, ',,') || ',' ELSE '' END AS rest FROM g),
+        {", ".join(steps)},
+        e AS (SELECT *, list_filter(string_split(rest, ','), lambda x: x <> '') AS ids, {singles} AS m FROM {last})
+        SELECT doc_id, sentences,
+            coalesce(array_to_string(list_concat(flatten([{", ".join(names)}]), list_filter(list_transform(ids, lambda x: m[x]), lambda x: x IS NOT NULL)), ','), '') AS licenses,
+            coalesce(array_to_string(list_filter(ids, lambda x: m[x] IS NULL), ','), '') AS unmatched FROM e"""
