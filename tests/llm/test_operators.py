@@ -121,6 +121,28 @@ def test_repeats_of_equal_rows(spark):
     assert sorted(got, key=str) == sorted((want[r] for r in rows), key=str)
 
 
+@pytest.mark.parametrize("most", [4, 1024])
+def test_repeats_of_a_common_passage(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", most)
+    r = random.Random(8)
+    prose = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage, tails = prose(400), [prose(40) for _ in range(5)]
+    rows = [(i, prose(r.randint(0, 150)) + r.choice(tails) * (i % 3) + passage[: 400 - i % 7] + r.choice(tails)[: r.randint(0, 40)] + prose(r.randint(0, 90))) for i in range(5000)]
+    rows[17] = (17, rows[17][1] + passage + prose(3_000_000) + passage + rows[3][1])  # over several slabs
+    seen, want = set(), {}
+    for i, t in rows:
+        raw, gone = t.encode(), np.zeros(len(t) + 1, np.int64)
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k] += 1
+                gone[k + 100] -= 1
+            seen.add(raw[k : k + 100])
+        gone = np.cumsum(gone)[:-1] > 0
+        want[i] = (len(raw), int(gone.sum()), hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["kept_sha256"]) for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == want
+
+
 def test_links_are_those_of_brute_force(spark):
     r = random.Random(5)
     words = ["w%d" % i for i in range(400)]
@@ -137,8 +159,8 @@ def test_links_are_those_of_brute_force(spark):
     assert got == want
 
 
-def test_links_of_buckets_over_the_limit(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LIMIT", 3)
+def test_links_of_buckets_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
     words = ["w%d" % i for i in range(600)]
     texts = [words[8 * i : 8 * i + 160] for i in range(24)] + [[*words[300:459], "x"][: 10 + 6 * i] + ["y%d" % i] + words[311 + 6 * i : 460] for i in range(24)]
     rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
@@ -149,6 +171,22 @@ def test_links_of_buckets_over_the_limit(spark, monkeypatch):
     assert got == want
 
 
+def test_links_of_a_template(spark):
+    words = ["w%d" % i for i in range(60)]
+    rows = [(i, " ".join([*words, *(f"v{i}x{k}" for k in range(5))])) for i in range(3500)] + [(9000 + i, " ".join(f"u{i}x{k}" for k in range(30))) for i in range(300)]
+    got = {x["doc_id"]: (x["class_id"], x["class_size"], x["n_links"]) for x in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, 3500, 3499) if i < 3500 else (i, 1, 0) for i, _ in rows}
+
+
+def test_links_of_odd_rows(spark):
+    a, b = " ".join("w%d" % i for i in range(40)), " ".join("w%d" % i for i in range(39)) + " other"
+    rows = [(None, a, 1), (None, a, 1), (None, b, 1), (3, a.upper(), 2), (3, a, 2), (7, b, 3), (8, "", 3), (8, None, 3), (9, "few words", 3), (10, "Few, words!", 3), (11, "?!", 3)]
+    got = sorted([tuple(x) for x in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect()], key=str)
+    assert got == sorted([(None, 3, 6, 5)] * 3 + [(3, 3, 6, 5)] * 2 + [(7, 3, 6, 5), (8, 8, 1, 0), (8, 8, 1, 0), (9, 9, 2, 1), (10, 9, 2, 1), (11, 11, 1, 0)], key=str)
+    left = ngram_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, key int"))
+    assert left.columns == ["doc_id", "text", "key"] and sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["None"] * 3 + ["3", "3", "8", "8", "9", "11"])
+
+
 def test_leaks(spark):
     r = random.Random(2)
     item = "".join(r.choice("abcdefghijklmnop ") for _ in range(120))
@@ -169,14 +207,43 @@ def test_leaks_of_short_items(spark):
     assert got[1, 1][1:] == (10, 13) and got[6, 1][1:] == (0, 3)
 
 
+def _replaced(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [x["text"] for x in pii.replace_entities(docs, "key").orderBy("doc_id").collect()]
+
+
 def test_surrogates(spark):
-    docs = spark.createDataFrame([(1, "Mr. John Smith and Mrs Ann Smith, JOHN@x.com john@x.com 4111 1111 1111 1111 10.0.0.1"), (2, "Mr John Smith 4111111111111111"), (3, None)], "doc_id long, text string")
-    got = {x["doc_id"]: x["text"] for x in pii.replace_entities(docs, "key").collect()}
-    assert got[3] is None and "Smith" not in got[1] and "4111" not in got[1] + got[2]
-    assert re.search(r"Mr\. (\w+ \w+) and", got[1])[1] == re.search(r"Mr (\w+ \w+) ", got[2])[1]
-    assert re.search(r"(\d{4} ){3}\d{4}", got[1])[0].replace(" ", "") == re.search(r"\d{16}", got[2])[0]
-    upper, lower = re.findall(r"\S+@\S+", got[1])
-    assert upper.lower() == lower
+    got = _replaced(spark, ["Mr. John Smith and Mrs Ann Smith, JOHN@x.com john@x.com 4111 1111 1111 1111 10.0.0.1", "Mr John Smith 4111111111111111", None, "", "call 555-0199 or +1 (212) 555-0187"])
+    assert got[2] is None and got[3] == "" and "Smith" not in got[0] and "4111" not in got[0] + got[1] and "555" not in got[4]
+    assert re.search(r"Mr\. (\w+ \w+) and", got[0])[1] == re.search(r"Mr (\w+ \w+) ", got[1])[1]
+    card = re.search(r"\d{16}", got[1])[0]
+    assert re.search(r"(\d{4} ){3}\d{4}", got[0])[0].replace(" ", "") == card
+    assert sum(int(d) if k % 2 == 0 else int(d) * 2 % 10 + int(d) // 5 for k, d in enumerate(reversed(card))) % 10 == 0
+    upper, lower = re.findall(r"\S+@\S+", got[0])
+    assert upper.split("@")[0].lower() == lower.split("@")[0] and upper.split("@")[0].isupper() and upper.split("@")[1] == lower.split("@")[1]
+
+
+def test_one_person_has_one_surrogate(spark):
+    a, b, c = _replaced(spark, ["Mr John Smith came. John Smith left. Mr Smith, Dr John Smith. MR SMITH, john? Smith's", "Mrs Ann Smith, Ann.", "Mrs Ελένη Παππά and господин Иванов, John.Doe@X.com\ue000"])
+    first, last = re.match(r"Mr (\w+) (\w+) came", a).groups()
+    assert a == f"Mr {first} {last} came. {first} {last} left. Mr {last}, Dr {first} {last}. MR {last.upper()}, john? {last}'s" or "John" in a  # "john" stands in lower case as well
+    assert last not in ("Smith",) and last in b and "Ann" not in b and "Smith" not in a + b
+    greek, russian, mail = re.match(r"Mrs (\w+ \w+) and господин (\w+), (\S+)$", c.rstrip("\ue000")).groups()
+    assert c.endswith("\ue000") and all(0x370 <= ord(x) < 0x400 for x in greek if x != " ") and all(0x400 <= ord(x) < 0x500 for x in russian)
+    assert [x.isupper() for x in mail] == [x.isupper() for x in "John.Doe@X.com"] and mail.endswith(".com")
+    assert first.endswith("n") and re.match(r"Mrs (\w+)", b)[1].endswith("na")  # given names end by gender
+
+
+def test_surrogates_are_distinct(spark):
+    r = random.Random(4)
+    numbers = [f"{a}-{b:04d}" for a in ("555", "556") for b in range(0, 10000, 3)]  # a third of two formats' hosts
+    mails = sorted({f"{''.join(r.choice('abc') for _ in range(3))}@{x}.org" for _ in range(80) for x in "mn"})
+    names = [f"{a}{b}{c}" for a in "BCDFGH" for b in "aeiou" for c in ("rt", "nd", "ll")]
+    lines = [*numbers, *mails, *(f"Mr {n} Stone" for n in names)]
+    got = _replaced(spark, lines)
+    assert len(set(got)) == len(lines) and not set(got) & set(lines)
+    assert all(re.fullmatch(r"\d{3}-\d{4}", x) for x in got[: len(numbers)]) and len({x.split("@")[1] for x in got[len(numbers) : len(numbers) + len(mails)]}) == 2
+    assert len({x.split()[2] for x in got[-len(names) :]}) == 1
 
 
 def test_labels_in_any_case(spark):
@@ -204,7 +271,7 @@ def test_licence_notices(spark):
     texts = {
         notice % (":", "", ",", "3"): ("GPL3,LATER", "GPL-3.0-or-later", ""),
         notice % (";", "", ";", "2"): ("GPLANY,EITHER2,LATER", "GPL-2.0-or-later", ""),
-        notice % (";", "Lesser ", ";", "2.1"): ("LGPL,EITHER2,LATER", "LGPL", ""),
+        notice % (";", "Lesser ", ";", "2.1"): ("LGPL,EITHER21,LATER", "LGPL-2.1-or-later", ""),
         notice % (":", "Affero ", ",", "3"): ("AGPL3,LATER", "AGPL-3.0-or-later", ""),
         "Licensed under the Apache License, Version 2.0 or the GNU General Public License version 2": ("APACHE2,GPL2", "Apache-2.0,GPL-2.0", ""),
         "Under CC-BY-NC-SA 4.0": ("CCBYNCSA", "CC-BY-NC-SA-4.0", ""),
