@@ -27,7 +27,7 @@ from .words import shingle_sets
 
 HASHES, ROWS, STEP = 96, 4, 16
 #: Members of a block of a bucket, and their n-grams: buckets of long texts are cut finer.
-BLOCK, BLOCK_GRAMS = 512, 1 << 19
+BLOCK, BLOCK_GRAMS = 256, 1 << 19
 TOLERANCE = 1e-6
 
 
