@@ -6,12 +6,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words too common to tell texts apart. A parameter of all that uses them.
-STOP = ["и", "в", "во", "на", "не", "что", "он", "она", "они", "как", "а", "но", "по", "с", "со", "к", "у", "за", "из", "от", "для", "это", "то", "же", "бы", "был", "была", "были", "его", "ее", "их", "о", "об", "при", "до", "или", "так", "где"]
+STOP = ["и", "в", "во", "на", "с", "со", "к", "ко", "по", "о", "об", "от", "до", "из", "у", "за", "а", "но", "что", "как", "это", "он", "она", "его", "её", "ее", "их", "он", "же", "ли", "не", "ни", "то", "так", "для", "при", "под", "над", "без"]
 SPLIT = r"[^\p{L}\p{N}]+"
-# Number words and their values, and the words that make a number one of years.
-NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "fifteen": 15, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "один": 1, "год": 1, "два": 2, "двух": 2, "три": 3, "трех": 3, "четыре": 4, "четырех": 4, "пять": 5, "пяти": 5, "шесть": 6, "шести": 6, "семь": 7, "семи": 7, "восемь": 8, "восьми": 8, "девять": 9, "девяти": 9, "десять": 10, "десяти": 10, "пятнадцать": 15, "двадцать": 20, "двадцати": 20, "тридцать": 30, "тридцати": 30, "сорок": 40, "сорока": 40, "пятьдесят": 50}
-YEAR_WORDS = ["year", "years", "год", "года", "году", "лет", "годы"]
-AT_WORDS = ["at", "в", "во", "с", "со"]
+# Number words and their values, the words that make a number one of years, and those that make it an age.
+NUMBER_WORDS = {
+    "один": 1, "одного": 1, "год": 1,
+    "два": 2, "двух": 2,
+    "три": 3, "трёх": 3, "трех": 3,
+    "четыре": 4, "четырёх": 4, "четырех": 4,
+    "пять": 5, "пяти": 5,
+    "шесть": 6, "шести": 6,
+    "семь": 7, "семи": 7,
+    "восемь": 8, "восьми": 8,
+    "девять": 9, "девяти": 9,
+    "десять": 10, "десяти": 10,
+    "одиннадцать": 11, "одиннадцати": 11,
+    "двенадцать": 12, "двенадцати": 12,
+    "тринадцать": 13, "тринадцати": 13,
+    "четырнадцать": 14, "четырнадцати": 14,
+    "пятнадцать": 15, "пятнадцати": 15,
+    "шестнадцать": 16, "шестнадцати": 16,
+    "семнадцать": 17, "семнадцати": 17,
+    "восемнадцать": 18, "восемнадцати": 18,
+    "девятнадцать": 19, "девятнадцати": 19,
+    "двадцать": 20, "двадцати": 20, "двадцатью": 20,
+    "тридцать": 30, "тридцати": 30,
+    "сорок": 40, "сорока": 40,
+    "пятьдесят": 50, "пятидесяти": 50,
+}
+YEAR_WORDS = ["лет", "года", "годами", "год", "летний", "летним"]
+AT_WORDS = ["в", "во", "с", "со"]
+# The same for English texts.
+NUMBER_WORDS |= {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50}
+YEAR_WORDS += ["year", "years"]
+AT_WORDS += ["at"]
 
 
 def words(text: Column, stop: list[str] | None = None) -> Column:
@@ -70,6 +98,11 @@ def year_claims(tokens: Column) -> Column:
     return F.aggregate(named, start, step)["out"]
 
 
+def claimed_years(claims: Column) -> Column:
+    """The numbers of claims, sorted and distinct."""
+    return F.array_sort(F.array_distinct(F.transform(claims, lambda c: c["n"])))
+
+
 def explained(claims: Column, age: Column, durations: Column, earliest: Column | None = None) -> Column:
     """Whether each claim n is 0 < n <= a duration, or age - longest <= n <= age, or, after "at", earliest <= n <= age."""
     longest = F.coalesce(F.array_max(durations), F.lit(0))
@@ -114,20 +147,65 @@ def unfenced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
 
 
-def short_after_first(text: Column, full: Column, polite: Column) -> Column:
-    """The full name at its first place, the polite form after that."""
-    at = F.instr(text, full)
-    rest = F.substr(text, at + F.length(full))
-    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), full, F.replace(rest, full, polite))).otherwise(text)
+def short_after_first(fields: list[Column], full: Column) -> list[Column]:
+    """Texts in order with the full name at its first place in the first text that has it, and without the surname at all later ones."""
+    polite = F.regexp_extract(full, r"^\S+\s+(.*)$", 1)
+    usable = F.coalesce((full != "") & (polite != ""), F.lit(False))
+    out, seen = [], F.lit(False)
+    for text in fields:
+        at = F.instr(text, full)
+        first = F.concat(F.substr(text, F.lit(1), at - 1), full, F.replace(F.substr(text, at + F.length(full)), full, polite))
+        out.append(F.when(~usable | F.coalesce(at == 0, F.lit(True)), text).when(seen, F.replace(text, full, polite)).otherwise(first))
+        seen = seen | F.coalesce(at > 0, F.lit(False))
+    return out
+
+
+# Endings of a surname's cases, by whether it ends in "а", and how words of a father's name end.
+FEMALE_CASES, MALE_CASES = ["ой", "у", "ою"], ["а", "у", "ым", "е", "ом"]
+FATHERLY = "(вич|вна|ична|ичем|ича|вной|вну|вне|ичу)$"
+
+
+def surname_forms(surname: Column) -> Column:
+    """A surname and its cases."""
+    stem = F.regexp_replace(surname, "а$", "")
+    female = F.array(surname, *[F.concat(stem, F.lit(e)) for e in FEMALE_CASES])
+    return F.when(F.endswith(surname, F.lit("а")), female).otherwise(F.array(surname, *[F.concat(surname, F.lit(e)) for e in MALE_CASES]))
+
+
+def repaired_surname(text: Column, full: Column) -> Column:
+    """text with words that are nearly the full name's surname made it: four or more letters, its first three, two edits at most from one of its forms and none of
+    them. Words like a father's name, and those that begin like the given names, are left."""
+    surname = F.substring_index(full, " ", 1)
+    own = F.transform(F.slice(F.split(full, r"\s+"), 2, 9), lambda w: F.left(w, F.lit(5)))
+
+    def mend(token):
+        word = F.regexp_replace(token, r"[^\p{L}-]", "")
+        forms = surname_forms(surname)
+        odd = (F.char_length(word) >= 4) & F.startswith(word, F.left(surname, F.lit(3))) & ~F.array_contains(forms, word) & ~F.regexp_like(word, F.lit(FATHERLY))
+        odd = odd & ~F.exists(own, lambda o: F.startswith(word, o)) & F.exists(forms, lambda f: F.levenshtein(f, word) <= 2)
+        at = F.instr(token, word)
+        return F.when(odd & (at > 0), F.concat(F.substr(token, F.lit(1), at - 1), surname, F.substr(token, at + F.length(word)))).otherwise(token)
+
+    return F.when(F.coalesce(F.char_length(surname) >= 4, F.lit(False)), F.array_join(F.transform(F.split(text, " "), mend), " ")).otherwise(text)
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """Lines of whole words of at most so many characters, a longer word alone."""
+    def put(a, w):
+        last = F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))
+        fits = (last != "") & (F.char_length(last) + F.char_length(w) < width)
+        return F.when(fits, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, w)))).otherwise(F.concat(a, F.array(w)))
+
+    return F.aggregate(F.filter(F.split(text, r"\s+"), lambda w: w != ""), F.array().cast("array<string>"), put)
+
 
+def named(surname: Column, texts: list[Column]) -> Column:
+    """Whether one of the texts holds the surname; an empty one is held by all."""
+    return F.coalesce(surname == "", F.lit(True)) | F.greatest(*[F.coalesce(F.contains(t, surname), F.lit(False)) for t in texts])
 
-def repaired_surname(text: Column, forms: Column, right: Column) -> Column:
-    """Words of four or more letters that begin like the surname and are within two edits of one of its forms, but are none, become it."""
-    def mend(w):
-        core = F.regexp_extract(w, r"[\p{L}-]+", 0)
-        near = F.exists(forms, lambda f: (F.levenshtein(F.lower(core), F.lower(f)) <= 2) & (F.left(F.lower(core), F.lit(3)) == F.left(F.lower(f), F.lit(3))))
-        known = F.exists(forms, lambda f: F.lower(f) == F.lower(core))
-        kin = F.regexp_like(core, F.lit("(?i)(ович|евич|овна|евна)$"))
-        return F.when((F.length(core) >= 4) & near & ~known & ~kin, F.replace(w, core, right)).otherwise(w)
 
-    return F.array_join(F.transform(F.split(text, " "), mend), " ")
+def name_fault(name: Column, banned: list[str], most: int = 3) -> Column:
+    """What is wrong with a name for a place: empty, too many words, a banned part, a digit; else null."""
+    words_ = F.size(F.filter(F.split(F.coalesce(name, F.lit("")), r"\s+"), lambda w: w != ""))
+    part = first_banned(name, banned)
+    return F.when(words_ == 0, "empty").when(words_ > most, "long").when(part.isNotNull(), F.concat(F.lit("banned "), part)).when(F.regexp_like(name, F.lit("[0-9]")), "digits")
