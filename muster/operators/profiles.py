@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def numeric_profile(df: DataFrame, column: str) -> DataFrame:
     """n, min, p10, median, p90, max, mean: q(f) is the value at place round((n - 1) f) of the sorted ones.
 
-    Equal values are counted before they are ordered, so only distinct values are sorted.
+    Equal values are counted first; distinct ones are dealt in ranges, and no task has them all.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("c"))
-    running = counts.withColumns({"upto": F.sum("c").over(Window.orderBy("x")), "n": F.sum("c").over(Window.partitionBy())})
+    upto = ranks.running(counts, [F.col("x").asc()], F.col("c"))
+    whole = upto.agg(F.sum("c").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"))
     at = lambda f: F.min(F.when(F.col("upto") > F.round((F.col("n") - 1) * F.lit(f)), F.col("x")))
-    return running.agg(F.max("n").alias("n"), F.min("x").alias("min"), at(0.1).alias("p10"), at(0.5).alias("median"), at(0.9).alias("p90"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"))
+    places = upto.join(F.broadcast(whole.select("n"))).agg(at(0.1).alias("p10"), at(0.5).alias("median"), at(0.9).alias("p90"))
+    return whole.crossJoin(F.broadcast(places)).select("n", "min", "p10", "median", "p90", "max", "mean")  # a row each
+
+
+def bool_profile(df: DataFrame, column: str) -> DataFrame:
+    """share: how many of all rows are true; null counts as false, no rows as 0."""
+    return df.agg(F.coalesce(F.avg(F.coalesce(F.col(column), F.lit(False)).cast("int")), F.lit(0.0)).alias("share"))
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
@@ -27,11 +36,12 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     return df.where(x.isNotNull()).groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def category_profile(df: DataFrame, column: str, top: int = 25) -> DataFrame:
-    """value, n, share of all rows, distinct: the most frequent values, ties by value."""
+def category_profile(df: DataFrame, column: str, top: int | None = 25) -> DataFrame:
+    """value, n, share of all rows, distinct: the most frequent values, ties by value; all of them where top is None."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).where("value is not null")
     total, distinct = df.agg(F.count("*").alias("total")), counts.agg(F.count("*").alias("distinct"))
-    return counts.orderBy(F.desc("n"), "value").limit(top).join(F.broadcast(total)).join(F.broadcast(distinct)).select("value", "n", (F.col("n") / F.col("total")).alias("share"), "distinct")
+    some = counts if top is None else counts.orderBy(F.desc("n"), "value").limit(top)
+    return some.join(F.broadcast(total)).join(F.broadcast(distinct)).select("value", "n", (F.col("n") / F.col("total")).alias("share"), "distinct")
 
 
 def list_profile(df: DataFrame, column: str) -> DataFrame:
