@@ -1,4 +1,4 @@
-"""Acceptance of model answers: parse, repair, then checks in a fixed order; the first that fails names the reason."""
+"""Acceptance of model answers: parse, repair, then checks in a fixed order; the first that fails names the kind of the rejection and its detail."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 OVERLAP = 0.35
+#: Kinds of rejection.
+KINDS = ("not_structured", "missing_field", "too_short", "forbidden", "fact_drift")
 
 
 @dataclass
@@ -18,42 +20,72 @@ class Policy:
     banned: list[str] = field(default_factory=list)
     echoes: dict[str, str] = field(default_factory=dict)  # answer field -> parameter
     durations: list[str] = field(default_factory=list)
+    moments: list[str] = field(default_factory=list)  # ages of known events
     age: str | None = None
+    full_name: str | None = None  # whose name is repaired
+    named: str | None = None  # whose surname must occur
+    named_in: list[str] = field(default_factory=list)
     year: int = 2026
     overlap: float = OVERLAP
+    overlap_least: int = 0  # fields at least so long are held against one another
+    unique: list[str] = field(default_factory=list)  # fields that uniqueness looks at; none: those of 100 characters and more
     latin_is_foreign: bool = True
 
 
-def reject_reason(answers: DataFrame, policy: Policy, answer: str = "answer") -> DataFrame:
-    """answers with the parsed fields and reject_reason, null for accepted rows.
+def judged(answers: DataFrame, policy: Policy, answer: str = "answer") -> DataFrame:
+    """answers with the parsed and repaired fields, reject_kind and reject_reason, null for accepted rows, and unique_text.
 
-    The order: unparsed, missing or short, overlap of two fields, a banned phrase, a foreign word, an echo that differs, an unexplained number of years, a year out of lifetime.
+    The order: parsing; repair of names; missing, short; overlap of two fields, a banned phrase, a foreign word; an echo that differs, an unexplained number of
+    years, a year out of lifetime; a person who is not named.
     """
-    schema = ", ".join(f"`{f}` string" for f in [*policy.fields, *policy.echoes])
-    parsed = answers.withColumn("_a", F.from_json(T.unfenced(F.col(answer)), schema)).withColumn("_object", F.coalesce(F.get_json_object(T.unfenced(F.col(answer)), "$").startswith("{"), F.lit(False)))
+    raw = T.unfenced(F.col(answer))
     names = list(policy.fields)
-    wide = parsed.withColumns({f"_{f}": F.col("_a")[f] for f in [*names, *policy.echoes]}).withColumn("_w", F.array(*[T.words(F.col(f"_{f}")) for f in names]))
-    wide = wide.withColumns({f"_s{i}": T.shingles(F.col("_w")[i]) for i in range(len(names))})
-    prose = F.concat_ws(" ", *[F.col(f"_{f}") for f in names])
-    tests: list[tuple[Column, Column]] = [(~F.col("_object"), F.lit("unparsed"))]
+    schema = ", ".join([*(f"`{f}` string" for f in names), *(f"`{e}` string" for e in policy.echoes)])
+    parsed = answers.withColumn("_a", F.from_json(raw, schema)).withColumn("_object", F.coalesce(F.startswith(F.get_json_object(raw, "$"), F.lit("{")), F.lit(False)))
+    texts = [F.col("_a")[f] for f in names]
+    if policy.full_name:
+        full = F.col(policy.full_name)
+        texts = T.short_after_first([T.repaired_surname(x, full) for x in texts], full)
+    wide = parsed.withColumns({f"_{f}": x for f, x in zip(names, texts, strict=True)} | {f"_{e}": F.col("_a")[e] for e in policy.echoes})
+    wide = wide.withColumns({f"_w{i}": T.words(F.col(f"_{f}")) for i, f in enumerate(names)})
+    wide = wide.withColumns({f"_s{i}": T.shingles(F.col(f"_w{i}")) for i in range(len(names))})
+    prose = F.concat_ws(" ", *[F.coalesce(F.col(f"_{f}"), F.lit("")) for f in names])
+    tests: list[tuple[Column, str, Column]] = [(~F.col("_object"), "not_structured", F.lit("unparsed"))]
     for f, least in policy.fields.items():
-        tests += [(F.coalesce(F.trim(f"_{f}"), F.lit("")) == "", F.lit(f"missing {f}")), (F.char_length(f"_{f}") < least, F.lit(f"short {f}"))]
-    for i in range(len(names)):
-        for j in range(i + 1, len(names)):
+        tests += [(F.col(f"_{f}").isNull(), "missing_field", F.lit(f"missing {f}")), (F.char_length(f"_{f}") < least, "too_short", F.lit(f"short {f}"))]
+    long = [i for i, f in enumerate(names) if policy.fields[f] >= policy.overlap_least]
+    for at, i in enumerate(long):
+        for j in long[at + 1 :]:
             a, b = F.col(f"_s{i}"), F.col(f"_s{j}")
-            tests.append((F.greatest(T.containment(a, b), T.containment(b, a)) > F.lit(policy.overlap).cast("float"), F.lit(f"overlap {names[i]} {names[j]}")))
+            tests.append((F.greatest(T.containment(a, b), T.containment(b, a)) > F.lit(policy.overlap).cast("float"), "forbidden", F.lit(f"overlap {names[i]} {names[j]}")))
     if policy.banned:
         found = T.first_banned(prose, policy.banned)
-        tests.append((found.isNotNull(), F.concat(F.lit("banned "), found)))
+        tests.append((found.isNotNull(), "forbidden", F.concat(F.lit("banned "), found)))
     if policy.latin_is_foreign:
-        tests.append((T.foreign_word(prose).isNotNull(), F.concat(F.lit("foreign "), T.foreign_word(prose))))
-    for f, p in policy.echoes.items():
-        tests.append((F.coalesce(F.try_to_number(F.col(f"_{f}"), F.lit("999999999")).cast("long") != F.col(p).cast("long"), F.lit(False)), F.lit(f"echo {f}")))
+        tests.append((T.foreign_word(prose).isNotNull(), "forbidden", F.concat(F.lit("foreign "), T.foreign_word(prose))))
+    for e, p in policy.echoes.items():
+        stated = F.when(F.regexp_like(F.col(f"_{e}"), F.lit("^-?[0-9]{1,18}$")), F.col(f"_{e}")).cast("long")
+        tests.append((F.coalesce(stated != F.col(p).cast("long"), F.lit(False)), "fact_drift", F.lit(f"echo {e}")))
     if policy.age:
         age = F.col(policy.age)
-        wide = wide.withColumn("_t", F.split(F.lower(prose), T.SPLIT)).withColumn("_claims", T.year_claims(F.col("_t")))
-        tests.append((~T.explained(F.col("_claims"), age, F.array(*[F.col(d) for d in policy.durations])), F.lit("unexplained years")))
-        tests.append((F.exists(T.calendar_years(prose), lambda y: (y < policy.year - age) | (y > policy.year)), F.lit("year out of lifetime")))
-    reason = F.coalesce(*[F.when(F.coalesce(t, F.lit(False)), r) for t, r in tests])
-    kept = [F.col(f"_a.{f}").alias(f) for f in names]
-    return wide.withColumn("reject_reason", reason).select(*answers.columns, *kept, "reject_reason")
+        spans = F.array_compact(F.array(*[F.col(d).cast("long") for d in policy.durations])) if policy.durations else F.array().cast("array<bigint>")
+        longest = F.coalesce(F.array_max(spans), F.lit(0))
+        earliest = F.least(age - longest, *[F.col(m).cast("long") for m in policy.moments]) if policy.moments else age - longest
+        wide = wide.withColumn("_t", F.filter(F.split(F.lower(prose), T.SPLIT), lambda x: x != "")).withColumn("_claims", T.year_claims(F.col("_t")))
+        tests.append((age.isNotNull() & ~T.explained(F.col("_claims"), age, spans, earliest), "fact_drift", F.lit("unexplained years")))
+        tests.append((F.exists(T.calendar_years(prose), lambda y: (y < policy.year - age) | (y > policy.year)), "fact_drift", F.lit("year out of lifetime")))
+    if policy.named:
+        surname = F.substring_index(F.col(policy.named), " ", 1)
+        tests.append((~T.named(surname, [F.col(f"_{f}") for f in policy.named_in or names]), "missing_field", F.concat(F.lit("not named "), F.col(policy.named))))
+    failed = [F.coalesce(t, F.lit(False)) for t, _, _ in tests]
+    reason = F.coalesce(*[F.when(t, r) for t, (_, _, r) in zip(failed, tests, strict=True)])
+    kind = F.coalesce(*[F.when(t, F.lit(k)) for t, (_, k, _) in zip(failed, tests, strict=True)])
+    compared = policy.unique or [f for f in names if policy.fields[f] >= 100]
+    unique = F.concat_ws(" ", *[F.col(f"_{f}") for f in compared]) if compared else F.lit(None).cast("string")
+    kept = [F.col(f"_{f}").alias(f) for f in names]
+    return wide.withColumns({"reject_kind": kind, "reject_reason": reason, "unique_text": unique}).select(*answers.columns, *kept, "reject_kind", "reject_reason", "unique_text")
+
+
+def reject_reason(answers: DataFrame, policy: Policy, answer: str = "answer") -> DataFrame:
+    """judged() without kinds and the text for uniqueness."""
+    return judged(answers, policy, answer).drop("reject_kind", "unique_text")

@@ -54,6 +54,26 @@ def request(d: Dictionary, brief: str, schema: str, max_tokens: int = 2000) -> C
     return F.to_json(F.struct(F.lit(0.9).alias("temperature"), F.lit(max_tokens).alias("max_tokens"), user.alias("user"), F.lit(schema).alias("schema")))
 
 
+def model_request(model: str, system: str, user: Column, schema: str | None = None, max_tokens: int | None = None, temperature: float | None = None, effort: str = "low", supports_schema: bool = False, supports_effort: bool = False) -> Column:
+    """The body of a call to a chat model. A model that keeps no schema is asked for an object; an effort is stated only where it is known and not low."""
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    parts = [F.lit(model).alias("model"), F.array(said("system", F.lit(system)), said("user", user)).alias("messages")]
+    parts += [F.lit(max_tokens).alias("max_tokens")] * (max_tokens is not None) + [F.lit(temperature).alias("temperature")] * (temperature is not None)
+    parts += [F.lit(effort).alias("reasoning_effort")] * (supports_effort and effort != "low")
+    body = F.to_json(F.struct(*parts))
+    if schema is None:
+        return body
+    form = f'{{"type":"json_schema","json_schema":{{"name":"result","strict":true,"schema":{schema}}}}}' if supports_schema else '{"type":"json_object"}'
+    return F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"response_format":' + form + "}"))
+
+
+def model_response(body: Column, price_in: Column, price_out: Column) -> Column:
+    """(text, tokens_in, tokens_out, cost) of a chat model's answer: its first choice, empty where there is none; prices are per million tokens."""
+    n = lambda path: F.coalesce(F.get_json_object(body, path).cast("long"), F.lit(0))
+    tin, tout = n("$.usage.prompt_tokens"), n("$.usage.completion_tokens")
+    return F.struct(F.coalesce(F.get_json_object(body, "$.choices[0].message.content"), F.lit("")).alias("text"), tin.alias("tokens_in"), tout.alias("tokens_out"), (tin / 1e6 * price_in + tout / 1e6 * price_out).alias("cost"))
+
+
 def image_requests(df: DataFrame, d: Dictionary, roles: list[tuple[str, str, str | None]]) -> DataFrame:
     """A row for each role (role, style, role it builds on) of each row."""
     wanted = F.array(*[F.struct(F.lit(r).alias("role"), F.concat_ws("\n", F.lit(style), block(d, "visual")).alias("prompt"), F.lit(ref).cast("string").alias("ref_role")) for r, style, ref in roles])
