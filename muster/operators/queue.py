@@ -20,22 +20,45 @@ def claim(jobs: DataFrame, limit: int, kinds: list[str] | None = None) -> DataFr
     return some.withColumn("place", place).where(F.col("place") <= limit).withColumns({"status": F.lit("running"), "attempts": F.col("attempts") + 1})
 
 
-def fold(events: DataFrame, max_attempts: int = 5) -> DataFrame:
-    """State of each job from its events (job, event, cost): status, attempts, cost.
+MAX_ATTEMPTS = 5
+STATE = "struct<status:string,attempts:int,cost:double>"
 
-    claim starts an attempt; complete ends the job; fail ends the attempt and costs, too; release gives the attempt back without cost; reap ends it. A job is done
-    once complete, dead once its attempts are used up and the last failed, running after a claim, else pending. Events of a job are ordered by id.
+
+def step(state: Column, event: Column, cost: Column, max_attempts: int = MAX_ATTEMPTS) -> Column:
+    """A job's state (status, attempts, cost) after an event; the one rule for batches and streams.
+
+    claim takes a pending job and starts an attempt; complete and fail end a job whatever its state, and cost; release gives a running job's attempt back without
+    cost; reap ends it. A failed or reaped job whose attempts are used up is dead, else pending. Other events change nothing.
+    """
+    pending, running = state["status"] == "pending", state["status"] == "running"
+    ended = F.when(state["attempts"] >= max_attempts, "dead").otherwise("pending")
+    status = F.when(pending & (event == "claim"), "running").when(event == "complete", "done").when(running & (event == "release"), "pending").when((event == "fail") | (running & (event == "reap")), ended).otherwise(state["status"])
+    attempts = F.when(pending & (event == "claim"), state["attempts"] + 1).when(running & (event == "release"), F.greatest(state["attempts"] - 1, F.lit(0))).otherwise(state["attempts"])
+    paid = F.when(event.isin("complete", "fail"), F.coalesce(cost, F.lit(0.0))).otherwise(0.0)
+    return F.struct(status.alias("status"), attempts.cast("int").alias("attempts"), (state["cost"] + paid).alias("cost")).cast(STATE)
+
+
+def fold(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """State of each job from its events (job, id, event, cost) in order of id: status, attempts, cost, by step().
+
+    Events are dealt in ranges of (job, id), so a job with a third of all events is cut into as many stretches as ranges hold it, and none is gathered whole. The
+    first stretch of a job is folded from its start; a later one from each state that it could begin in, of which the stretches' own order picks one.
     """
-    is_ = lambda *k: F.col("event").isin(*k)
-    last = F.max_by("event", "id")
-    out = events.groupBy("job").agg(
-        F.greatest(F.count_if(is_("claim")) - F.count_if(is_("release")), F.lit(0)).alias("attempts"),
-        F.coalesce(F.sum(F.when(is_("complete", "fail"), F.col("cost"))), F.lit(0.0)).alias("cost"),
-        F.bool_or(is_("complete")).alias("_done"),
-        last.alias("_last"),
-    )
-    status = F.when(F.col("_done"), "done").when(F.col("_last").isin("fail", "reap") & (F.col("attempts") >= max_attempts), "dead").when(F.col("_last") == "claim", "running").otherwise("pending")
-    return out.select("job", status.alias("status"), "attempts", "cost")
+    start = F.struct(F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(0.0).alias("cost")).cast(STATE)
+    every = [F.struct(F.lit(s).alias("status"), F.lit(a).alias("attempts"), F.lit(0.0).alias("cost")).cast(STATE) for s in ("pending", "running", "done", "dead") for a in range(max_attempts + 1)]
+    ranged = events.select("job", "id", "event", F.col("cost").cast("double").alias("cost")).repartitionByRange("job", "id").withColumn("stretch", F.spark_partition_id())
+    held = ranged.groupBy("job", "stretch").agg(F.sort_array(F.collect_list(F.struct("id", "event", "cost"))).alias("events"))
+    first = F.row_number().over(Window.partitionBy("job").orderBy("stretch")) == 1
+    walked = lambda begin: F.aggregate("events", begin, lambda s, e: step(s, e["event"], e["cost"], max_attempts))
+    ends = held.withColumn("first", first).select("job", "stretch", F.when(F.col("first"), F.array(walked(start))).otherwise(F.transform(F.array(*every), walked)).alias("ends"))
+
+    def follow(state, x):
+        place = F.array_position(F.array(*[F.lit(s) for s in ("pending", "running", "done", "dead")]), state["status"]).cast("int") - 1
+        end = F.when(F.size(x["ends"]) == 1, x["ends"][0]).otherwise(F.get(x["ends"], place * (max_attempts + 1) + state["attempts"]))
+        return F.struct(end["status"].alias("status"), end["attempts"].alias("attempts"), (state["cost"] + end["cost"]).alias("cost")).cast(STATE)
+
+    joined = ends.groupBy("job").agg(F.sort_array(F.collect_list(F.struct("stretch", "ends"))).alias("stretches"))
+    return joined.select("job", F.aggregate("stretches", start, follow).alias("s")).select("job", "s.status", "s.attempts", "s.cost")
 
 
 def reap(jobs: DataFrame, now: Column, stale_seconds: int = 900, max_attempts: int = 5) -> DataFrame:
@@ -84,3 +107,42 @@ def error_class(status: Column, body: Column) -> Column:
 def retried(kind: Column, idempotent: Column) -> Column:
     """Calls that may be repeated: a rate limit always, a server's error only where repeating does no harm."""
     return (kind == "rate") | ((kind == "server") & idempotent)
+
+
+def ledger(entries: DataFrame) -> DataFrame:
+    """Current state of each batch from an append-only ledger (id, batch_id, collection, expected, status, error): the last entry's, and how often it was inflight."""
+    return entries.groupBy("batch_id").agg(F.max_by(F.struct("collection", "expected", "status", "error"), "id").alias("x"), F.count_if(F.col("status") == "inflight").alias("attempts")).select("batch_id", "x.*", "attempts")
+
+
+def unresolved(batches: DataFrame) -> DataFrame:
+    """Batches whose outcome is not known: each belongs to its own collection and is held against that alone."""
+    return batches.where("status in ('unknown', 'inflight')")
+
+
+def resolution(reconciled: DataFrame) -> DataFrame:
+    """What follows from a batch's verdict: its next status, whether its jobs go back to be batched anew, and whether what landed of it is deleted first."""
+    v = F.col("verdict")
+    return reconciled.withColumns({"next": F.when(v == "committed", "committed").otherwise("failed"), "detach": v != "committed", "delete": v == "partial"})
+
+
+def detached(jobs: DataFrame, batches: DataFrame) -> DataFrame:
+    """jobs with no batch where theirs is one of batches (batch_id)."""
+    gone = batches.select(F.col("batch_id").alias("_gone")).distinct()
+    return jobs.join(gone, F.col("batch_id") == F.col("_gone"), "left").withColumn("batch_id", F.when(F.col("_gone").isNull(), F.col("batch_id"))).drop("_gone")
+
+
+def chunks(claimed: DataFrame, size: int = 4) -> DataFrame:
+    """Claimed jobs with the round of `size` jobs of their session that works on them."""
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("id"))
+    return claimed.withColumn("chunk", F.floor((place - 1) / size).cast("long"))
+
+
+def next_state(status: Column, spent: Column, budget: Column, fatal: Column, settled: Column) -> Column:
+    """A session between claims: paused stays, a fatal error fails it, a spent budget pauses it, settled work ends it."""
+    return F.when(status == "paused", "paused").when(fatal, "failed").when(F.coalesce(spent >= budget, F.lit(False)), "paused").when(settled, "done").otherwise("running")
+
+
+def backoff(attempt: Column, base: float = 0.5, most: float = 30.0, hinted: Column | None = None) -> Column:
+    """Seconds to wait before a call is repeated: doubled each time up to a bound, or what the server asked for."""
+    own = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt))
+    return F.coalesce(hinted, own) if hinted is not None else own

@@ -5,12 +5,15 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import words
+from ..operators import ranks
+
 RESERVED = {"sort", "page", "per_page", "q", "filter"}
-PAGE_MAX = 1000
+PAGE_MAX, BULK_MAX = 1000, 250
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -33,9 +36,26 @@ def find_one(df: DataFrame, **equal) -> DataFrame:
 
 
 def ids_where(df: DataFrame, **equal) -> DataFrame:
+    """Ids under equality filters: what a store gives in pages is one scan here."""
     return where_equal(df, equal).select("id")
 
 
+def count(df: DataFrame, **equal) -> DataFrame:
+    return where_equal(df, equal).agg(F.count("*").alias("n"))
+
+
+def of_prefix(df: DataFrame, prefix: str, **equal) -> DataFrame:
+    """Records whose natural key begins so, under equality filters."""
+    return where_equal(df, equal).where(F.startswith("natural_key", F.lit(prefix)))
+
+
+def search(df: DataFrame, query: str, text: str = "text", key: str = "id", limit: int = 10, **equal) -> DataFrame:
+    """The records that share most distinct words with a query, ties by key: their key and score. A report of the best few."""
+    asked = F.array_distinct(words(F.lit(query)))
+    found = where_equal(df, equal).select(F.col(key), words(F.col(text)).alias("w")).withColumn("score", F.size(F.array_intersect("w", asked)))
+    return found.where("score > 0").select(key, F.col("score").cast("long")).orderBy(F.desc("score"), key).limit(limit)
+
+
 def where_equal(df: DataFrame, equal: dict) -> DataFrame:
     for k, v in equal.items():
         if k in RESERVED:
@@ -58,6 +78,13 @@ def append_batch(df: DataFrame, path: str, batch_id: str) -> None:
     df.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("batch_id").json(path)
 
 
+def requests(df: DataFrame, key: str = "natural_key", size: int = BULK_MAX) -> DataFrame:
+    """df with the number of the bulk request that carries each row: in order of key, at most size rows a request."""
+    if not 1 <= size <= BULK_MAX:
+        raise ValueError(f"a bulk request carries 1 to {BULK_MAX} rows")
+    return ranks.running(df, [F.col(key).asc()], name="_n").withColumn("request", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
+
+
 def append_missing(new: DataFrame, stored: DataFrame, path: str) -> None:
     """Writes only the rows whose natural key is not stored: a repeated write adds nothing."""
     missing(new, stored).write.mode("append").parquet(path)
@@ -98,13 +125,28 @@ def mirrored(primary: Callable[[DataFrame], DataFrame], mirror: Callable[[DataFr
 
 def double_wrapped(df: DataFrame, column: str) -> DataFrame:
     """Records whose data lies in data.data."""
-    return df.where(F.get_json_object(column, "$.data.data").startswith("{"))
+    return df.where(wrapped_twice(F.col(column)))
+
+
+def wrapped_twice(record: Column) -> Column:
+    return F.coalesce(F.startswith(F.get_json_object(record, "$.data.data"), F.lit("{")), F.lit(False))
+
+
+def enveloped(record: Column) -> Column:
+    """A record in the store's envelope; one that is in it already is left."""
+    return F.when(F.get_json_object(record, "$.data").isNotNull(), record).otherwise(F.concat(F.lit('{"data":'), record, F.lit("}")))
+
+
+def opened(record: Column) -> Column:
+    """What is in a record's envelope, of two if it is wrapped twice."""
+    return F.when(wrapped_twice(record), F.get_json_object(record, "$.data.data")).otherwise(F.coalesce(F.get_json_object(record, "$.data"), record))
 
 
 def restored(jobs: DataFrame, sessions: DataFrame, schema: str) -> DataFrame:
     """Collections out of the log of jobs: results of done jobs with their session's kind, in id order; results that do not parse are passed over."""
     out = jobs.join(sessions.select(F.col("id").alias("session_id"), F.col("kind").alias("collection")), "session_id").where("status = 'done' and result is not null")
-    return out.withColumn("record", F.from_json("result", schema)).where("record is not null").select("id", "collection", "record.*").orderBy("id")
+    out = out.where(F.startswith(F.get_json_object("result", "$"), F.lit("{")))
+    return out.withColumn("record", F.from_json("result", schema)).select("id", "collection", "record.*").orderBy("id")
 
 
 def finished(jobs: DataFrame, kind: str, session: str | None = None) -> DataFrame:
@@ -125,33 +167,62 @@ def unverified(catalog: DataFrame) -> DataFrame:
     return catalog.where("not verified").select("model")
 
 
+def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """x: what a JSON file holds; a byte order mark is passed over."""
+    text = F.regexp_replace("value", "^\ufeff", "")
+    return spark.read.text(path, wholetext=True).select(F.from_json(text, schema).alias("x"))
+
+
 def service_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Services with a row for each segment that has a price range."""
-    raw = spark.read.option("multiLine", True).schema("service string, needs string, price map<string,array<double>>").json(path)
+    raw = _json(spark, path, "array<struct<service:string,needs:string,price:map<string,array<double>>>>").select(F.inline("x"))
     return raw.select("service", "needs", F.explode("price").alias("segment", "range")).select("service", "needs", "segment", F.col("range")[0].alias("low"), F.col("range")[1].alias("high"))
 
 
 def name_book(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Lists of a name book; every male first name must have a patronymic."""
     entry = "array<struct<name:string,by_decade:map<string,double>,weight:double>>"
-    raw = spark.read.option("multiLine", True).schema(f"male_first {entry}, female_first {entry}, patronymics map<string,struct<male:string,female:string>>, surnames array<struct<male:string,female:string,weight:double>>").json(path)
+    raw = _json(spark, path, f"struct<male_first:{entry},female_first:{entry},patronymics:map<string,struct<male:string,female:string>>,surnames:array<struct<male:string,female:string,weight:double>>>").select("x.*")
     first = None
     for g, c in (("m", "male_first"), ("f", "female_first")):
         part = raw.select(F.explode(c).alias("x")).select(F.lit(g).alias("gender"), "x.name", F.explode("x.by_decade").alias("decade", "weight"))
         first = part if first is None else first.union(part)
     patronymics = raw.select(F.explode("patronymics").alias("father", "p")).select("father", "p.*")
-    bare = raw.select(F.explode("male_first").alias("x")).select(F.col("x.name").alias("father")).join(patronymics, "father", "left_anti").collect()
+    bare = raw.select(F.explode("male_first").alias("x")).select(F.col("x.name").alias("father")).join(patronymics, "father", "left_anti").distinct().limit(5).collect()
     if bare:
         raise ValueError("no patronymic for " + ", ".join(r["father"] for r in bare))
     return {"first": first.withColumn("decade", F.col("decade").cast("long")), "patronymics": patronymics, "surnames": raw.select(F.inline("surnames"))}
 
 
+def photo_map(spark: SparkSession, path: str) -> DataFrame:
+    """key, path of a JSON object of keys and paths."""
+    return _json(spark, path, "map<string,string>").select(F.explode("x").alias("key", "path"))
+
+
+def with_photos(records: DataFrame, photos: DataFrame, key: str = "natural_key", column: str = "photo") -> DataFrame:
+    """records with the mapped photo where they have none of their own."""
+    given = photos.select(F.col("key").alias("_key"), F.col("path").alias("_path"))
+    return records.join(given, F.col(key) == F.col("_key"), "left").withColumn(column, F.coalesce(column, "_path")).drop("_key", "_path")
+
+
 def upload_missing(photos: DataFrame, linked: DataFrame) -> DataFrame:
     """Photos (key, role, path) whose role is not linked yet, gathered by entity."""
     new = photos.join(linked.select("key", "role"), ["key", "role"], "left_anti")
     return new.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("role", "path"))).alias("photos"))
 
 
+def linked_photos(entities: DataFrame, photos: DataFrame) -> DataFrame:
+    """entities (key, images: array of (role, path)) with the photos of roles that they have none of, in order of role."""
+    have = entities.select("key", F.explode("images").alias("x")).select("key", "x.role")
+    out = entities.join(upload_missing(photos, have), "key", "left")
+    return out.withColumn("images", F.sort_array(F.concat(F.coalesce("images", F.array().cast("array<struct<role:string,path:string>>")), F.coalesce("photos", F.array().cast("array<struct<role:string,path:string>>"))))).drop("photos")
+
+
+def write_images(images: DataFrame, path: str) -> None:
+    """Writes image bytes (key, file, data) of decoded_images() as Parquet below path, a folder for each file type."""
+    images.withColumn("type", F.substring_index("file", ".", -1)).write.mode("append").partitionBy("type").parquet(path)
+
+
 JPEG, PNG = b"\xff\xd8\xff", b"\x89PNG"
 
 
