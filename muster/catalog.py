@@ -115,13 +115,46 @@ def txt_calendar_years(spark, d):
     return y.select("page_id", F.size("y").cast("long").alias("n_years"), F.array_join(F.col("y").cast("array<string>"), ",").alias("years"))
 
 
-@query()
+_VALUE = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in T.NUMBER_WORDS.items()) + "}"
+_YEAR = "[" + ", ".join(f"'{w}'" for w in T.YEAR_WORDS) + "]"
+_AT = "[" + ", ".join(f"'{w}'" for w in T.AT_WORDS) + "]"
+#: What of a token list w is claimed: tens take a following unit, which then claims nothing itself; neighbours that are equal are one claim.
+_CLAIMS = f"""m AS (SELECT *, {_VALUE} AS v FROM w),
+    k AS (SELECT *, list_transform(w, lambda x, i: list_has_any(w[i + 1:i + 3], {_YEAR})) AS marked,
+      list_transform(w, lambda x, i: coalesce(v[x] >= 20 AND v[w[i + 1]] < 10, false)) AS joins FROM m),
+    c AS (SELECT *, list_filter(list_transform(w, lambda x, i: CASE WHEN NOT marked[i] OR (i > 1 AND marked[i - 1] AND joins[i - 1]) THEN NULL
+      WHEN regexp_full_match(x, '[0-9]{{1,9}}') THEN CASE WHEN CAST(x AS INT) BETWEEN 1900 AND 2100 THEN NULL ELSE CAST(CAST(x AS INT) AS VARCHAR) || CASE WHEN i > 1 AND list_contains({_AT}, w[i - 1]) THEN '@' ELSE '' END END
+      WHEN v[x] IS NOT NULL THEN CAST(v[x] + CASE WHEN joins[i] THEN v[w[i + 1]] ELSE 0 END AS VARCHAR) || CASE WHEN i > 1 AND list_contains({_AT}, w[i - 1]) THEN '@' ELSE '' END END), lambda x: x IS NOT NULL) AS c FROM k),
+    u AS (SELECT *, list_filter(c, lambda x, i: i = 1 OR x <> c[i - 1]) AS claims FROM c)"""
+
+
+def _claim_texts(spark, d):
+    """Sentences of years, with numbers as digits and words, ages, calendar years and repeated claims."""
+    k = F.col("o_orderkey")
+    pick = lambda by, *xs: F.element_at(F.array(*map(F.lit, xs)), (by % len(xs) + 1).cast("int"))
+    text = F.concat_ws(" ", F.lit("at"), (k % 60).cast("string"), F.lit("years, and after"), pick(k, "twenty", "пятьдесят", "двенадцать", "sixteen"), pick(F.floor(k / 3), "three", "old", "пять", "лет"), F.lit("long years in"), F.year("o_orderdate").cast("string"), F.lit("for a year. С"), pick(F.floor(k / 7), "девятнадцати", "двадцатью", "сорока", "один"), pick(k, "лет", "двух года", "год год", "годами"))
+    return t(spark, d, "orders").select(k, F.filter(F.split(F.lower(text), T.SPLIT), lambda x: x != "").alias("w"))
+
+
+_CLAIM_TEXTS = r"""w AS (SELECT o_orderkey, list_filter(string_split_regex(lower(concat_ws(' ', 'at', o_orderkey % 60, 'years, and after', ['twenty', 'пятьдесят', 'двенадцать', 'sixteen'][o_orderkey % 4 + 1], ['three', 'old', 'пять', 'лет'][(o_orderkey // 3) % 4 + 1],
+    'long years in', year(o_orderdate), 'for a year. С', ['девятнадцати', 'двадцатью', 'сорока', 'один'][(o_orderkey // 7) % 4 + 1], ['лет', 'двух года', 'год год', 'годами'][o_orderkey % 4 + 1])), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM orders)"""
+
+
+@query(f"WITH {_CLAIM_TEXTS}, {_CLAIMS} SELECT o_orderkey, len(claims) AS n_claims, array_to_string(claims, ',') AS claims FROM u")
 def txt_year_claims(spark, d):
-    texts = t(spark, d, "orders").select("o_orderkey", F.lower(F.concat_ws(" ", F.lit("at"), (F.col("o_orderkey") % 60).cast("string"), F.lit("years, and after twenty"), F.when(F.col("o_orderkey") % 2 == 0, "three").otherwise("old"), F.lit("long years in"), F.year("o_orderdate").cast("string"), F.lit("for a year"))).alias("x"))
-    claims = texts.select("o_orderkey", F.split("x", T.SPLIT).alias("w")).select("o_orderkey", T.year_claims(F.col("w")).alias("c"))
+    claims = _claim_texts(spark, d).select("o_orderkey", T.year_claims(F.col("w")).alias("c"))
     return claims.select("o_orderkey", F.size("c").cast("long").alias("n_claims"), F.array_join(F.transform("c", lambda x: F.concat(x["n"].cast("string"), F.when(x["at_age"], "@").otherwise(""))), ",").alias("claims"))
 
 
+@query(f"""WITH {_CLAIM_TEXTS}, {_CLAIMS}, n AS (SELECT o_orderkey, o_orderkey % 40 + 20 AS age, o_orderkey % 13 AS span, claims, list_transform(claims, lambda x: CAST(replace(x, '@', '') AS INT)) AS y FROM u)
+    SELECT o_orderkey, array_to_string(list_sort(list_distinct(y)), ',') AS years,
+      len(list_filter(list_zip(claims, y), lambda p: NOT ((p[2] > 0 AND p[2] <= span) OR p[2] BETWEEN age - span AND age OR (p[1] LIKE '%@' AND p[2] BETWEEN 18 AND age)))) = 0 AS explained FROM n""")
+def txt_explained(spark, d):
+    c = _claim_texts(spark, d).select("o_orderkey", T.year_claims(F.col("w")).alias("c"))
+    age, span = F.col("o_orderkey") % 40 + 20, F.col("o_orderkey") % 13
+    return c.select("o_orderkey", F.array_join(T.claimed_years(F.col("c")).cast("array<string>"), ",").alias("years"), T.explained(F.col("c"), age, F.array(span), F.lit(18)).alias("explained"))
+
+
 _BANNED = ["stupid", "idiot", "pathetic", "disgusting", "scum"]
 
 
@@ -134,11 +167,25 @@ def txt_reject_reason(spark, d):
     return f.select("doc_id", "banned", "foreign_word", reason.alias("reason"))
 
 
-@query()
+_DEFECTS = ["none", "parse", "missing", "short", "overlap", "banned", "foreign", "echo", "years", "lifetime"]
+_BODY = "Она училась долго и потом нашла работу у моря, где лечила людей и писала письма о тихих днях"
+_PATH = "Сначала был завод, потом школа на окраине, курсы вечером, первая группа и наставник из соседнего города"
+
+
+@query("""WITH p AS (SELECT p_partkey, ['none','parse','missing','short','overlap','banned','foreign','echo','years','lifetime'][p_partkey % 10 + 1] AS defect FROM part)
+    SELECT p_partkey, CASE WHEN defect = 'parse' THEN 'not_structured' WHEN defect = 'missing' THEN 'missing_field' WHEN defect = 'short' THEN 'too_short' WHEN defect IN ('overlap', 'banned', 'foreign') THEN 'forbidden' WHEN defect IN ('echo', 'years', 'lifetime') THEN 'fact_drift' END AS reject_kind,
+      CASE defect WHEN 'parse' THEN 'unparsed' WHEN 'missing' THEN 'missing professional_path' WHEN 'short' THEN 'short biography' WHEN 'overlap' THEN 'overlap biography professional_path' WHEN 'banned' THEN 'banned лучший центр'
+        WHEN 'foreign' THEN 'foreign predictability' WHEN 'echo' THEN 'echo stated_age' WHEN 'years' THEN 'unexplained years' WHEN 'lifetime' THEN 'year out of lifetime' END AS reject_reason FROM p""")
 def txt_accept_chain(spark, d):
-    rows = t(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.col("text").alias("biography"), F.col("role").alias("quote"), (F.col("turn") + 20).cast("string").alias("stated_age"))).alias("answer"), (F.lit(20) + F.col("turn") - (F.col("conv_id") % 9 == 0).cast("long")).alias("age"), F.lit(3).alias("years"))
-    policy = acceptance.Policy({"biography": 40, "quote": 3}, _BANNED, {"stated_age": "age"}, ["years"], "age", latin_is_foreign=False)
-    return acceptance.reject_reason(rows, policy).select("conv_id", "turn", "reject_reason")
+    """Answers with one defect each, by the part's key."""
+    p = t(spark, d, "part").withColumn("defect", F.element_at(F.array(*map(F.lit, _DEFECTS)), (F.col("p_partkey") % 10 + 1).cast("int")))
+    is_ = lambda name: F.col("defect") == name
+    bio = F.when(is_("short"), "Кратко").when(is_("banned"), F.lit(_BODY + ". Это Лучший центр")).when(is_("foreign"), F.lit(_BODY + " и predictability")).when(is_("years"), F.lit(_BODY + ". Здесь двадцать пять лет подряд")).when(is_("lifetime"), F.lit(_BODY + ". В 1931 приехала")).otherwise(F.lit(_BODY + ". Здесь пять лет"))
+    path = F.when(is_("missing"), F.lit(None).cast("string")).when(is_("overlap"), F.lit(_BODY)).otherwise(F.lit(_PATH))
+    age = F.when(is_("echo"), "41").otherwise("40")
+    body = F.when(is_("parse"), "no object").otherwise(F.concat(F.lit("```json\n"), F.to_json(F.struct(bio.alias("biography"), path.alias("professional_path"), age.alias("stated_age"))), F.lit("\n```")))
+    policy = acceptance.Policy({"biography": 40, "professional_path": 40}, ["лучший центр"], {"stated_age": "age"}, ["years"], age="age")
+    return acceptance.judged(p.select("p_partkey", body.alias("answer"), F.lit(40).alias("age"), F.lit(7).alias("years")), policy).select("p_partkey", "reject_kind", "reject_reason")
 
 
 @query("SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part")
@@ -315,7 +362,7 @@ def agg_list_profile(spark, d):
 @query("WITH a AS (SELECT l_returnflag AS v, count(*) / (SELECT count(*) FROM lineitem) AS p FROM lineitem GROUP BY 1), b AS (SELECT l_linestatus AS v, count(*) / (SELECT count(*) FROM lineitem) AS q FROM lineitem GROUP BY 1) SELECT round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) AS distance FROM a FULL JOIN b USING (v)")
 def agg_variation_distance(spark, d):
     li = t(spark, d, "lineitem")
-    share = lambda c: profiles.category_profile(li, c, 1000).select("value", "share")
+    share = lambda c: profiles.category_profile(li, c, None).select("value", "share")
     return profiles.variation_distance(share("l_returnflag"), share("l_linestatus")).select(F.round("distance", 6).alias("distance"))
 
 
@@ -330,9 +377,10 @@ def job_left_nest(spark, d):
     return out.select("o_orderkey", F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"), F.coalesce(text, F.lit("")).alias("items"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def job_anti(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    urgent = t(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return t(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100)")
@@ -415,9 +463,13 @@ def _attempts(spark, d):
     return t(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("id"), kind.alias("event"), F.col("value").alias("cost"), "ts")
 
 
-@query("""WITH a AS (SELECT user_id AS job, event_id AS id, ['claim','fail','claim','release','claim','complete','claim'][event_id % 7 + 1] AS event, value AS cost FROM events),
-    f AS (SELECT job, greatest(count(*) FILTER (event = 'claim') - count(*) FILTER (event = 'release'), 0) AS attempts, round(coalesce(sum(cost) FILTER (event IN ('complete', 'fail')), 0), 4) AS cost, bool_or(event = 'complete') AS done, max_by(event, id) AS last FROM a GROUP BY 1)
-    SELECT job, CASE WHEN done THEN 'done' WHEN last IN ('fail', 'reap') AND attempts >= 5 THEN 'dead' WHEN last = 'claim' THEN 'running' ELSE 'pending' END AS status, attempts, cost FROM f""")
+@query("""WITH RECURSIVE a AS (SELECT user_id AS job, ['claim','fail','claim','release','claim','complete','claim'][event_id % 7 + 1] AS event, value AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    f AS (SELECT DISTINCT job, 0::BIGINT AS k, 'pending' AS status, 0 AS attempts, 0.0::DOUBLE AS cost FROM a UNION ALL
+      SELECT f.job, a.k, CASE WHEN event = 'claim' AND status = 'pending' THEN 'running' WHEN event = 'complete' THEN 'done' WHEN event = 'release' AND status = 'running' THEN 'pending' WHEN event = 'fail' THEN CASE WHEN attempts >= 5 THEN 'dead' ELSE 'pending' END ELSE status END,
+        CASE WHEN event = 'claim' AND status = 'pending' THEN attempts + 1 WHEN event = 'release' AND status = 'running' THEN greatest(attempts - 1, 0) ELSE attempts END,
+        f.cost + CASE WHEN event IN ('complete', 'fail') THEN coalesce(a.cost, 0) ELSE 0 END
+      FROM f JOIN a ON a.job = f.job AND a.k = f.k + 1)
+    SELECT job, status, attempts, round(cost, 4) AS cost FROM f QUALIFY row_number() OVER (PARTITION BY job ORDER BY k DESC) = 1""")
 def str_retry_fold(spark, d):
     return queue.fold(_attempts(spark, d)).withColumn("cost", F.round("cost", 4))
 
@@ -470,10 +522,30 @@ def cmp_fit_scores(spark, d):
     return _people(spark, d).select("person", "role", F.col("score").cast("double").alias("score"))
 
 
+def _pools(spark, d):
+    """Suppliers as places, parts as programmes, customers as people and directors."""
+    seg = lambda k: F.element_at(F.array(*map(F.lit, ["low", "middle", "high"])), (k % 3 + 1).cast("int"))
+    region = lambda k: F.concat(F.lit("region "), (k % 5).cast("string"))
+    s = t(spark, d, "supplier")
+    places = s.select(F.concat(F.lit("place:"), "s_suppkey").alias("key"), seg(F.col("s_suppkey")).alias("segment"), region(F.col("s_nationkey")).alias("region"), (F.lit(12) + F.col("s_suppkey") % 17).cast("int").alias("capacity"), (F.lit(1960) + F.col("s_suppkey") % 55).cast("int").alias("year_built"))
+    focus = F.element_at(F.array(*map(F.lit, ["drink", "games", "both", "young"])), (F.col("p_size") % 4 + 1).cast("int"))
+    programs = t(spark, d, "part").select(F.concat(F.lit("program:"), "p_partkey").alias("key"), seg(F.col("p_partkey")).alias("segment"), focus.alias("focus"), F.col("p_name").alias("title"))
+    k = F.col("c_custkey")
+    role = F.element_at(F.array(*map(F.lit, ["doctor", "psychologist", "consultant", "consultant", "director"])), (k % 5 + 1).cast("int"))
+    name = F.concat(F.lit("Name"), (F.floor(k / 5) % 97).cast("string"), F.lit(" "), "c_name")
+    fits = F.create_map(*[x for i, f in enumerate(("drink", "games", "both", "young")) for x in (F.lit(f), ((k % 7 + i) % 4 / 4.0).cast("double"))])
+    c = t(spark, d, "customer").select(F.concat(F.lit("person:"), k).alias("key"), role.alias("role"), name.alias("full_name"), (F.lit(25) + k % 45).cast("int").alias("age"), fits.alias("fits"), (k % 4 == 0).alias("specialist"), (k % 6 == 0).alias("psychiatric"), F.col("c_mktsegment").alias("does"), region(F.col("c_nationkey")).alias("home_region"), (k % 2 == 0).alias("founder"), (k % 20).cast("int").alias("leading_years"))
+    return places, programs, c.where("role != 'director'").drop("home_region", "founder", "leading_years"), c.where("role = 'director'").select("key", "full_name", "age", "home_region", "founder", "leading_years")
+
+
+_COMPOSE = compose.Rules({"drink", "both"}, psychiatric_for={"both"}, founder_segments={"high"})
+
+
 @query()
 def cmp_team(spark, d):
-    places = t(spark, d, "supplier").select(F.col("s_suppkey").alias("place"), F.col("s_nationkey").alias("region"), (F.lit(12) + F.col("s_suppkey") % 17).cast("int").alias("capacity"), F.lit("1").alias("focus"))
-    return compose.compose(places, _people(spark, d), 2026)
+    """All centres that the pools make. Invariants are tested: nothing twice, rules, bounds of age and year."""
+    out = compose.compose(*_pools(spark, d), _COMPOSE).where("place is not null")
+    return out.select("place", "program", "director", *[F.array_join(c, ",").alias(c) for c in ("doctors", "psychologists", "consultants")], "segment", "focus", F.round("fit", 6).alias("fit"), "founded_year", "median_age")
 
 
 @query("""SELECT s_suppkey, least(3, greatest(1, 1 + (s_suppkey % 60) // 25)) AS doctors, least(7, greatest(2, 2 + (s_suppkey % 60) // 10)) AS consultants, 2026 - 5 - CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1 + (strlen(s_name) + s_suppkey % 60) % 9 END AS founded FROM supplier""")
@@ -483,7 +555,7 @@ def cmp_team_size(spark, d):
     return t(spark, d, "supplier").select("s_suppkey", compose.team_size(c, "doctor").cast("long").alias("doctors"), compose.team_size(c, "consultant").cast("long").alias("consultants"), founded.cast("long").alias("founded"))
 
 
-@query("""WITH p AS (SELECT s_suppkey AS place, s_nationkey % 5 AS segment, s_nationkey AS region, s_acctbal > 0 AS solvent FROM supplier), c AS (SELECT p_partkey AS service, p_size % 5 AS segment, CASE WHEN p_size % 3 = 0 THEN 'solvent' WHEN p_size % 3 = 1 THEN 'always' ELSE 'unknown' END AS needs, p_retailprice * 10 AS low, p_retailprice * 30 AS high FROM part WHERE p_partkey % 50 = 0),
+@query("""WITH p AS (SELECT s_suppkey AS place, s_nationkey % 5 AS segment, s_nationkey AS region, s_acctbal > 0 AS solvent FROM supplier), c AS (SELECT p_partkey AS service, p_size % 5 AS segment, CASE WHEN p_size % 3 = 0 THEN 'solvent' WHEN p_size % 3 = 1 THEN 'always' ELSE 'unknown' END AS needs, p_retailprice * 10 AS low, p_retailprice * 30 AS high FROM part),
     f AS (SELECT n_nationkey AS region, 1.0 + n_nationkey / 10 AS factor FROM nation WHERE n_regionkey < 3),
     o AS (SELECT place, service, low + floor((high - low) * ((('0x' || substr(md5('2026|' || place || ':' || service), 1, 8))::BIGINT % 1000) / 1000.0::DOUBLE)) AS base, coalesce(factor, 1.0) AS factor FROM p JOIN c USING (segment) LEFT JOIN f USING (region) WHERE needs = 'always' OR (needs = 'solvent' AND solvent)),
     x AS (SELECT place, service, base * factor AS x, CASE WHEN base * factor >= 50000 THEN 5000 WHEN base * factor >= 10000 THEN 1000 ELSE 100 END AS step FROM o) SELECT place, service, CAST(round(x / step) * step AS BIGINT) AS price FROM x""")
