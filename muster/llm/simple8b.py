@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bytes_of, partitions
@@ -133,7 +133,8 @@ class Tokenizer:
     so a text's ids are its words' ids in order. Plain words go to the library's model, all else through its whole pipeline.
     """
 
-    KEPT = 400_000
+    #: Distinct words kept, and their bytes.
+    KEPT, KEPT_BYTES = 400_000, 48 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -151,7 +152,7 @@ class Tokenizer:
         self.place: dict[str, int] = {}
         self.signs: dict[str, list[int]] = {}
         self.held = np.zeros(1 << 16, np.uint32)
-        self.bounds = [0]
+        self.bounds, self.size = [0], 0
 
     def ids(self, word: str) -> list[int]:
         if PLAIN.fullmatch(word):
@@ -164,8 +165,12 @@ class Tokenizer:
         return self.library.encode(word, add_special_tokens=False).ids
 
     def learn(self, words: list[str]):
-        """Puts new words' ids behind those held."""
-        found = [self.ids(w) for w in words]
+        """Puts new words' ids behind those held. Plain ASCII words, which are most, go to the model straight."""
+        given = pa.array(words, pa.string())
+        plain = pc.match_substring_regex(given, "^[A-Za-z]+$").to_numpy(zero_copy_only=False).tolist()
+        model = self.model.tokenize
+        found = [[t.id for t in model(low)] if p else self.ids(w) for w, low, p in zip(words, pc.ascii_lower(given).to_pylist(), plain, strict=True)]
+        self.size += int(pc.sum(pc.binary_length(given)).as_py() or 0)
         flat = np.fromiter(chain.from_iterable(found), np.uint32)
         end = self.bounds[-1]
         while end + len(flat) > len(self.held):
@@ -176,7 +181,7 @@ class Tokenizer:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and each text's bounds among them."""
-        if len(self.place) > self.KEPT:
+        if len(self.place) > self.KEPT or self.size > self.KEPT_BYTES:
             self.clear()
         runs = pc.ascii_split_whitespace(column.fill_null(""))
         owner = np.asarray(runs.offsets) - runs.offsets[0].as_py()
@@ -262,11 +267,12 @@ def _read(batches):
 def blocks(spark, path: str) -> DataFrame:
     """The blocks of a written table with `first`, the ids of all shards before their own.
 
-    Shards are as many as write tasks, so their sums are a small table.
+    Shards are as many as write tasks, so their sums are a small table, over which one ordered sum runs.
     """
     written = spark.read.schema("shard int, block int, before long, doc_ids array<long>, counts array<long>, offsets array<long>, words binary, escapes binary").parquet(path)
     sums = written.select("shard", F.expr("aggregate(counts, 0L, (a, x) -> a + x)").alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
-    first = sums.alias("x").join(F.broadcast(sums.alias("y")), F.col("y.shard") < F.col("x.shard"), "left").groupBy(F.col("x.shard").alias("shard")).agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("first"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    first = sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     return written.join(F.broadcast(first), "shard")
 
 
@@ -276,6 +282,7 @@ def digest(spark, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, last: int = 2) -> DataFrame:
+    """digest() of docs written by write_tokens(): a row for each row of docs, odd ones as stated there, none for an empty table."""
     path = Scratch(docs.sparkSession, "tokens").path("shards")
     write_tokens(docs, tokenizer, last, path)
     return digest(docs.sparkSession, path)
