@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 Q, RATE = 8, 0.1
 BLOCK_BYTES = 4 << 20
-PIECE = 1 << 20
+PIECE, HITS = 1 << 20, 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 GAP = 1  # between texts; no item holds it
 _ALNUM: list[np.ndarray] = []
@@ -90,18 +90,35 @@ class Items:
         at, place = at[real], place[real]
         count = self.first[place + 1] - self.first[place]
         end = np.cumsum(count)
-        posting = np.repeat(self.first[place] - (end - count), count) + np.arange(end[-1] if len(end) else 0)
-        item = self.item[posting]
-        width = self.edits[item] + 1
         shift = int(max(map(len, self.codes))) + 1
-        band = (np.repeat(at, count) - self.offset[posting] + shift) // width
         span = len(codes) + 2 * shift + 2
-        offset, cell = self.offset[posting], item * span + band
-        # First an upper bound of each hit's bands, from counters that others may share.
         mask = (1 << 21) - 1
-        shared = np.bincount(cell & mask, minlength=mask + 1)
-        near = shared[cell & mask] + np.maximum(shared[(cell + 1) & mask], shared[(cell - 1) & mask]) >= self.bound[item]
-        offset, cell = offset[near], cell[near]
+
+        def hits(begin: int, stop: int):
+            """(offset, cell, bound) of the hits of some places: items that share a template have many."""
+            n = count[begin:stop]
+            to = np.cumsum(n)
+            posting = np.repeat(self.first[place[begin:stop]] - (to - n), n) + np.arange(to[-1])
+            item, offset = self.item[posting], self.offset[posting]
+            return offset, item * span + (np.repeat(at[begin:stop], n) - offset + shift) // (self.edits[item] + 1), self.bound[item]
+
+        cuts = [0]
+        while cuts[-1] < len(at):
+            done = end[cuts[-1] - 1] if cuts[-1] else 0
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(end, done + HITS, side="right"))))
+        parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+        # First an upper bound of each hit's bands, from counters that others may share.
+        shared = np.zeros(mask + 1, np.int64)
+        kept = [hits(*part) for part in parts] if len(parts) == 1 else None
+        for k, part in enumerate(parts):
+            shared += np.bincount((kept[k] if kept else hits(*part))[1] & mask, minlength=mask + 1)
+        offset, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, part in enumerate(parts):
+            o, c, bound = kept[k] if kept else hits(*part)
+            near = shared[c & mask] + np.maximum(shared[(c + 1) & mask], shared[(c - 1) & mask]) >= bound
+            offset.append(o[near])
+            cell.append(c[near])
+        offset, cell = np.concatenate(offset), np.concatenate(cell)
         # An item's q-gram counts once in a half band, however often the text repeats it there.
         most = shift + 1
         key, hits = np.unique(np.unique(cell * most + offset) // most, return_counts=True)
@@ -194,9 +211,11 @@ class Items:
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _scan(items: list[tuple[int, str]], rate: float):
+def _scan(items, rate: float):
+    """items: a broadcast block of at most BLOCK_BYTES of text."""
+
     def run(batches):
-        block = Items(items, rate)
+        block = Items(items.value, rate)
         for batch in batches:
             out: list[tuple] = []
             held: list = []
@@ -222,7 +241,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     An item occurs where its characters (letters and digits in lower case, one space for whatever lies between) align with a stretch
     of the document's with at most rate * length edits, or (length - q) / q if that is less. Items under q such characters occur
     where they stand as whole words, without edits; null and empty texts hold nothing. Repeated rows are found each; a null doc_id is reported as null.
-    Items go to the tasks in blocks of at most 4 MB of text, each block against all documents. Extra columns are not read.
+    Items go to the executors in blocks of at most 4 MB of text, each block against all documents: a scan a block. Extra columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     given = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
@@ -230,7 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
 
     def scan():
         nonlocal out
-        found = rows.mapInArrow(_scan(list(block), rate), "doc_id long, item_id long, edits long, start long, end long")
+        found = rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(list(block)), rate), "doc_id long, item_id long, edits long, start long, end long")
         out = found if out is None else out.union(found)
 
     for item_id, text in given.toLocalIterator():  # a block at a time on the driver
