@@ -182,11 +182,13 @@ def _featured(batches):
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fits on at most max_train labelled rows that are not held out, those of least id hash; null labels and ids are left out.
 
-    The sample's ids are bounded by max_train, hence broadcast; its features come to the driver.
+    Of rows that share an id the least text counts, and of labels of one id the greatest. The sample's ids are bounded by max_train, hence broadcast; its
+    features, a row an id, come to the driver.
     """
     chosen = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text")).select("quality", "text")
     got = rows.mapInArrow(_featured, "quality int, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, got["quality"].to_numpy()))  # the same fit in whatever order rows come
@@ -223,5 +225,5 @@ def _kept(model: Model):
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs predicted 1, all columns as they are."""
+    """The rows of docs predicted 1, all columns as they are: repeated rows alike, null texts as empty ones; an empty table stays empty."""
     return docs.mapInArrow(_kept(model), docs.schema)
