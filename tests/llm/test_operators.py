@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +197,42 @@ def test_links_of_odd_rows(spark):
     assert left.columns == ["doc_id", "text", "key"] and sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["None"] * 3 + ["3", "3", "8", "8", "9", "11"])
 
 
+def _least_edits(item, text):
+    """Least edits of an item against any stretch of a text."""
+    row, d = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
+    codes = np.array(list(text)) if text else np.zeros(0, "<U1")
+    for k, c in enumerate(item):
+        row = np.minimum.accumulate(np.append(k + 1, np.minimum(row[1:] + 1, row[:-1] + (codes != c))) - d) + d
+    return int(row.min())
+
+
+def test_leaks_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)  # several blocks of items
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(30)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = {k: prose(r.randint(4, 14)) for k in range(12)} | {20: prose(3) + " " + "the same template of many items " + prose(2), 21: "the same template of many items " + prose(4)}
+    texts = {}
+    for i in range(60):
+        w = items[r.choice(list(items))]
+        for _ in range(r.randint(0, 6)):
+            at = r.randrange(len(w))
+            w = w[:at] + r.choice(["", "x", "yz"]) + w[at + r.randint(0, 1) :]
+        texts[i] = prose(r.randint(0, 12)) + " " + w + " " + prose(r.randint(0, 12))
+    texts |= {60: None, 61: "", 62: " ".join(items.values()) * 40}
+    plain = lambda t: re.sub("[^a-z]+", " ", (t or "").lower())
+    want = {}
+    for i, t in texts.items():
+        for k, item in items.items():
+            x, most = plain(item).strip(), 0
+            most = min(int(0.1 * len(x)), (len(x) - 8) // 8)
+            if (e := _least_edits(x, plain(t))) <= most:
+                want[i, k] = e
+    docs, bench = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in decontam.contaminated(docs, bench).collect()}
+    assert got == want and len(want) > 30
+
+
 def test_leaks(spark):
     r = random.Random(2)
     item = "".join(r.choice("abcdefghijklmnop ") for _ in range(120))
@@ -296,6 +334,125 @@ def test_wrapped_licence_sentences(spark):
     assert got == {0: ("CC0-1.0", ""), 1: ("", "EITHER2,LATER"), 2: ("CC-BY-SA-4.0", "")}
 
 
+def test_token_digest_is_the_library(spark):
+    t = simple8b.Tokenizer(vocabulary("word_bpe_49k.json"))
+    r = random.Random(9)
+    texts = ["".join(r.choice(["the ", "A", "é", ", ", "x1.", "\n", "漢", "don't ", "zzz"]) for _ in range(r.randint(0, 60))) for _ in range(80)]
+    rows = [(int(i), x, "s") for i, x in zip(r.sample(range(1000), 80), texts, strict=True)] + [(2000, None, "s"), (2001, "", None), (2001, "", None), (None, "no id", "s"), (3000, "word " * 40_000, "s")]
+    got = [tuple(x) for x in simple8b.round_trip(spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5), vocabulary("word_bpe_49k.json")).collect()]
+    want, start = [], 0
+    for i, x, _ in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        ids = [*t.library.encode(x or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_quality_of_odd_labels(spark):
+    good, bad = "river stone walk green tree near the house " * 5, "$$ || $$ || " * 20
+    docs = spark.createDataFrame([(i, (good if i % 2 else bad) + str(i), i) for i in range(400)] + [(1, bad, 0)] * 300 + [(None, good, 0), (500, None, 0)], "doc_id long, text string, quality long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(3, None), (None, 1), (5, 7), (999, 0)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    rows = quality.score(docs, model).collect()
+    assert len(rows) == docs.count() and [c for c in rows[0].asDict()] == ["doc_id", "held_out", "score", "predicted"]
+    for x in rows:
+        assert 0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.5)
+        assert x["held_out"] == (x["doc_id"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % 3 == 1)
+    own = [x for x in rows if x["held_out"] and x["doc_id"] is not None and x["doc_id"] < 400 and x["doc_id"] != 1]
+    assert np.mean([x["predicted"] == x["doc_id"] % 2 for x in own]) > 0.97
+    again = quality.train(docs.repartition(7), labels.repartition(3))
+    assert [float(t.sum()) for t in again.tables] == [float(t.sum()) for t in model.tables]
+    kept = quality.keep_good(docs, model)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
+    assert quality.keep_good(docs.where("false"), model).count() == 0
+
+
+def test_huge_texts(spark):
+    big = "Ab c." * 300_000
+    rows = [(1, big), (2, big.upper()), (2, big.upper()), (3, big[:-1] + "!"), (4, "small"), (5, "SMALL"), (None, big), (6, None)]
+    for huge in (1 << 40, 1_000_000):
+        got = sorted([(x["doc_id"], x["keep_id"], x["group_size"], x["kept"], x["text_sha256"]) for x in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), huge).collect()], key=str)
+        sha = lambda t: hashlib.sha256((t or "").lower().encode()).hexdigest()
+        want = [(1, 2, 4, False), (2, 2, 4, True), (2, 2, 4, False), (None, 2, 4, False), (3, 3, 1, True), (4, 5, 2, False), (5, 5, 2, True), (6, 6, 1, True)]
+        texts = dict(rows)
+        assert got == sorted([(*w, sha(texts[w[0]])) for w in want], key=str)
+
+
+def test_rows_that_stay_keep_their_columns(spark):
+    rows = [(1, "Text", "a", 1), (1, "text", "b", 2), (1, "TEXT", "c", 3), (None, "x", "d", 4), (None, "X", "e", 5), (2, "other", "f", 6), (3, None, "g", 7), (4, "", "h", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _own string, _keep long")
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns and sorted(tuple(x) for x in left.collect() if x["doc_id"]) == [(1, "TEXT", "c", 3), (2, "other", "f", 6), (4, "", "h", 8)]
+    assert [tuple(x) for x in left.collect() if x["doc_id"] is None] == [(None, "X", "e", 5)]
+    plain = docs.where("doc_id > 1")
+    assert sorted(tuple(x) for x in exact_dedup.drop_copies(plain).collect()) == [(2, "other", "f", 6), (4, "", "h", 8)]
+
+
+def test_shards_hold_every_row(spark, tmp_path):
+    rows = [(1, "a", "en"), (1, "a", "de"), (2, "b", "fr"), (None, "", "x"), (None, None, "y")] + [(9, "z" * 50, str(k)) for k in range(40)] + [(100 + k, "w" * (k % 30), "l") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(6)
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", 120)
+    got = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert sorted([(x["doc_id"], x["text"], x["shard"]) for x in got.collect()], key=str) == sorted(rows, key=str)
+    sizes = got.groupBy("_shard").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert all((x["b"] or 0) <= 120 or x["n"] == 1 for x in sizes)
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("_Shard", F.lit(1)), f"file://{tmp_path}/other")
+
+
+def test_shards_are_those_of_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
+    for limit in (200_000, 20_000):
+        want = {(r[0], r[2], r[3], r[5], r[6]) for r in db.execute(sharding.oracle(limit)).fetchall()}
+        got = {(x["doc_id"], x["depth"], x["prefix"], x["shard"], x["shard_bytes"]) for x in sharding.assign(spark.read.parquet(path), limit).collect()}
+        assert got == want and len({x[3] for x in got}) > 10
+
+
+def test_licence_texts(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list.\n2. Redistributions in binary form must reproduce the above copyright notice.\n"
+    texts = {
+        "Licensed under the Eclipse Public License 2.0.": "EPL-2.0",
+        "SPDX-License-Identifier: LGPL-2.1-or-later\n\ncode": "LGPL-2.1-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.": "MPL-2.0",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file)": "BSL-1.0",
+        "This software is provided 'as-is', without any express or implied warranty.\nPermission is granted to anyone to use this software for any purpose, including commercial applications:\n1. The origin of this software must not be misrepresented; you must not claim it.\n2. Altered source versions must be plainly marked as such, and more.\n3. This notice may not be removed or altered from any source distribution.": "Zlib",
+        bsd + "THIS SOFTWARE IS PROVIDED BY THE AUTHOR \"AS IS\" AND ANY EXPRESS": "BSD-2-Clause",
+        bsd + "All rights reserved. Neither the name of the X Group nor the names of its contributors may be used to endorse or promote products. THIS SOFTWARE IS PROVIDED BY Y \"AS IS\".": "BSD-3-Clause,Proprietary",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\nTHE SOFTWARE IS PROVIDED \"AS IS\"": "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"": "0BSD",
+        "Released under the WTFPL; fonts under the SIL Open Font License, Version 1.1.": "WTFPL,OFL-1.1",
+        "CC BY-SA 3.0 or Creative Commons Attribution 4.0 International": "CC-BY-SA-3.0,CC-BY-4.0",
+        "Common Development and Distribution License (CDDL) Version 1.0; EUPL-1.2; Artistic License 2.0": "CDDL-1.0,EUPL-1.2,Artistic-2.0",
+        "nothing to see": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["licenses"], x["unmatched"]) for x in license.scan(docs).collect()}
+    assert got == {k: (v, "") for k, v in enumerate(texts.values())}
+
+
+def test_every_known_sentence_has_a_hint(spark):
+    """Plain examples of the patterns: their words, optional ones left out, the first of choices."""
+    from re import sub
+
+    def example(p):
+        for _ in range(6):
+            p = sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\?)?", lambda m: "" if m[2] else m[1], p)
+        p = sub(r" ?\.\{0,\d+\} ?", " some body ", sub(r".\?", "", p))
+        return sub(r"\[(.)[^\]]*\]", r"\1", p)
+
+    names = [(n, example(p.split("|")[0] if "(?:" not in p.split("|")[0] or p.split("|")[0].count("(") == p.split("|")[0].count(")") else p)) for n, p in license.KNOWN]
+    docs = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(names)], "doc_id long, text string")
+    missed = [(names[r["doc_id"]], r["sentences"]) for r in license.scan(docs).collect() if not r["sentences"]]
+    assert not missed
+
+
 def test_quality_learns(spark):
     r = random.Random(1)
     good = [" ".join(r.choice(["the", "of", "river", "stone", "walk", "green"]) + str(r.randint(0, 99)) for _ in range(60)) for _ in range(200)]
