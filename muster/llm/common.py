@@ -28,6 +28,9 @@ class Scratch:
     absent and the session is local, as in tests, is a folder of our own made.
     """
 
+    #: Folders made by this process, in order.
+    made: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -37,6 +40,15 @@ class Scratch:
             base = "file://" + tempfile.mkdtemp(prefix="muster-")
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.made.append(self.root)
+
+    @classmethod
+    def clear(cls, spark: SparkSession, since: int) -> None:
+        """Deletes the folders made from that number on, whose tables nothing reads any more."""
+        for root in cls.made[since:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del cls.made[since:]
 
     def path(self, name: str) -> str:
         self.count += 1
