@@ -47,9 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
+    """All stages over documents, each written and read again. What a stage wrote for itself goes once its result is written, and a result once the next is."""
+    docs, scratch, last = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
+        since = len(Scratch.made)
         docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        Scratch.clear(spark, since)
+        if last is not None:
+            scratch.drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
