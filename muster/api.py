@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,16 @@ def progress(store, session: str) -> dict:
     return found | {"status": s["status"], "spent": s["spent"], "budget": s["budget"], "eta": elapsed / finished * left if finished else None}
 
 
+def watch(store, session: str, seconds: float = 0.7, sleep=time.sleep):
+    """A session's progress again and again, until nothing is left to do or it stands still by pause or failure."""
+    while True:
+        now = progress(store, session)
+        yield now
+        if now["settled"] or now["status"] in ("paused", "failed", "done"):
+            return
+        sleep(seconds)
+
+
 def quote(store, kind: str, count: int, images: int = 0, image_price: float | None = None) -> float:
     """What a run will cost: by the mean of finished jobs of its kind, or the priors."""
     row = profiles.mean_cost(store.jobs().where(F.col("kind") == kind)).first()

@@ -601,50 +601,56 @@ def json_props(spark, d):
 @query("""WITH q AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.id, e.vec_id AS other, round(list_cosine_similarity(q.v::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score FROM q JOIN embeddings e ON e.vec_id <> q.id)
     SELECT id, other, score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) = 1""")
 def vec_cosine_ext(spark, d):
-    """Queries are the rows whose id is divisible by 20, in blocks of 256 against all rows; a task keeps each query's best, never its pairs."""
+    """Queries are the rows whose id is divisible by 20, in broadcast blocks of at most VECTORS numbers against all rows; a task keeps each query's best, never its pairs."""
     e = t(spark, d, "embeddings").where("embedding is not null")
-    out = None
-    block: list = []
+    out, block, size = None, [], 0
 
-    def scan(given):
+    def scan():
         nonlocal out
-        found = e.mapInArrow(_best(given), "id long, other long, score double")
+        found = e.mapInArrow(_best(spark.sparkContext.broadcast(list(block))), "id long, other long, score double")
         out = found if out is None else out.union(found)
 
-    for r in e.where("vec_id % 20 = 0").orderBy("vec_id").toLocalIterator():
+    for r in e.where("vec_id % 20 = 0").orderBy("vec_id").toLocalIterator():  # a block at a time on the driver
+        if block and size + len(r["embedding"]) > VECTORS:
+            scan()
+            block, size = [], 0
         block.append((r["vec_id"], list(r["embedding"])))
-        if len(block) == 256:
-            scan(block)
-            block = []
-    if block or out is None:
-        scan(block)
+        size += len(r["embedding"])
+    scan()
     best = out.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "other")).alias("x"))
     return best.select("id", "x.other", (-F.col("x.s")).alias("score"))
 
 
+VECTORS, ROWS = 4 << 20, 256  # numbers in a block of queries; queries that a step multiplies
+
+
 def _best(given):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        if not given:
+        if not given.value:
             return
-        ids = np.array([i for i, _ in given])
-        q = np.array([v for _, v in given], np.float64)
+        ids = np.array([i for i, _ in given.value])
+        q = np.array([v for _, v in given.value], np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        top, who = np.full(len(ids), -2.0), np.zeros(len(ids), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
             other = np.asarray(b.column("vec_id"))
-            x = np.array(b.column("embedding").to_pylist(), np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = np.round(q @ x.T, 5)
-            s[ids[:, None] == other[None, :]] = -2
             order = np.argsort(other, kind="stable")
-            at = order[s[:, order].argmax(1)]
-            best = s[np.arange(len(ids)), at]
-            keep = best > -2
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(other[at][keep]), pa.array(best[keep])], names=["id", "other", "score"])
+            other = other[order]
+            x = np.array(b.column("embedding").to_pylist(), np.float64)[order]
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            for k in range(0, len(ids), ROWS):
+                s = np.round(q[k : k + ROWS] @ x.T, 5)
+                s[ids[k : k + ROWS, None] == other[None, :]] = -2
+                at = s.argmax(1)
+                best = s[np.arange(len(at)), at]
+                better = (best > top[k : k + ROWS]) | ((best == top[k : k + ROWS]) & (other[at] < who[k : k + ROWS]))
+                top[k : k + ROWS][better], who[k : k + ROWS][better] = best[better], other[at][better]
+        keep = top > -2
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(who[keep]), pa.array(top[keep])], names=["id", "other", "score"])
 
     return run
-

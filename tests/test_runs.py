@@ -63,6 +63,43 @@ def test_a_run_from_plan_to_files(spark, store, tmp_path):
     assert api.progress(store, session)["eta"] == 0 and abs(api.quote(store, "person:text", 10) - 0.01) < 1e-9
 
 
+def test_commands(spark, tmp_path):
+    import io
+
+    from muster.__main__ import run
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    g = _generator()
+    session = engine.start(store, g, {"count": 2, "seed": 1})
+    (tmp_path / "toy.json").write_text(json.dumps(TOY))
+
+    def said(*words):
+        out = io.StringIO()
+        run(spark, [store.root, *words], out)
+        return [json.loads(x) for x in out.getvalue().splitlines()]
+
+    assert said("sessions")[0]["pending"] == 2 and said("pause", session)[0]["status"] == "paused" and [x["status"] for x in said("watch", session)] == ["paused"]
+    assert said("resume", session)[0]["status"] == "running" and said("show", session) == [] and said("quote", "person:text", "10")[0]["cost"] == pytest.approx(0.006)
+    key = store.jobs(session).first()["natural_key"]
+    said("mark", session, key, "bad", "--tag", "dull")
+    assert said("feedback", session)[0]["bad"] == 1 and said("check", str(tmp_path / "toy.json")) == [{"issues": []}]
+    assert {x["key"] for x in said("preview", str(tmp_path / "toy.json"), "--n", "20")} == {"age", "town", "years"}
+
+
+def test_images_of_a_frame(spark):
+    import numpy as np
+
+    from muster.operators import media
+
+    image = np.random.default_rng(2).integers(0, 255, (20, 30, 3)).astype(np.uint8)
+    data = media.write_png(image)
+    assert (media.read_png(data) == image).all()
+    df = spark.createDataFrame([("a", data), ("b", b"no image"), (None, None)], "key string, data binary")
+    got = {r["key"]: r for r in media.finish(df, 3).collect()}
+    assert (media.read_png(bytes(got["a"]["data"])) == media.finished(image, "a", 3)).all() and got["a"]["error"] is None
+    assert got["b"]["error"] == "no PNG" and bytes(got["b"]["data"]) == b"no image" and got[None]["error"]
+
+
 def test_rejected_answers_cost_and_die(store):
     g = _generator()
     session = engine.start(store, g, {"count": 2, "seed": 4})
