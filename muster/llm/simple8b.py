@@ -13,6 +13,7 @@ import json
 import os
 import re
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +31,7 @@ WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int6
 # Selectors 0 and 1 are runs of 240 and 120 ones in the usual coding; here, of zeros. One id of 60 bits shares selector 15 with escapes:
 # the id 2^60 - 1 announces an escape, whose value is the next of the block's list.
 ESCAPE = np.uint64((1 << 60) - 1)
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("words", pa.binary()), ("escapes", pa.binary())])
 
 
@@ -134,7 +135,7 @@ class Tokenizer:
     """
 
     #: Distinct words kept, and their bytes.
-    KEPT, KEPT_BYTES = 400_000, 48 << 20
+    KEPT, KEPT_BYTES = 500_000, 32 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -151,8 +152,8 @@ class Tokenizer:
     def clear(self):
         self.place: dict[str, int] = {}
         self.signs: dict[str, list[int]] = {}
-        self.held = np.zeros(1 << 16, np.uint32)
-        self.bounds, self.size = [0], 0
+        self.held, self.bounds = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.known, self.size = 0, 0
 
     def ids(self, word: str) -> list[int]:
         if PLAIN.fullmatch(word):
@@ -172,12 +173,15 @@ class Tokenizer:
         found = [[t.id for t in model(low)] if p else self.ids(w) for w, low, p in zip(words, pc.ascii_lower(given).to_pylist(), plain, strict=True)]
         self.size += int(pc.sum(pc.binary_length(given)).as_py() or 0)
         flat = np.fromiter(chain.from_iterable(found), np.uint32)
-        end = self.bounds[-1]
+        end, known = int(self.bounds[self.known]), self.known
         while end + len(flat) > len(self.held):
             self.held = np.concatenate((self.held, np.zeros_like(self.held)))
+        while known + len(words) >= len(self.bounds):
+            self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
         self.held[end : end + len(flat)] = flat
-        self.place |= zip(words, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(words)), strict=True)
-        self.bounds += (end + np.cumsum([len(x) for x in found])).tolist()
+        self.place |= zip(words, range(known, known + len(words)), strict=True)
+        self.bounds[known + 1 : known + 1 + len(words)] = end + np.cumsum([len(x) for x in found])
+        self.known += len(words)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and each text's bounds among them."""
@@ -199,7 +203,7 @@ class Tokenizer:
         first = place[:-2][np.asarray(body.indices)] if len(words) > 2 else np.zeros(0, np.int64)
         second = np.where(ended, np.where(padded[end - 1] == 46, place[-2], place[-1]), -1)
         # Ids of each distinct run, one after another, then of all runs.
-        bounds = np.array(self.bounds, np.int64)
+        bounds = self.bounds
         n1, n2 = bounds[first + 1] - bounds[first], np.where(second >= 0, bounds[second + 1] - bounds[second], 0)
         spread = np.column_stack((first, second)).ravel()
         part = _ranges(bounds[spread], np.column_stack((n1, n2)).ravel())
@@ -220,9 +224,15 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (end - size), size) + np.arange(end[-1] if len(end) else 0)
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> Tokenizer:
+    """One for each worker, whose tasks share what it has learned."""
+    return Tokenizer(path)
+
+
 def _write(path: str, last: int):
     def run(batches):
-        tokenizer, shard, block, before = Tokenizer(path), TaskContext.get().partitionId(), 0, 0
+        tokenizer, shard, block, before = tokenizer_of(path), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             text = batch.column("text")
             size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
