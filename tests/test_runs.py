@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from muster import api, engine
+from muster.functions import rules
 from muster.functions import text as T
 from muster.operators import acceptance, compose, queue, ranks, sampling, similarity
 from muster.plans import dictionary
@@ -373,6 +374,29 @@ def test_budgets_of_the_sampler(spark, monkeypatch):
     assert sorted(r["a"] for r in rows) == [8, 10, 12]
 
 
+def test_a_large_dictionary(spark):
+    """Seventy parameters whose soft rules look at one another: expressions grow with them, not as their powers."""
+    r = random.Random(4)
+    params = [{"key": "k0", "identity": True, "domain": {"kind": "int", "min": 1, "max": 500}}]
+    soft, hard = [], []
+    for k in range(1, 70):
+        kind = k % 4
+        domain = [{"kind": "enum", "variants": [{"value": f"v{i}", "weight": r.randint(1, 5)} for i in range(8)]}, {"kind": "int", "min": 0, "max": 50}, {"kind": "bool", "p_true": 0.4}, {"kind": "multi_enum", "variants": [f"m{i}" for i in range(6)], "min_pick": 1, "max_pick": 3}][kind]
+        params.append({"key": f"k{k}", "domain": domain})
+        for b in range(max(1, k - 9), k - 1, 4):
+            when = [f"k{b} == 'v1'", f"k{b} > 25", f"k{b}", f"has(k{b}, 'm2')"][b % 4]
+            then = [{"kind": "weight", "param": f"k{k}", "value": f"v{b % 8}", "factor": 3}, {"kind": "range", "param": f"k{k}", "min": 10}, {"kind": "weight", "param": f"k{k}", "value": "true", "factor": 2}, {"kind": "weight", "param": f"k{k}", "value": f"m{b % 6}", "factor": 2}][kind]
+            soft.append({"name": f"s{k}_{b}", "when": when, "then": [then]})
+        if kind == 1 and k > 8:
+            hard.append({"name": f"h{k}", "expr": f"k{k} <= 45 or k{k - 8} <= 45"})
+    d = dictionary.loads(json.dumps({"params": params, "soft": soft, "hard": hard}))
+    assert len(d.soft) > 100 and len(d.hard) > 10
+    rows = sampling.population(spark, d, 120, 5)
+    assert rows.count() == 120 == rows.select("k0").distinct().count()
+    assert rows.where(rules.first_violated([(h["name"], h["expr"]) for h in d.hard], d.kinds()).isNotNull()).isEmpty()
+    assert rows.where("k2 and k5 < 0 or k9 < 10 and k5 > 25").isEmpty()
+
+
 def test_reshoot_and_preview(spark):
     d = dictionary.loads(json.dumps(TOY))
     rows = sampling.population(spark, d, 30, 1).drop("attempt")
