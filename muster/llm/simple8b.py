@@ -125,6 +125,9 @@ ALPHABET = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerat
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Such a word and one run of signs, which the rules part; an apostrophe could begin a suffix, and < a special token.
 ENDED = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@[-`{-~]+)")
+PARTED = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-&(-/:;=>?@\[-`{-~]*)$"
+#: Bytes, read as Latin-1, to that alphabet; line ends stay.
+BYTES = {k: v for k, v in ALPHABET.items() if k != 10}
 
 
 class Tokenizer:
@@ -166,11 +169,21 @@ class Tokenizer:
         return self.library.encode(word, add_special_tokens=False).ids
 
     def learn(self, words: list[str]):
-        """Puts new words' ids behind those held. Plain ASCII words, which are most, go to the model straight."""
+        """Puts new words' ids behind those held. Plain words, with or without signs behind them, are made ready together and go to the model straight."""
         given = pa.array(words, pa.string())
-        plain = pc.match_substring_regex(given, "^[A-Za-z]+$").to_numpy(zero_copy_only=False).tolist()
-        model = self.model.tokenize
-        found = [[t.id for t in model(low)] if p else self.ids(w) for w, low, p in zip(words, pc.ascii_lower(given).to_pylist(), plain, strict=True)]
+        parts = pc.extract_regex(given, PARTED)
+        plain, signs = pc.utf8_lower(pc.fill_null(parts.field("word"), "")), parts.field("signs").to_pylist()
+        ready = "\n".join(plain.to_pylist()).encode().decode("latin-1").translate(BYTES).split("\n") if words else []
+        model, found = self.model.tokenize, []
+        for word, low, tail in zip(words, ready, signs, strict=True):
+            if not low:
+                found.append(self.ids(word))
+            elif tail:
+                if tail not in self.signs:
+                    self.signs[tail] = self.library.encode(tail, add_special_tokens=False).ids
+                found.append([t.id for t in model(low)] + self.signs[tail])
+            else:
+                found.append([t.id for t in model(low)])
         self.size += int(pc.sum(pc.binary_length(given)).as_py() or 0)
         flat = np.fromiter(chain.from_iterable(found), np.uint32)
         end, known = int(self.bounds[self.known]), self.known
@@ -198,8 +211,10 @@ class Tokenizer:
         ended = (size > 1) & ENDS[padded[end - 1]] & LETTER[padded[end - 2]]
         body = pc.if_else(pa.array(ended), pc.utf8_slice_codeunits(coded.dictionary, 0, -1), coded.dictionary).dictionary_encode()
         words = [*body.dictionary.to_numpy(zero_copy_only=False).tolist(), ".", ","]
-        self.learn([w for w in dict.fromkeys(words) if w not in self.place])
-        place = np.array([self.place[w] for w in words], np.int64)
+        place = np.array([self.place.get(w, -1) for w in words], np.int64)
+        if len(new := np.flatnonzero(place < 0)):
+            self.learn(list(dict.fromkeys(words[k] for k in new.tolist())))
+            place[new] = [self.place[words[k]] for k in new.tolist()]
         first = place[:-2][np.asarray(body.indices)] if len(words) > 2 else np.zeros(0, np.int64)
         second = np.where(ended, np.where(padded[end - 1] == 46, place[-2], place[-1]), -1)
         # Ids of each distinct run, one after another, then of all runs.
