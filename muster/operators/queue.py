@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def enqueue(jobs: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of new whose natural_key no job has; of several with one key the first by id."""
@@ -68,9 +70,9 @@ def reap(jobs: DataFrame, now: Column, stale_seconds: int = 900, max_attempts: i
 
 
 def batches(jobs: DataFrame, size: int = 250) -> DataFrame:
-    """done jobs without a batch, dealt in id order into batches of a session: batch number from 0."""
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("id"))
-    return jobs.where("status = 'done' and batch_id is null").withColumn("batch", F.floor((place - 1) / size).cast("long"))
+    """done jobs without a batch, dealt in id order into batches of a session: batch number from 0. A session may be as large as it likes."""
+    ready = jobs.where("status = 'done' and batch_id is null")
+    return ranks.running(ready, [F.col("id").asc()], name="_n", by=["session_id"]).withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
 def reconcile(ledger: DataFrame, stored: DataFrame) -> DataFrame:
@@ -83,8 +85,9 @@ def reconcile(ledger: DataFrame, stored: DataFrame) -> DataFrame:
 
 def within_budget(claims: DataFrame, budget: Column) -> DataFrame:
     """Claims (session_id, id, cost) that are still made: the budget is looked at before each, so the last one may go over it."""
-    before = F.coalesce(F.sum("cost").over(Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return claims.withColumn("spent_before", before).where(F.col("spent_before") < budget)
+    cost = F.coalesce(F.col("cost"), F.lit(0.0))
+    spent = ranks.running(claims, [F.col("id").asc()], cost, "_upto", ["session_id"])
+    return spent.withColumn("spent_before", F.col("_upto") - cost).drop("_upto").where(F.col("spent_before") < budget)
 
 
 def images_ready(images: DataFrame) -> DataFrame:
@@ -133,8 +136,7 @@ def detached(jobs: DataFrame, batches: DataFrame) -> DataFrame:
 
 def chunks(claimed: DataFrame, size: int = 4) -> DataFrame:
     """Claimed jobs with the round of `size` jobs of their session that works on them."""
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("id"))
-    return claimed.withColumn("chunk", F.floor((place - 1) / size).cast("long"))
+    return ranks.running(claimed, [F.col("id").asc()], name="_n", by=["session_id"]).withColumn("chunk", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
 def next_state(status: Column, spent: Column, budget: Column, fatal: Column, settled: Column) -> Column:

@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 
-def running(df: DataFrame, order: list[Column], amount: Column | None = None, name: str = "upto") -> DataFrame:
-    """df with the sum of amount (or the number of rows) up to and with each row, in an order that must be total.
+def running(df: DataFrame, order: list[Column], amount: Column | None = None, name: str = "upto", by: list[str] | None = None) -> DataFrame:
+    """df with the sum of amount (or the number of rows) up to and with each row, of all rows or those alike in `by`, in an order that must be total.
 
-    Rows are dealt in ranges of the order and written; sums within a range are a window of its own, and those of the ranges before come from a table of a row a
-    range, which is as small as there are partitions.
+    Rows are dealt in ranges of (by, order) and written, so that no group is one task's; sums within a range are a window of its own. What the ranges before have
+    of a group comes from a table of the groups that begin in an earlier range than they go on in: a row a range at most.
     """
+    by = by or []
     own = amount if amount is not None else F.lit(1).cast("long")
-    ranged = cut(df.repartitionByRange(*order).withColumns({"_range": F.spark_partition_id(), "_own": own}))
-    sums = ranged.groupBy("_range").agg(F.sum("_own").alias("_sum"))
-    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
-    inside = F.sum("_own").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + inside).drop("_range", "_own", "_before")
+    ranged = cut(df.repartitionByRange(*by, *order).withColumns({"_range": F.spark_partition_id(), "_own": own}))
+    sums = ranged.groupBy("_range", *by).agg(F.sum("_own").alias("_sum"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_range", *by, F.sum("_sum").over(earlier).alias("_before")).where("_before is not null")
+    inside = F.sum("_own").over(Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    given = F.broadcast(before.select(F.col("_range").alias("_in"), F.struct(*by, F.lit(0)).alias("_of"), "_before"))
+    met = ranged.withColumn(name, inside).join(given, (F.col("_range") == F.col("_in")) & F.struct(*by, F.lit(0)).eqNullSafe(F.col("_of")), "left")
+    return met.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_range", "_own", "_in", "_of", "_before")
 
 
 def seeded(column: str, seed: int) -> list[Column]:

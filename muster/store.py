@@ -149,7 +149,7 @@ class Store:
     def open_batch(self, session: str, collection: str, kind: str, size: int = 250) -> tuple[str, DataFrame] | None:
         """The next done jobs without a batch, tagged with a new one; none where there are none."""
         jobs = self.jobs(session).where(F.col("kind") == kind)
-        some = queue.batches(jobs, size).where("batch = 0").select("id")
+        some = jobs.where("status = 'done' and batch_id is null").orderBy("id").limit(size).select("id")
         n = some.count()
         if not n:
             return None

@@ -428,6 +428,13 @@ def test_running_sums(spark):
         total += v % 5
         want[v] = total
     assert got == want
+    rows = [(0 if i % 10 else i % 70 or None, i, i % 3) for i in range(900)]  # one group has most rows
+    sums = {}
+    want = {}
+    for g, i, c in rows:
+        want[i] = sums[g] = sums.get(g, 0) + c
+    hot = spark.createDataFrame(r.sample(rows, len(rows)), "g long, i long, c long")
+    assert {x["i"]: x["upto"] for x in ranks.running(hot, [F.col("i").asc()], F.col("c"), by=["g"]).collect()} == want
 
 
 def test_wrapped_lines(spark):
