@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 Q, RATE = 8, 0.1
 BLOCK_BYTES = 4 << 20
 PIECE, HITS = 1 << 20, 4 << 20
@@ -249,7 +251,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
 
     def scan():
         nonlocal out
-        found = rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(list(block)), rate), "doc_id long, item_id long, edits long, start long, end long")
+        found = rows.mapInArrow(trimmed(_scan(docs.sparkSession.sparkContext.broadcast(list(block)), rate)), "doc_id long, item_id long, edits long, start long, end long")
         out = found if out is None else out.union(found)
 
     for item_id, text in given.toLocalIterator():  # a block at a time on the driver

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trimmed
 
 PRIME = 0x6A09E667F3BCC908B2FB1366EA957D3F  # raised to the next prime below; not near a power of two, for 256 must have a large order
 CHUNK = 1 << 16
-HELD = 48 << 20
+HELD = 24 << 20
 #: Bytes from which a text is huge, and of its pieces.
 HUGE, PIECE = 32 << 20, 4 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -144,8 +144,8 @@ def _compare(kind: pa.DataType):
 
 def _classed(rows: DataFrame, kind: pa.DataType, ddl: str, huge: int) -> DataFrame:
     """group, sha, id of rows (id, text): equal groups for equal texts, null for huge ones."""
-    found = rows.mapInArrow(_gather(kind, huge), GATHERED.format(ddl))
-    return found.repartition("fp", "size").sortWithinPartitions("fp", "size").mapInArrow(_compare(kind), COMPARED.format(ddl))
+    found = rows.mapInArrow(trimmed(_gather(kind, huge)), GATHERED.format(ddl))
+    return found.repartition("fp", "size").sortWithinPartitions("fp", "size").mapInArrow(trimmed(_compare(kind)), COMPARED.format(ddl))
 
 
 def _pieces(batches):
@@ -172,11 +172,11 @@ def _huge_groups(scratch: Scratch, rows: DataFrame) -> DataFrame:
     sha = F.sha2(normalised(F.col("text")), 256)
     named = rows.select("id", "text", sha.alias("sha")).withColumn("name", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "sha"))
     names = scratch.write(named.drop("text"), "names")
-    pieces = named.select("name", "text").repartition("name").mapInArrow(_pieces, "id string, text binary")
+    pieces = named.select("name", "text").repartition("name").mapInArrow(trimmed(_pieces), "id string, text binary")
     classes = _classed(scratch.write(pieces, "pieces"), pa.string(), "string", 2 * PIECE)
     # Rows equal in id and text share a name, and their pieces are the same.
     parts = classes.groupBy(F.substring_index("id", "/", 1).alias("name")).agg(F.sort_array(F.collect_set(F.struct(F.substring_index("id", "/", -1).cast("int").alias("place"), "group"))).alias("parts"))
-    groups = parts.select("name", F.col("parts.group").alias("parts")).mapInArrow(_combined, "name string, group binary")
+    groups = parts.select("name", F.col("parts.group").alias("parts")).mapInArrow(trimmed(_combined), "name string, group binary")
     return names.join(groups, "name").select("group", "sha", "id")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, groups, mix, partitions
+from .common import Scratch, components, groups, mix, partitions, trimmed
 from .words import shingle_sets
 
 HASHES, ROWS, STEP = 96, 4, 16
@@ -220,7 +220,7 @@ def candidates(scratch: Scratch, classes: DataFrame, threshold: float) -> DataFr
     members = scratch.write(members, "members").join(classes.select("key", "sig"), "key")
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     members = members.select("band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "sig")
-    return scratch.write(_dealt(members).mapInArrow(_needed(threshold), "band int, bucket binary, low int, high int, block int, key binary"), "needed")
+    return scratch.write(_dealt(members).mapInArrow(trimmed(_needed(threshold)), "band int, bucket binary, low int, high int, block int, key binary"), "needed")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
@@ -235,15 +235,15 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> Data
     scratch = Scratch(docs.sparkSession, "jaccard")
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
-    signed = scratch.write(rows.mapInArrow(signatures(size), "doc_id long, own long, key binary, n int, sig binary"), "signed")
+    signed = scratch.write(rows.mapInArrow(trimmed(signatures(size)), "doc_id long, own long, key binary, n int, sig binary"), "signed")
     # One row of a class is read again by its id and its text's hash.
     grouped = signed.where("key is not null").groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("least_id"), F.min(F.struct("own", "doc_id")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = scratch.write(grouped.select("key", "n_docs", "least_id", F.col("rep.own").alias("own"), F.col("rep.doc_id").alias("rep"), "n", "sig"), "classes")
     needed = candidates(scratch, classes, threshold)
     used = scratch.write(needed.select("key").distinct().join(classes, "key").select("key", "n_docs", "sig", F.col("own").alias("rep_own"), "rep"), "used")
     with_text = used.join(rows, (F.col("rep_own") == rows["own"]) & F.col("rep").eqNullSafe(rows["doc_id"])).select("key", "n_docs", "sig", "text")
-    sets = with_text.mapInArrow(_grams(size), "key binary, n_docs long, sig binary, grams binary").dropDuplicates(["key"])
-    found = scratch.write(_dealt(needed.join(sets, "key")).mapInArrow(_pairs(threshold), "kind string, a binary, b binary, links long"), "links")
+    sets = with_text.mapInArrow(trimmed(_grams(size)), "key binary, n_docs long, sig binary, grams binary").dropDuplicates(["key"])
+    found = scratch.write(_dealt(needed.join(sets, "key")).mapInArrow(trimmed(_pairs(threshold)), "kind string, a binary, b binary, links long"), "links")
     links = found.where("kind = 'links'").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     labels = components(scratch, found.where("kind = 'edge'").select("a", "b")).withColumnRenamed("node", "key")
     per = scratch.write(classes.select("key", "n_docs", "least_id").join(labels, "key", "left").join(links, "key", "left"), "labelled")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, slices
+from .common import bytes_of, slices, trimmed
 from .words import words
 
 FEATURES = ["log_bytes", "symbols", "bars", "upper", "digits", "spaces", "punctuation", "beyond_ascii", "word_length", "distinct_words", "repeated_next", "words_a_line", "symbol_ended", "log_words"]
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text")).select("quality", "text")
-    got = rows.mapInArrow(_featured, "quality int, x array<double>").toPandas()
+    got = rows.mapInArrow(trimmed(_featured), "quality int, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, got["quality"].to_numpy()))  # the same fit in whatever order rows come
     return fit(x[order], got["quality"].to_numpy(np.float64)[order])
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scored(model), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(trimmed(_scored(model)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _kept(model: Model):
@@ -226,4 +226,4 @@ def _kept(model: Model):
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs predicted 1, all columns as they are: repeated rows alike, null texts as empty ones; an empty table stays empty."""
-    return docs.mapInArrow(_kept(model), docs.schema)
+    return docs.mapInArrow(trimmed(_kept(model)), docs.schema)

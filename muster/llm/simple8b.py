@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_of, partitions
+from .common import Scratch, bytes_of, partitions, trimmed
 
 # Fixed values of the coding, by selector: ids in a word, bits of an id.
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -276,7 +276,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, last: int, path: str) -> None:
     n = partitions(docs.sparkSession)
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    dealt.mapInArrow(_write(tokenizer, last), "shard int, block int, before long, doc_ids array<long>, counts array<long>, offsets array<long>, words binary, escapes binary").write.parquet(path)
+    dealt.mapInArrow(trimmed(_write(tokenizer, last)), "shard int, block int, before long, doc_ids array<long>, counts array<long>, offsets array<long>, words binary, escapes binary").write.parquet(path)
 
 
 def _read(batches):
@@ -303,7 +303,7 @@ def blocks(spark, path: str) -> DataFrame:
 
 def digest(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document of a written table, read from its blocks."""
-    return blocks(spark, path).select("before", "doc_ids", "counts", "words", "escapes", "first").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks(spark, path).select("before", "doc_ids", "counts", "words", "escapes", "first").mapInArrow(trimmed(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, last: int = 2) -> DataFrame:

@@ -23,14 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, slices
+from .common import bytes_of, slices, trimmed
 from .simple8b import _ranges
 
 MARK = "▁"
 NONE, UNKNOWN, START = -2, -1, -3  # what ends at a place, where no piece does
 NEVER = np.int32(np.iinfo(np.int32).max)
 #: Distinct runs kept, and their bytes; cells of a step; runs solved one by one; bytes from which a run is cut.
-KEPT, KEPT_BYTES, CELLS, FEW, LONG = 400_000, 48 << 20, 1 << 20, 6, 1 << 12
+KEPT, KEPT_BYTES, CELLS, FEW, LONG = 400_000, 32 << 20, 1 << 19, 6, 1 << 12
 
 
 class Merges:
@@ -81,7 +81,7 @@ class Merges:
 
 
 class Automaton:
-    """Pieces as bytes, a space for the mark. goto is complete: one step a byte."""
+    """Pieces as bytes, a space for the mark. goto is complete: one step a byte. A node that nothing follows has no row of its own: it goes on as the one it fails to."""
 
     def __init__(self, pieces: list[tuple[bytes, int]]):
         ends: list[tuple[int, int, int]] = []
@@ -96,7 +96,8 @@ class Automaton:
                 node = nxt
             ends.append((node, number, len(text)))
         n = len(children)
-        self.goto = np.zeros((n, 256), np.int32)
+        inner = np.array([k == 0 or bool(c) for k, c in enumerate(children)])
+        self.row, self.goto = np.cumsum(inner, dtype=np.int32) - 1, np.zeros((int(inner.sum()), 256), np.int32)
         fail, self.link, self.depth = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.piece, self.size = np.full(n, -1, np.int32), np.zeros(n, np.int32)
         for node, number, size in ends:
@@ -105,14 +106,17 @@ class Automaton:
         while level:
             deeper = []
             for node in level:
-                row = self.goto[fail[node]].copy() if node else self.goto[0]
-                self.depth[node] = depth
-                for b, child in children[node].items():
-                    fail[child] = row[b] if node else 0
-                    row[b] = child
-                    deeper.append(child)
-                self.goto[node] = row
                 f = fail[node]
+                self.depth[node] = depth
+                if inner[node]:
+                    row = self.goto[self.row[f]].copy() if node else self.goto[0]
+                    for b, child in children[node].items():
+                        fail[child] = row[b] if node else 0
+                        row[b] = child
+                        deeper.append(child)
+                    self.goto[self.row[node]] = row
+                else:
+                    self.row[node] = self.row[f]
                 self.link[node] = f if self.piece[f] >= 0 else self.link[f]
             level, depth = deeper, depth + 1
 
@@ -151,7 +155,7 @@ class Coder:
 
     def clear(self):
         self.place: dict[str, int] = {}
-        self.held, self.bounds, self.size, self.pairs = np.zeros(1 << 16, np.int32), [0], 0, {}
+        self.held, self.bounds, self.known, self.size, self.pairs = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0, 0, {}
 
     def of_spaces(self, n: int) -> list[int]:
         """Ids of a run of spaces: all its merges are of one rank, so the leftmost pair that is a piece goes first."""
@@ -176,7 +180,7 @@ class Coder:
         last, back, state, begin = array("i", [NONE]) * (n + 1), array("i", [0]) * (n + 1), 0, 0
         last[0] = START
         for t in range(n):
-            state = int(a.goto[state, text[t]])
+            state = int(a.goto[a.row[state], text[t]])
             if text[t] & 0xC0 != 0x80:
                 begin = t
             if t + 1 < n and text[t + 1] & 0xC0 == 0x80:
@@ -222,7 +226,7 @@ class Coder:
         for t in range(longest):
             live = int(np.searchsorted(-size, -t, side="left"))
             now = text[t, :live]
-            state[:live] = a.goto[state[:live], now]
+            state[:live] = a.goto[a.row[state[:live]], now]
             begin[:live][(now & 0xC0) != 0x80] = t
             at = np.flatnonzero(((text[t + 1, :live] & 0xC0) != 0x80) | (size[:live] == t + 1))  # a character ends
             node = state[at]
@@ -262,36 +266,40 @@ class Coder:
 
     def parts(self, text: bytes) -> list[bytes]:
         """A long run cut where no piece can lie across: there its path is that of both sides."""
-        goto, depth, state, cuts = self.auto.goto, self.auto.depth, 0, [0]
+        goto, own, depth, state, cuts = self.auto.goto, self.auto.row, self.auto.depth, 0, [0]
         for t, b in enumerate(text):
-            state = goto[state, b]
+            state = goto[own[state], b]
             if depth[state] <= 1 and b & 0xC0 != 0x80 and t - cuts[-1] >= 64:
                 cuts.append(t)
         return [text[x:y] for x, y in zip(cuts, [*cuts[1:], len(text)], strict=True)]
 
     def solve(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all runs one after another, and their counts."""
-        cores: dict[bytes, int] = {}
-        plans = []  # spaces before the core, its parts
-        for text in texts:
-            word = text.lstrip(" ")
-            blanks = len(text) - len(word)
-            core = (" " * (blanks > 0) + word).encode() if word else b""
+        raw = [x.encode() for x in texts]
+        odd = [k for k, x in enumerate(raw) if x[:2] == b"  " or x == b" " or len(x) > LONG or not x]
+        if not odd:
+            ids, bounds = self._solved(raw)
+            return ids, np.diff(bounds)
+        cores, plans = list(raw), []
+        for k in odd:  # spaces before the word, and the word in parts
+            word = raw[k].lstrip(b" ")
+            blanks = len(raw[k]) - len(word)
+            core = b" " * (blanks > 0) + word if word else b""
             own = self.parts(core) if len(core) > LONG else [core] if core else []
-            plans.append((blanks, [cores.setdefault(x, len(cores)) for x in own]))
-        ids, bounds = self._solved(list(cores))
-        lists, counts = [], np.zeros(len(texts), np.int64)
-        for k, (blanks, own) in enumerate(plans):
-            parts = [ids[bounds[c] : bounds[c + 1]] for c in own]
+            cores[k] = b""
+            plans.append((k, blanks, range(len(cores), len(cores) + len(own))))
+            cores += own
+        ids, bounds = self._solved(cores)
+        begin, counts, pool, end = bounds[: len(raw)].copy(), np.diff(bounds)[: len(raw)], [ids], len(ids)
+        for k, blanks, own in plans:
+            found = ids[bounds[own.start] : bounds[own.stop]]
             if blanks > 1 or not own:
-                alone = not own or int(parts[0][0]) == self.spaces[1]  # else the last space is the word's
-                lists.append(np.array(self.of_spaces(blanks if alone else blanks - 1), np.int32))
-                counts[k] += len(lists[-1])
-                if alone and own:
-                    parts[0] = parts[0][1:]
-            lists += parts
-            counts[k] += sum(map(len, parts))
-        return np.concatenate([*lists, np.zeros(0, np.int32)]), counts
+                alone = not own or int(found[0]) == self.spaces[1]  # else the last space is the word's
+                found = np.concatenate((np.array(self.of_spaces(blanks if alone else blanks - 1), np.int32), found[1:] if alone and own else found))
+            pool.append(found)
+            begin[k], counts[k] = end, len(found)
+            end += len(found)
+        return np.concatenate(pool)[_ranges(begin, counts)], counts
 
     def _solved(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found: list[np.ndarray] = [np.zeros(0, np.int32)]
@@ -300,7 +308,7 @@ class Coder:
         lengths = np.array([len(x) for x in texts], np.int64)
         order = np.argsort(lengths, kind="stable")
         lengths = lengths[order].tolist()
-        begin = 0
+        begin = lengths.count(0)  # empty ones have no ids
         while begin < len(order):
             end = begin + 1
             while end < len(order) and (end - begin + 1) * (lengths[end] + 1) <= CELLS and lengths[end] <= 2 * lengths[begin] + 16:
@@ -338,18 +346,24 @@ class Coder:
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if lead:
             words = [" " + w for w in words]
-        new = [w for w in words if w not in self.place]
-        if new:
+        places = np.array([self.place.get(w, -1) for w in words], np.int64)
+        unseen = np.flatnonzero(places < 0)
+        if len(unseen):
+            new = [words[k] for k in unseen.tolist()]
             extra, counts = self.solve(new)
-            end = self.bounds[-1]
+            end, known = int(self.bounds[self.known]), self.known
             while end + len(extra) > len(self.held):
                 self.held = np.concatenate((self.held, np.zeros_like(self.held)))
+            while known + len(new) >= len(self.bounds):
+                self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
             self.held[end : end + len(extra)] = extra
-            self.place |= zip(new, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(new)), strict=True)
-            self.bounds += (end + np.cumsum(counts)).tolist()
+            self.place |= zip(new, range(known, known + len(new)), strict=True)
+            self.bounds[known + 1 : known + 1 + len(new)] = end + np.cumsum(counts)
+            self.known += len(new)
             self.size += sum(map(len, new))
-        bounds = np.array(self.bounds, np.int64)
-        use = np.array([self.place[w] for w in words], np.int64)[np.asarray(coded.indices)] if words else np.zeros(0, np.int64)
+            places[unseen] = [self.place[w] for w in new]
+        bounds = self.bounds
+        use = places[np.asarray(coded.indices)] if words else np.zeros(0, np.int64)
         size = bounds[use + 1] - bounds[use]
         if lead:  # an empty text is split into one empty run
             size[owner[:-1][np.asarray(pc.equal(column, ""))]] = 0
@@ -370,7 +384,7 @@ def _encoded(path: str, with_ids: bool):
     def run(batches):
         c = coder(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1 << 21):
                 text = part.column("text")
                 ids, bounds = c.encode(text)
                 data, own = bytes_of(text)
@@ -398,12 +412,12 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     character, which is a space to the model. Rows that repeat are coded alike, null doc_ids stay, extra columns are not read, an empty
     table gives no rows.
     """
-    return _rows(docs).mapInArrow(_encoded(model, True), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, ids array<int>")
+    return _rows(docs).mapInArrow(trimmed(_encoded(model, True)), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, ids array<int>")
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
     """encoded() without the ids."""
-    return _rows(docs).mapInArrow(_encoded(model, False), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return _rows(docs).mapInArrow(trimmed(_encoded(model, False)), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def _decoded(path: str):
@@ -422,4 +436,4 @@ def _decoded(path: str):
 
 def decoded(coded: DataFrame, model: str) -> DataFrame:
     """doc_id and text of rows of doc_id and ids; no ids are an empty text."""
-    return coded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(_decoded(model), "doc_id long, text string")
+    return coded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(trimmed(_decoded(model)), "doc_id long, text string")

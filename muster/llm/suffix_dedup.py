@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_of, mix, partitions
+from .common import Scratch, bytes_of, mix, partitions, trimmed
 
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
@@ -566,21 +566,21 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         own = rows.withColumn("own", F.sha2("text", 256))
         met = own.join(names, own["doc_id"].eqNullSafe(names["doc_id"]) & (F.col("own") == F.col("sha"))).select("doc", "text", "copies")
         named = met.where("copies = 1").select("doc", "text").union(met.where("copies > 1").groupBy("doc").agg(F.first("text").alias("text")))
-    texts = named.mapInArrow(_dealt(cells), PACKED_DDL)
+    texts = named.mapInArrow(trimmed(_dealt(cells)), PACKED_DDL)
 
     def dealt(df):
         return df.repartitionById(tasks, F.expr(f"cast(cell div {each} as int)")).sortWithinPartitions("cell", "kind", "doc")
 
     # Between the steps small tables are written, so that each step's shuffle files can go before the next.
-    found = scratch.write(dealt(named.mapInArrow(_find(cells), PACKED_DDL)).mapInArrow(_repeated(cells, HOT_RUNS), PACKED_DDL), "runs")
-    told = dealt(found.where(F.col("kind").isin(HOT, KNOWN))).mapInArrow(_told(cells), PACKED_DDL)
+    found = scratch.write(dealt(named.mapInArrow(trimmed(_find(cells)), PACKED_DDL)).mapInArrow(trimmed(_repeated(cells, HOT_RUNS)), PACKED_DDL), "runs")
+    told = dealt(found.where(F.col("kind").isin(HOT, KNOWN))).mapInArrow(trimmed(_told(cells)), PACKED_DDL)
     runs = found.where(F.col("kind") == RUNS).union(told)
-    marks = scratch.write(dealt(dealt(runs.union(texts)).mapInArrow(_strings(cells), PACKED_DDL)).mapInArrow(_mark(cells), PACKED_DDL), "marks")
+    marks = scratch.write(dealt(dealt(runs.union(texts)).mapInArrow(trimmed(_strings(cells)), PACKED_DDL)).mapInArrow(trimmed(_mark(cells)), PACKED_DDL), "marks")
     scratch.drop(found)
     warm, marks = marks.where(F.col("kind") == RUNS), marks.where(F.col("kind") == MARKS)
     if not warm.isEmpty():
-        marks = marks.union(scratch.write(dealt(dealt(warm.union(texts)).mapInArrow(_strings(cells), PACKED_DDL)).mapInArrow(_mark(cells), PACKED_DDL), "marks"))
-    out = dealt(marks.union(texts)).mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        marks = marks.union(scratch.write(dealt(dealt(warm.union(texts)).mapInArrow(trimmed(_strings(cells)), PACKED_DDL)).mapInArrow(trimmed(_mark(cells)), PACKED_DDL), "marks"))
+    out = dealt(marks.union(texts)).mapInArrow(trimmed(_cut(with_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if names is not None:
         each_row = names.select("doc", "doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
         out = out.withColumnRenamed("doc_id", "doc").join(each_row, "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
