@@ -66,6 +66,19 @@ ORACLES = {
         FROM d WINDOW g AS (PARTITION BY low)""",
     "op3_license_scan": license.oracle(),
     "op4_extendible_sharding": sharding.oracle(),
+    "op6_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        o AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99, 400)) AS o FROM d),
+        b AS (SELECT doc_id, o, substr(h, 2 * o + 1, 998) AS h FROM o),
+        p AS (SELECT doc_id, o, h, unnest(range(0, least(400, len(h) // 2 - 99))) AS j FROM b),
+        w AS (SELECT doc_id, o + j AS i FROM p QUALIFY row_number() OVER (PARTITION BY md5(substr(h, 2 * j + 1, 200)) ORDER BY doc_id, o + j) > 1),
+        n AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS new FROM w),
+        s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM n),
+        r AS (SELECT doc_id, span, min(i) AS b, max(i) + 100 AS e FROM s GROUP BY ALL),
+        k AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS last FROM r),
+        t AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(e - b) AS BIGINT) AS n_removed, max(e) AS done, string_agg(substr(h, 2 * last + 1, 2 * (b - last)), '' ORDER BY b) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1)
+        SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(done, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
     "op8_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9\x{0080}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents),
