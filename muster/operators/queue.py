@@ -40,18 +40,22 @@ def step(state: Column, event: Column, cost: Column, max_attempts: int = MAX_ATT
     return F.struct(status.alias("status"), attempts.cast("int").alias("attempts"), (state["cost"] + paid).alias("cost")).cast(STATE)
 
 
-def fold(events: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def fold(events: DataFrame, max_attempts: int = MAX_ATTEMPTS, few: bool = False) -> DataFrame:
     """State of each job from its events (job, id, event, cost) in order of id: status, attempts, cost, by step().
 
     Events are dealt in ranges of (job, id), so a job with a third of all events is cut into as many stretches as ranges hold it, and none is gathered whole. The
-    first stretch of a job is folded from its start; a later one from each state that it could begin in, of which the stretches' own order picks one.
+    first stretch of a job is folded from its start; a later one from each state that it could begin in, of which the stretches' own order picks one. With `few`, where
+    a log bounds the events of a job as attempts do, each job is folded whole.
     """
     start = F.struct(F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(0.0).alias("cost")).cast(STATE)
+    walked = lambda begin: F.aggregate("events", begin, lambda s, e: step(s, e["event"], e["cost"], max_attempts))
+    if few:
+        held = events.groupBy("job").agg(F.sort_array(F.collect_list(F.struct("id", "event", F.col("cost").cast("double").alias("cost")))).alias("events"))
+        return held.select("job", walked(start).alias("s")).select("job", "s.status", "s.attempts", "s.cost")
     every = [F.struct(F.lit(s).alias("status"), F.lit(a).alias("attempts"), F.lit(0.0).alias("cost")).cast(STATE) for s in ("pending", "running", "done", "dead") for a in range(max_attempts + 1)]
     ranged = events.select("job", "id", "event", F.col("cost").cast("double").alias("cost")).repartitionByRange("job", "id").withColumn("stretch", F.spark_partition_id())
     held = ranged.groupBy("job", "stretch").agg(F.sort_array(F.collect_list(F.struct("id", "event", "cost"))).alias("events"))
     first = F.row_number().over(Window.partitionBy("job").orderBy("stretch")) == 1
-    walked = lambda begin: F.aggregate("events", begin, lambda s, e: step(s, e["event"], e["cost"], max_attempts))
     ends = held.withColumn("first", first).select("job", "stretch", F.when(F.col("first"), F.array(walked(start))).otherwise(F.transform(F.array(*every), walked)).alias("ends"))
 
     def follow(state, x):

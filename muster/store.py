@@ -97,7 +97,7 @@ class Store:
         jobs = self.read("jobs")
         jobs = jobs.where(F.col("session_id") == session) if session else jobs
         events = self.read("events").join(jobs.select(F.col("id").alias("job")), "job", "left_semi")
-        state = queue.fold(events.select("job", "id", "event", "cost"))
+        state = queue.fold(events.select("job", "id", "event", "cost"), few=True)  # attempts bound a job's events
         paid = F.col("event").isin("complete", "fail")
         facts = events.groupBy("job").agg(
             F.coalesce(F.sum(F.when(paid, F.col("tokens_in"))), F.lit(0)).alias("tokens_in"),
