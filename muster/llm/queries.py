@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, license, ngram_join, pii, quality, sharding, simple8b, spm, suffix_dedup
+from . import decontam, exact_dedup, license, negatives, ngram_join, pii, quality, sharding, simple8b, spm, suffix_dedup
 from .common import table
 
 
@@ -56,7 +57,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_exact_dedup, op3_license_scan, op4_extendible_sharding, op5_decontamination, op6_suffix_dedup, op7_pii_surrogates, op8_ngram_jaccard, op9_quality, op10_sentencepiece)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), is_anchor=lambda vec_id: vec_id % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_exact_dedup, op3_license_scan, op4_extendible_sharding, op5_decontamination, op6_suffix_dedup, op7_pii_surrogates, op8_ngram_jaccard, op9_quality, op10_sentencepiece, op11_hard_negatives)}
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
@@ -93,4 +99,15 @@ ORACLES = {
         l AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY 1)
         SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, coalesce(n_links, 0) AS n_links
         FROM c LEFT JOIN l USING (doc_id)""",
+    "op11_hard_negatives": """
+        WITH e AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 3""",
 }
