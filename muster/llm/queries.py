@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, license, negatives, ngram_join, pii, quality, sharding, simple8b, spm, suffix_dedup
+from . import decontam, exact_dedup, license, negatives, ngram_join, pii, quality, sharding, simple8b, spm, suffix_dedup, variants
 from .common import table
 
 
@@ -62,7 +62,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), is_anchor=lambda vec_id: vec_id % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_exact_dedup, op3_license_scan, op4_extendible_sharding, op5_decontamination, op6_suffix_dedup, op7_pii_surrogates, op8_ngram_jaccard, op9_quality, op10_sentencepiece, op11_hard_negatives)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_exact_dedup, op3_license_scan, op4_extendible_sharding, op5_decontamination, op6_suffix_dedup, op7_pii_surrogates, op8_ngram_jaccard, op9_quality, op10_sentencepiece, op11_hard_negatives, op12_spelling_variants)}
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
@@ -110,4 +114,5 @@ ORACLES = {
         SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
         FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
         WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 3""",
+    "op12_spelling_variants": variants.oracle(),
 }
