@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, license, negatives, ngram_join, pii, quality, sharding, simple8b, spm, suffix_dedup, variants
+from . import decontam, exact_dedup, license, negatives, ngram_join, pii, quality, sharding, simple8b, spm, suffix_dedup, templates, variants
 from .common import table
 
 
@@ -66,7 +66,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_exact_dedup, op3_license_scan, op4_extendible_sharding, op5_decontamination, op6_suffix_dedup, op7_pii_surrogates, op8_ngram_jaccard, op9_quality, op10_sentencepiece, op11_hard_negatives, op12_spelling_variants)}
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simple8b_tokens, op2_exact_dedup, op3_license_scan, op4_extendible_sharding, op5_decontamination, op6_suffix_dedup, op7_pii_surrogates, op8_ngram_jaccard, op9_quality, op10_sentencepiece, op11_hard_negatives, op12_spelling_variants, op13_html_extraction)}
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
