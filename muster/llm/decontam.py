@@ -210,7 +210,7 @@ class Items:
         return [x[1:] for x in self.occurrences([normalised(text)])]
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def _scan(items, rate: float):
@@ -223,35 +223,30 @@ def _scan(items, rate: float):
             held: list = []
             texts: list = []
             size = 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.append(doc_id)
+            for doc_id, own, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "own", "text")), strict=True):
+                held.append((doc_id, own))
                 texts.append(normalised(text or ""))
                 size += len(texts[-1][0])
                 if size >= PIECE:
-                    out += [(held[t], *x) for t, *x in block.occurrences(texts)]
+                    out += [(*held[t], *x) for t, *x in block.occurrences(texts)]
                     held, texts, size = [], [], 0
             if texts:
-                out += [(held[t], *x) for t, *x in block.occurrences(texts)]
+                out += [(*held[t], *x) for t, *x in block.occurrences(texts)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(FOUND)], schema=FOUND)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """doc_id, item_id, edits, start, end: the best occurrence of each benchmark item (item_id, text) in each document (doc_id, text).
-
-    An item occurs where its characters (letters and digits in lower case, one space for whatever lies between) align with a stretch
-    of the document's with at most rate * length edits, or (length - q) / q if that is less. Items under q such characters occur
-    where they stand as whole words, without edits; null and empty texts hold nothing. Repeated rows are found each; a null doc_id is reported as null.
-    Items go to the executors in blocks of at most 4 MB of text, each block against all documents: a scan a block. Extra columns are not read.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _occurrences(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
+    """contaminated() with own, the hash of each row's text."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
     given = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text")
     out, block, size = None, [], 0
 
     def scan():
         nonlocal out
-        found = rows.mapInArrow(trimmed(_scan(docs.sparkSession.sparkContext.broadcast(list(block)), rate)), "doc_id long, item_id long, edits long, start long, end long")
+        found = rows.mapInArrow(trimmed(_scan(docs.sparkSession.sparkContext.broadcast(list(block)), rate)), "doc_id long, own long, item_id long, edits long, start long, end long")
         out = found if out is None else out.union(found)
 
     for item_id, text in given.toLocalIterator():  # a block at a time on the driver
@@ -264,7 +259,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     return out
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """doc_id, item_id, edits, start, end: the best occurrence of each benchmark item (item_id, text) in each document (doc_id, text).
+
+    An item occurs where its characters (letters and digits in lower case, one space for whatever lies between) align with a stretch
+    of the document's with at most rate * length edits, or (length - q) / q if that is less. Items under q such characters occur
+    where they stand as whole words, without edits; null and empty texts hold nothing. Repeated rows are found each; a null doc_id is reported as null.
+    Items go to the executors in blocks of at most 4 MB of text, each block against all documents: a scan a block. Extra columns are not read.
+    """
+    return _occurrences(docs, benchmark, rate).drop("own")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs without documents that hold a benchmark item, all columns as they are. Rows of a null doc_id stay unless one of them holds an item."""
-    found = contaminated(docs, benchmark, rate).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_held"]), "left_anti")
+    """docs without the rows that hold a benchmark item, all columns as they are. Rows are told apart by doc_id and text: another row of the same doc_id, null too, stays."""
+    found = _occurrences(docs, benchmark, rate).select(F.col("doc_id").alias("_held"), F.col("own").alias("_own")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_held"]) & (F.xxhash64(docs["text"].cast("string")) == found["_own"])
+    return docs.join(found, same, "left_anti")

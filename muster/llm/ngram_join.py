@@ -223,15 +223,8 @@ def candidates(scratch: Scratch, classes: DataFrame, threshold: float) -> DataFr
     return scratch.write(_dealt(members).mapInArrow(trimmed(_needed(threshold)), "band int, bucket binary, low int, high int, block int, key binary"), "needed")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, class_id, class_size, n_links.
-
-    Two rows are linked when the Jaccard similarity of their sets of word n-grams reaches the threshold. n_links counts the
-    other rows linked with a row, copies among them; class_id is the least doc_id among the rows reached over links, class_size
-    their number. Null and empty texts, and texts without a word, have no n-grams and no links: each is its own class. Texts of
-    fewer words than n have one n-gram, all their words. Rows that repeat a doc_id are rows like others; null doc_ids take part,
-    and a class of them alone has a null class_id. Extra columns are not read; an empty table gives no rows.
-    """
+def _joined(docs: DataFrame, threshold: float, size: int) -> DataFrame:
+    """doc_id, own, class, class_id, class_size, n_links of each row: own is its text's hash, class what its class is known by, null for rows without n-grams."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
@@ -249,19 +242,53 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> Data
     per = scratch.write(classes.select("key", "n_docs", "least_id").join(labels, "key", "left").join(links, "key", "left"), "labelled")
     whole = scratch.write(per.where("label is not null").groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("n_docs").alias("class_size")), "whole")
     n_links = (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")
-    linked = per.join(whole, "label").select("key", "class_id", "class_size", n_links)
-    single = per.where("label is null").select("key", F.col("least_id").alias("class_id"), F.col("n_docs").alias("class_size"), n_links)
+    linked = per.join(whole, "label").select("key", F.col("label").alias("class"), "class_id", "class_size", n_links)
+    single = per.where("label is null").select("key", F.col("key").alias("class"), F.col("least_id").alias("class_id"), F.col("n_docs").alias("class_size"), n_links)
     each = scratch.write(linked.union(single), "classed")
-    told = signed.where("key is not null").select("doc_id", "key").join(each, "key").select("doc_id", "class_id", "class_size", "n_links")
-    alone = signed.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    told = signed.where("key is not null").select("doc_id", "own", "key").join(each, "key").drop("key")
+    alone = signed.where("key is null").select("doc_id", "own", F.lit(None).cast("binary").alias("class"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
     return told.union(alone)
 
 
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """A row for each row of docs (doc_id, text): doc_id, class_id, class_size, n_links.
+
+    Two rows are linked when the Jaccard similarity of their sets of word n-grams reaches the threshold. n_links counts the
+    other rows linked with a row, copies among them; class_id is the least doc_id among the rows reached over links, class_size
+    their number. Null and empty texts, and texts without a word, have no n-grams and no links: each is its own class. Texts of
+    fewer words than n have one n-gram, all their words. Rows that repeat a doc_id are rows like others; null doc_ids take part,
+    and a class of them alone has a null class_id. Extra columns are not read; an empty table gives no rows.
+    """
+    return _joined(docs, threshold, size).select("doc_id", "class_id", "class_size", "n_links")
+
+
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """docs with one row of each class, that with the least doc_id, all columns as they are.
+    """docs with one row of each class, all columns as they are.
 
-    Rows that repeat a doc_id go together; where a class has null doc_ids alone, its rows all stay.
+    It is the row with the least doc_id, null last, and of rows that share it that with the least hash of its text; of rows equal in both one stays, that with the least hash of
+    its columns. Rows are told apart by doc_id and text, so another row of the same doc_id goes only if its own class says so. Rows without a word all stay.
     """
-    found = jaccard_join(docs, threshold, size)
-    gone = found.groupBy("doc_id").agg(F.max(F.coalesce(F.col("class_id") != F.col("doc_id"), F.lit(False))).alias("gone")).where("gone").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    scratch = Scratch(docs.sparkSession, "kept")
+    found = scratch.write(_joined(docs, threshold, size).where("class is not null").groupBy("class", "doc_id", "own").agg(F.count("*").alias("times")), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("first")
+    first = scratch.write(found.groupBy("class").agg(first, F.sum("times").alias("members")).where("members > 1").drop("members"), "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.own"))
+    judged = scratch.write(found.join(first, "class").select("doc_id", "own", "times", stays.alias("stays")), "judged")
+    return keep_rows(docs, judged)
+
+
+def keep_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """docs without the rows that judged (doc_id, own, times, stays) lets go, and with one of the rows that stay where they are several."""
+    text = F.col("text").cast("string")
+
+    def same(some: DataFrame):
+        return docs["doc_id"].cast("long").eqNullSafe(some["_id"]) & (F.xxhash64(docs["text"].cast("string")) == some["_own"])
+
+    gone = judged.where("not stays or times > 1").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"))
+    several = judged.where("stays and times > 1").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"))
+    rest = docs.join(gone, same(gone), "left_anti")
+    if several.isEmpty():
+        return rest
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() != "map"]
+    rows = docs.join(several, same(several), "left_semi").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("own"), F.xxhash64(*plain).alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rest.union(rows.groupBy("id", "own").agg(F.min_by("row", "tie").alias("row")).select("row.*"))
