@@ -27,14 +27,12 @@ LETTERS = "A-Za-zÀ-ÿ"
 SHORT = 32
 
 
-def runs(text: Column) -> Column:
-    """Maximal runs of letters of a text, A-Z lower-cased."""
-    return F.filter(F.split(normalised(text), f"[^{LETTERS}]+"), lambda x: x != "")
-
-
 def word_counts(docs: DataFrame, least_length: int = 5, least_count: int = 3, one_in: int = 97) -> DataFrame:
     """word, n of docs (doc_id, text). Of a run whose checksum with its doc_id divides by one_in, the code point that it points at is deleted."""
-    each = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs(F.col("text").cast("string"))).alias("run"))
+    parts = F.split(F.col("text").cast("string"), f"[^{LETTERS}]+")
+    each = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(parts).alias("run")).where("run != ''")
+    # Most runs have no capitals, which is sooner seen than each character looked up.
+    each = each.select("id", F.when(F.lower("run") == F.col("run"), F.col("run")).otherwise(normalised(F.col("run"))).alias("run"))
     sum_ = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
     at = (sum_ % F.char_length("run")).cast("int")
     cut = F.concat(F.substring("run", F.lit(1), at), F.expr("substring(run, at + 2)"))
