@@ -102,11 +102,13 @@ def txt_similarity_summary(spark, d):
     return out.select("n", *[F.round(c, 5).alias(c) for c in ("mean", "median", "max")])
 
 
+#: Only ids with an edge to a smaller one can fall: those with an edge to an id that has none fall at once, the rest are taken in order.
 @query(f"""WITH RECURSIVE {_SETS}, p AS (SELECT b.doc_id AS id, a.doc_id AS other, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-    c AS (SELECT id, list(other) AS before FROM p WHERE CAST(k / (n + m - k) AS FLOAT) > CAST(0.5 AS FLOAT) GROUP BY 1),
-    o AS (SELECT doc_id, coalesce(before, []) AS before, row_number() OVER (ORDER BY doc_id) AS k FROM documents LEFT JOIN c ON c.id = doc_id),
-    r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS stand UNION ALL SELECT o.k, CASE WHEN list_has_any(stand, before) THEN stand ELSE list_append(stand, doc_id) END FROM r JOIN o ON o.k = r.k + 1)
-    SELECT doc_id AS id, list_contains((SELECT stand FROM r ORDER BY k DESC LIMIT 1), doc_id) AS accepted FROM documents""")
+    c AS MATERIALIZED (SELECT id, other FROM p WHERE CAST(k / (n + m - k) AS FLOAT) > CAST(0.5 AS FLOAT)),
+    x AS MATERIALIZED (SELECT DISTINCT id FROM c WHERE other NOT IN (SELECT id FROM c)),
+    o AS MATERIALIZED (SELECT id, list(other) AS before, row_number() OVER (ORDER BY id) AS k FROM c WHERE id NOT IN (SELECT id FROM x) GROUP BY 1),
+    r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS stand UNION ALL SELECT o.k, CASE WHEN list_has_any(stand, before) THEN stand ELSE list_append(stand, id) END FROM r JOIN o ON o.k = r.k + 1)
+    SELECT doc_id AS id, doc_id NOT IN (SELECT id FROM c) OR list_contains((SELECT stand FROM r ORDER BY k DESC LIMIT 1), doc_id) AS accepted FROM documents""")
 def txt_unique_greedy(spark, d):
     s = similarity.sets(t(spark, d, "documents"))
     return similarity.unique(s, 0.5)
