@@ -14,7 +14,7 @@ from .functions import text as T
 from .operators import compose, profiles, prompts, queue, sampling, similarity
 from .operators.lineage import folder
 from .plans import dictionary
-from .sources import records
+from .sources import records, search
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -198,13 +198,37 @@ def smp_full_names(spark, d):
     return sampling.full_names(people, book["first"], book["patronymics"], [(x["male"], x["female"], float(x["weight"])) for x in raw["surnames"]], 7).select("id", "full_name")
 
 
-_QUERY = "der Fluss und das Haus of the old river house casa grande"
+_BM25 = f"""w AS (SELECT doc_id, {_words('text')} AS w FROM documents), z AS (SELECT count(*) AS docs, sum(len(w)) / count(*) AS mean FROM w),
+    p AS (SELECT doc_id, any_value(len(w)) AS len, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM w) GROUP BY doc_id, term),
+    i AS (SELECT term, ln(1 + (any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, z GROUP BY 1),
+    b AS (SELECT query, doc_id AS key, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score FROM a JOIN p USING (term) JOIN i USING (term), z GROUP BY 1, 2)"""
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_words('text')} AS w FROM documents), q AS (SELECT list_distinct({_words(f"'{_QUERY}'")}) AS q), s AS (SELECT doc_id, len(list_filter(q, lambda x: list_contains(w, x))) AS score FROM w, q)
-    SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10""")
+def _index(spark, d):
+    return search.SearchIndex.build(t(spark, d, "documents"), folder(spark, "search"), key="doc_id", keep=("lang",))
+
+
+@query(f"""WITH a AS (SELECT item_id AS query, unnest(list_distinct({_words('text')})) AS term FROM benchmark), {_BM25}
+    SELECT query, key, CAST(row_number() OVER r AS INTEGER) AS rank, round(score, 6) AS score FROM b WINDOW r AS (PARTITION BY query ORDER BY score DESC, key) QUALIFY row_number() OVER r <= 10""")
 def src_search(spark, d):
-    return records.search(t(spark, d, "documents"), _QUERY, "text", "doc_id")
+    """The ten documents that answer each benchmark item best."""
+    items = t(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return _index(spark, d).search(items, 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH a AS (SELECT doc_id AS query, unnest(list_distinct({_words('text')})) AS term FROM documents WHERE doc_id % 20 = 0), {_BM25},
+    l AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM b WHERE key IN (SELECT doc_id FROM documents WHERE lang = 'en') QUALIFY rank <= 20),
+    c AS (SELECT q.vec_id AS query, e.vec_id AS key, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+    s AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM c QUALIFY rank <= 20),
+    f AS (SELECT query, key, round(sum(1 / (60 + rank)), 9) AS score FROM (FROM l UNION ALL FROM s) GROUP BY 1, 2)
+    SELECT query, key, CAST(row_number() OVER r AS INTEGER) AS rank, score FROM f WINDOW r AS (PARTITION BY query ORDER BY score DESC, key) QUALIFY row_number() OVER r <= 10""")
+def src_search_fused(spark, d):
+    """English documents by the words of each twentieth document, and all vectors by its vector, as one list."""
+    asked = t(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text")
+    vectors = t(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("v"))
+    lexical = _index(spark, d).search(asked, 20, F.col("lang") == "en")
+    semantic = search.nearest_vectors(vectors.where("key % 20 = 0").withColumnRenamed("key", "query"), vectors, 20)
+    return search.fused([lexical, semantic], 10)
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'own.jpg' WHEN c_nationkey < 10 THEN 'n' || c_nationkey || '.png' END AS photo FROM customer")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import words
 from ..operators import ranks
 
 RESERVED = {"sort", "page", "per_page", "q", "filter"}
@@ -49,13 +48,6 @@ def of_prefix(df: DataFrame, prefix: str, **equal) -> DataFrame:
     return where_equal(df, equal).where(F.startswith("natural_key", F.lit(prefix)))
 
 
-def search(df: DataFrame, query: str, text: str = "text", key: str = "id", limit: int = 10, **equal) -> DataFrame:
-    """The records that share most distinct words with a query, ties by key: their key and score. A report of the best few."""
-    asked = F.array_distinct(words(F.lit(query)))
-    found = where_equal(df, equal).select(F.col(key), words(F.col(text)).alias("w")).withColumn("score", F.size(F.array_intersect("w", asked)))
-    return found.where("score > 0").select(key, F.col("score").cast("long")).orderBy(F.desc("score"), key).limit(limit)
-
-
 def where_equal(df: DataFrame, equal: dict) -> DataFrame:
     for k, v in equal.items():
         if k in RESERVED:
