@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import rules
 from .functions import text as T
-from .operators import acceptance, compose, profiles, prompts, queue, sampling, similarity
+from .operators import acceptance, compose, nearest, profiles, prompts, queue, sampling, similarity
+from .operators.lineage import folder
 from .plans import dictionary
 from .sources import records
 
@@ -96,6 +97,17 @@ def txt_nearest_k(spark, d):
     return _nearest(spark, d, 3).select("id", "other", F.col("rank").cast("long"), F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
+@query(f"WITH {_NEAREST} SELECT id, other, rank, round(CAST(score AS DOUBLE), 5) AS score FROM r WHERE rank <= 3")
+def txt_index_nearest(spark, d):
+    """The same from an index that was built on half of the rows and grew by the rest."""
+    s = similarity.sets(t(spark, d, "documents"))
+    index = nearest.SetIndex(spark, folder(spark, "sets"))
+    for some in ("id % 2 = 0", "id % 4 = 1", "id % 8 = 3", "id % 8 = 7"):
+        index.insert(s.where(some))
+    found = nearest.SetIndex(spark, index.path).nearest(s.where("id % 20 = 0"), 3)
+    return found.select("id", "other", F.col("rank").cast("long"), F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
 @query(f"WITH {_NEAREST}, o AS (SELECT CAST(score AS DOUBLE) AS x, row_number() OVER (ORDER BY score) AS i, count(*) OVER () AS n FROM r WHERE rank = 1) SELECT max(n) AS n, round(avg(x), 5) AS mean, round(max(x) FILTER (i = n // 2 + 1), 5) AS median, round(max(x), 5) AS max FROM o")
 def txt_similarity_summary(spark, d):
     out = similarity.summary(_nearest(spark, d, 1), F.col("score"))
