@@ -27,6 +27,9 @@ NEUTRAL = ["Dr", "Prof"]
 _TITLE = "(?:" + "|".join(t.replace(".", "") for t in sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME, _GAP = r"\p{Lu}[\p{L}'’-]+", r"[ \t\xA0]+"
+#: Titles may follow one another, and initials stand before a name or between its parts.
+_TITLES, _INITIALS = f"(?:{_TITLE}{_GAP})+", r"(?:\p{Lu}\.[ \t\xA0]*)*"
+_HEXES = "[0-9A-Fa-f]{1,4}"
 _LABEL = r"(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: Kind and pattern, in the order in which they are tried at a place.
 KINDS = [
@@ -34,22 +37,23 @@ KINDS = [
     ("secret", rf"(?<![\p{{L}}0-9]){_LABEL}[A-Za-z0-9_/+-]{{8,}}"),
     ("key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("ipv6", rf"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_HEXES}:){{7}}{_HEXES}|(?:{_HEXES}:){{1,6}}(?::{_HEXES}){{1,6}}|::(?:{_HEXES}:){{1,6}}{_HEXES})(?![0-9A-Za-z:])"),
     ("ip", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"),
-    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9.,-])[2-9][0-9]{2}-[0-9]{4}(?![0-9.,-]?[0-9])"),
-    ("name", rf"(?<![\p{{L}}]){_TITLE}{_GAP}{_NAME}(?:{_GAP}{_NAME}){{0,2}}"),
+    ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9.,-])[2-9][0-9]{2}-[0-9]{4}(?![0-9.,-]?[0-9])|(?<![0-9+])\+[1-9](?:[ ./-]?\(?[0-9]\)?){7,14}(?![0-9])|(?<![0-9.,+/-])0[0-9]{1,4}[ /-][0-9]{5,9}(?![0-9]|[.,-][0-9])|(?<![\p{L}0-9.,+/_-])[2-9][0-9]{2}[2-9][0-9]{6}(?![\p{L}0-9_]|[.,/-][0-9])"),
+    ("name", rf"(?<![\p{{L}}]){_TITLES}{_INITIALS}{_NAME}(?:{_GAP}{_INITIALS}{_NAME}){{0,2}}"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: Every mention has a digit, an at sign, a label or a title.
-HINT = rf"[0-9@]|(?i:password|passwd|token|secret|api.?key)|{_TITLE}"
+HINT = rf"[0-9@]|[0-9A-Fa-f]:|(?i:password|passwd|token|secret|api.?key)|{_TITLE}"
 #: What stays in front of a mention.
-KEEP = {"secret": rf"^{_LABEL}", "key": "^.{4}", "phone": r"^(?:\+[0-9]{1,3})?", "card": "^.", "iban": "^[A-Z]{2}", "name": rf"^{_TITLE}{_GAP}"}
+KEEP = {"secret": rf"^{_LABEL}", "key": "^.{4}", "phone": r"^(?:\+[0-9]{1,3})?", "card": "^.", "iban": "^[A-Z]{2}", "name": f"^{_TITLES}"}
 ATTEMPTS = 8
 #: Around a mention in a marked text; a private character of the text itself is followed by another.
 _PRIVATE, _CUT, _OWN = "\ue000", "\ue000\ue001", "\ue000\ue002"
 # Letters that are drawn for one another; a character keeps its row.
-ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"]
+ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"]
 HEX = "0123456789abcdef"
 # Syllables that surrogate names are built of, and their ends by gender.
 SYLLABLES = {
@@ -74,7 +78,7 @@ def _number(digest: Column, at: Column | int) -> Column:
 
 
 def _shifted(c: Column, by: Column, hexadecimal: Column, capital: Column) -> Column:
-    """Another character of the row that c is in; letters of no row move among the 64 code points about them."""
+    """Another character of the row that c is in; letters of no row move among the 64 code points about them, and stay where rows are."""
     low = F.lower(c)
 
     def within(letters: str, upper: Column) -> Column:
@@ -89,7 +93,7 @@ def _shifted(c: Column, by: Column, hexadecimal: Column, capital: Column) -> Col
     out = F.when(hexadecimal & held(HEX), within(HEX, capital))
     for letters in ALPHABETS:
         out = out.when(held(letters), within(letters, c != low))
-    return out.when(c.rlike(r"^\p{L}$") & (code < 0xD800), near).otherwise(c)
+    return out.when(c.rlike(r"^\p{L}$") & (code >= 0x700) & (code < 0xD800), near).otherwise(c)
 
 
 def permuted(text: Column, tweak: Column, hexadecimal: Column | None = None) -> Column:
@@ -148,7 +152,7 @@ def _surrogate(key: str, attempt: int) -> Column:
     last = (F.lit(10) - _luhn(F.concat(head, first, F.lit("0")))) % 10
     card = F.when(_luhn(F.concat(head, canon)) == 0, F.concat(first, last.cast("string"))).otherwise(permuted(canon, tweak))
     secret = permuted(canon, tweak, F.regexp_like(canon, F.lit("^[0-9A-Fa-f]+$")))
-    return F.when(kind == "name", _spelt(key, attempt, canon, F.col("gender"))).when(kind == "ip", _address(canon, tweak)).when(kind == "email", mail).when(kind == "card", card).when(kind == "secret", secret).otherwise(permuted(canon, tweak))
+    return F.when(kind == "name", _spelt(key, attempt, canon, F.col("gender"))).when(kind == "ip", _address(canon, tweak)).when(kind == "ipv6", permuted(canon, tweak, F.lit(True))).when(kind == "email", mail).when(kind == "card", card).when(kind == "secret", secret).otherwise(permuted(canon, tweak))
 
 
 def _drawn(scratch: Scratch, entities: DataFrame, key: str) -> DataFrame:
@@ -211,9 +215,13 @@ def surrogates(scratch: Scratch, mentions: DataFrame, key: str) -> DataFrame:
     canon = F.when(kind == "secret", body).when(kind.isin("ip", "email"), F.lower(body)).otherwise(plain)
     others = known.where("kind != 'name'").withColumns({"canon": canon, "lead": F.when(kind == "secret", "").otherwise(F.lower(F.regexp_replace("head", r"[^\p{L}0-9]", "")))})
     # Words of names stand at odd places of what the name is cut into.
-    title = F.regexp_replace("head", r"[.\s\xA0]", "")
-    gender = F.when(title.isin([t.replace(".", "") for t in MALE]), "m").when(title.isin(FEMALE), "f")
-    cut = F.split(F.regexp_replace(body, r"\p{L}{2,}", f"{_CUT}$0{_CUT}"), _CUT, -1)
+    titles = F.split(F.regexp_replace("head", r"\.", ""), r"[\s\xA0]+")
+
+    def among(some: list[str]) -> Column:
+        return F.arrays_overlap(titles, F.array(*[F.lit(t.replace(".", "")) for t in some]))
+
+    gender = F.when(among(MALE), "m").when(among(FEMALE), "f")
+    cut = F.split(F.regexp_replace(body, r"\p{L}+", f"{_CUT}$0{_CUT}"), _CUT, -1)
     words = known.where("kind = 'name'").select("mention", "head", gender.alias("gender"), F.posexplode(cut).alias("place", "word"))
     is_word = F.col("place") % 2 == 1
     names = words.where(is_word).groupBy(F.lower("word").alias("canon")).agg(F.collect_set("gender").alias("genders"))
@@ -226,24 +234,40 @@ def surrogates(scratch: Scratch, mentions: DataFrame, key: str) -> DataFrame:
     shown = F.when(kind.isin("ip", "secret"), new).when(kind == "email", F.when(F.length(body) == F.length(new), same).otherwise(new)).otherwise(_walked(body, new))
     numbers = others.join(drawn, ["kind", "lead", "canon"]).select("mention", "kind", F.concat("head", shown).alias("replacement"))
     spelt = drawn.where("kind = 'name'").select("canon", "surrogate")
-    word = F.when((F.col("word") == F.upper("word")) & (F.length("word") > 1), F.upper(new)).otherwise(F.concat(F.upper(F.left(new, F.lit(1))), F.expr("substring(surrogate, 2)")))
+    word = F.when(F.length("word") == 1, F.upper(F.left(new, F.lit(1)))).when(F.col("word") == F.upper("word"), F.upper(new)).otherwise(F.concat(F.upper(F.left(new, F.lit(1))), F.expr("substring(surrogate, 2)")))
     said = words.withColumn("canon", F.lower("word")).join(spelt, "canon", "left").select("mention", "head", F.struct("place", F.when(is_word, word).otherwise(F.col("word")).alias("word")).alias("part"))
     people = said.groupBy("mention", "head").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     people = people.select("mention", F.lit("name").alias("kind"), F.concat("head", F.array_join("parts.word", "")).alias("replacement"))
     return scratch.write(numbers.union(people), "replacements")
 
 
+def _count(text: Column, word: Column) -> Column:
+    return F.regexp_count(text, F.concat(F.lit(r"(?<!\p{L})"), word, F.lit(r"(?!\p{L})")))
+
+
 def _named(parts: Column) -> Column:
-    """parts cut further, at the words of names that follow a title anywhere in the text. Words that stand in lower case there as well are no names."""
+    """parts cut further, at the words of names that follow a title anywhere in the text, wherever they have their capital.
+
+    A word that stands in lower case there as well, and more than twice as often, is no name: it is what a sentence or a title happened to begin with.
+    """
     titled = F.filter(parts, lambda x, i: (i % 2 == 1) & x.rlike(KEEP["name"]))
-    tokens = F.array_distinct(F.flatten(F.transform(titled, lambda m: F.regexp_extract_all(F.regexp_replace(m, KEEP["name"], ""), F.lit(r"\p{L}{3,}"), F.lit(0)))))
-    return F.when(F.size(titled) == 0, parts).otherwise(_let(F.struct(tokens.alias("tokens"), F.array_join(parts, "").alias("text")), lambda s: _let(F.filter(s["tokens"], lambda t: ~F.regexp_like(s["text"], F.concat(F.lit(r"(?<!\p{L})"), F.lower(t), F.lit(r"(?!\p{L})")))), lambda names: _cut_at(parts, names))))
+    tokens = F.array_distinct(F.flatten(F.transform(titled, lambda m: F.regexp_extract_all(F.regexp_replace(m, KEEP["name"], ""), F.lit(r"\p{L}{2,}"), F.lit(0)))))
+
+    def sure(s: Column) -> Column:
+        low = F.array_intersect(F.transform(s["tokens"], lambda t: F.lower(t)), F.regexp_extract_all(s["text"], F.lit(r"(?<!\p{L})\p{Ll}{2,}(?!\p{L})"), F.lit(0)))
+        often = F.filter(low, lambda t: _count(s["text"], t) > 2 * _count(s["text"], F.concat(F.upper(F.left(t, F.lit(1))), F.substr(t, F.lit(2)))))
+        return _let(often, lambda words: F.filter(s["tokens"], lambda t: ~F.array_contains(words, F.lower(t))))
+
+    return F.when(F.size(titled) == 0, parts).otherwise(_let(F.struct(tokens.alias("tokens"), F.array_join(parts, "").alias("text")), lambda s: _let(sure(s), lambda names: _cut_at(parts, names))))
 
 
 def _cut_at(parts: Column, names: Column) -> Column:
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.array_distinct(F.concat(names, F.transform(names, lambda t: F.upper(t)))), "|"), F.lit(r")(?!\p{L})"))
-    more = F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, pattern, F.lit(f"{_CUT}$0{_CUT}"))).otherwise(x))
-    return F.when(F.size(names) == 0, parts).otherwise(F.split(F.array_join(more, _CUT), _CUT, -1))
+    """Cuts at names. The pattern looks for them by their first letter, so that few are tried at a place however many there are."""
+    both = F.array_distinct(F.concat(names, F.transform(names, lambda t: F.upper(t))))
+    firsts = F.array_distinct(F.transform(both, lambda t: F.left(t, F.lit(2))))
+    by_first = F.transform(firsts, lambda c: F.concat(F.lit("(?="), c, F.lit(")(?:"), F.array_join(F.filter(both, lambda t: F.startswith(t, c)), "|"), F.lit(")")))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(by_first, "|"), F.lit(r")(?!\p{L})"))
+    return F.when(F.size(names) == 0, parts).otherwise(_let(pattern, lambda p: F.split(F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, p, F.lit(f"{_CUT}$0{_CUT}"))).otherwise(x)), _CUT), _CUT, -1)))
 
 
 def _whole(text: Column) -> Column:
@@ -253,8 +277,9 @@ def _whole(text: Column) -> Column:
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """A row for each row of docs (doc_id, text): doc_id, n_entities, kinds, text with its entities replaced.
 
-    Found are e-mail and IP addresses, phone, card, account and social security numbers, access keys, secrets after a label in any case, and names after a
-    title with all else that their words stand for in the same text. kinds are the kinds found, sorted and joined by commas. Null texts stay null and
+    Found are e-mail and IP addresses (IPv6 too), phone, card, account and social security numbers, access keys, secrets after a label in any case, and names after
+    titles, with initials and of up to three parts, with all else that their words of two letters and more stand for in the same text, in capitals. A name that no title precedes anywhere in a text, and secrets of
+    under eight characters, are not found. kinds are the kinds found, sorted and joined by commas. Null texts stay null and
     empty ones empty, without entities; texts of any length are read whole. Repeated rows and ids give a row each; extra columns are not read; an empty
     table gives no rows.
     """
@@ -266,8 +291,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     some = scratch.write(rows.where("size(parts) > 1").select("row", "doc_id", _named(F.col("parts")).alias("parts")), "some")
     found = some.select("row", F.posexplode("parts").alias("place", "mention")).where("place % 2 = 1")
     changed = found.join(surrogates(scratch, found, key), "mention")
-    lists = scratch.write(changed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "replacement"))).alias("new"), F.sort_array(F.collect_set("kind")).alias("kinds")), "lists")
-    shown = F.transform("parts", lambda x, i: F.when(i % 2 == 0, x).otherwise(F.get(F.col("new.replacement"), F.floor(i / 2).cast("int"))))
+    lists = scratch.write(changed.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "replacement"))), lambda x: x["replacement"]).alias("new"), F.sort_array(F.collect_set("kind")).alias("kinds")), "lists")
+    shown = F.transform("parts", lambda x, i: F.when(i % 2 == 0, x).otherwise(F.get("new", F.floor(i / 2).cast("int"))))
     done = some.join(lists, "row").select("doc_id", F.size("new").cast("long").alias("n_entities"), F.array_join("kinds", ",").alias("kinds"), _whole(F.array_join(shown, "")).alias("text"))
     plain = rows.where("size(parts) <= 1").select("doc_id", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"), _whole(F.col("parts")[0]).alias("text"))
     return plain.union(done)
