@@ -15,9 +15,9 @@ _L, _UNDER = "licen[cs]e", "(?:under|by|subject to) (?:the )?(?:terms (?:and con
 
 
 def _v(number: str) -> str:
-    """A version in a licence's name, as (version) 2.0 or v2."""
+    """A version in a licence's name, as (version) 2.0 or v2, the v next to the name too."""
     whole, _, part = number.partition(".")
-    return rf"(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?{whole}" + ("(?: 0)?" if part in ("", "0") else f" {part}")
+    return rf"(?: as published by the free software foundation)?(?: either)?(?: ?version| ?v)? ?{whole}" + ("(?: 0)?" if part in ("", "0") else f" {part}")
 
 
 # Licences known by name. Identifier, licence, and the name in lower case with one space for whatever is not a letter or digit.
@@ -34,7 +34,7 @@ NAMES = [
     ("GFDL13", "GFDL-1.3", rf"gnu free documentation {_L}{_v('1.3')}"),
     ("GFDL12", "GFDL-1.2", rf"gnu free documentation {_L}{_v('1.2')}"),
     ("GFDL", "GFDL", rf"gnu free documentation {_L}"),
-    ("APACHE2", "Apache-2.0", rf"licen[cs]ed under the apache {_L}{_v('2')}|apache (?:software )?{_L}{_v('2')}|apache 2 0 {_L}"),
+    ("APACHE2", "Apache-2.0", rf"licen[cs]ed under the apache {_L}{_v('2')}|apache (?:software )?{_L}{_v('2')}|apache(?: v)? ?2 0 licen[cs]ed?|under (?:the )?apache(?: {_L})?{_v('2')}"),
     ("APACHE11", "Apache-1.1", rf"apache (?:software )?{_L}{_v('1.1')}"),
     ("MPL2", "MPL-2.0", rf"mozilla public {_L}{_v('2')}"),
     ("MPL11", "MPL-1.1", rf"mozilla public {_L}{_v('1.1')}"),
@@ -58,9 +58,9 @@ NAMES = [
     ("BSD2", "BSD-2-Clause", rf"(?:two|2) clause bsd(?: {_L})?|bsd (?:two|2) clause(?: {_L})?|(?:simplified|freebsd) bsd {_L}"),
     ("BSD3", "BSD-3-Clause", rf"(?:three|3) clause bsd(?: {_L})?|bsd (?:three|3) clause(?: {_L})?|(?:new|modified|revised) bsd {_L}"),
     ("BSD4", "BSD-4-Clause", rf"(?:four|4) clause bsd(?: {_L})?|bsd (?:four|4) clause(?: {_L})?"),
-    ("BSDANY", "BSD", rf"bsd(?: style)? {_L}"),
-    ("MITREF", "MIT", rf"(?:released|licen[cs]ed|distributed|available) {_UNDER}(?:mit|expat) {_L}|(?:mit|expat) {_L}"),
-    ("ISCREF", "ISC", rf"isc {_L}"),
+    ("BSDANY", "BSD", rf"bsd(?: style)? licen[cs]ed?"),
+    ("MITREF", "MIT", rf"(?:released|licen[cs]ed|distributed|available) {_UNDER}(?:mit|expat)(?: {_L})?|(?:mit|expat)(?: style)? licen[cs]ed?"),
+    ("ISCREF", "ISC", "isc licen[cs]ed?"),
     ("CC0", "CC0-1.0", "cc0(?: 1 0)?|dedicated to the public domain"),
     ("UNLICENSEREF", "Unlicense", "under (?:the )?unlicen[cs]e"),
 ]
@@ -147,9 +147,10 @@ KNOWN = TAGS + SENTENCES + [(name, pattern) for name, _, pattern in NAMES]
 ANY = r"\b(?:" + "|".join(f"(?:{p})" for _, p in KNOWN) + r")\b"
 #: A sentence ends at a mark before white space, or at an empty line. A text with a known sentence has a match of HINT, and so has the sentence.
 END = r"[.!?;:][\"')]*\s+|\n\s*\n"
-HINT = r"licen[cs]|permission|redistribut|provided|endorse|version|later|domain|creative|cc[^a-z0-9]*(?:by|0)|rights\s|software|gpl|eupl|wtfpl|bsd|misrepresented|altered|this[^a-z0-9]+entire|advertising|the[^a-z0-9]+mpl"
+HINT = r"licen[cs]|permission|redistribut|provided|endorse|version|later|domain|creative|cc[^a-z0-9]*(?:by|0)|rights\s|software|gpl|eupl|wtfpl|bsd|misrepresented|altered|this[^a-z0-9]+entire|advertising|the[^a-z0-9]+mpl|apache|(?:under|by|to|of|the)[^a-z0-9]+(?:mit|expat)"
+#: A plus sign after a short name is "or later".
 #: A full stop within a version, as in v. 2.0, ends no sentence; a tag's colon neither.
-JOINED = [(r"\b(v|ver|version)\.\s*([0-9])", "{0}1 {0}2"), (r"(spdx-license-identifier):\s*", "{0}1 ")]
+JOINED = [(r"\b(v|ver|version)\.\s*([0-9])", "{0}1 {0}2"), (r"(spdx-license-identifier):\s*", "{0}1 "), (r"\b([al]?gpl(?:[ -]?v)?[ -]?[1-3](?:\.[0-9])?)\+", "{0}1 or later")]
 
 
 def _sequence(ids: list[str]) -> tuple[str, str]:

@@ -377,6 +377,28 @@ def test_licence_notices(spark):
     assert got == dict(enumerate(texts.values()))
 
 
+def test_licence_shorthand(spark):
+    texts = {
+        "This is GPLv3 code.": "GPL-3.0",
+        "GPLv2 only": "GPL-2.0",
+        "It is LGPLv2.1, mostly": "LGPL-2.1",
+        "(AGPLv3)": "AGPL-3.0",
+        "licensed GPLv3+": "GPL-3.0-or-later",
+        "LGPL-2.1+ applies": "LGPL-2.1-or-later",
+        "GPL v2+": "GPL-2.0-or-later",
+        "released under Apache 2.0": "Apache-2.0",
+        "under the Apache v2 terms": "Apache-2.0",
+        "Apache-2.0 licensed": "Apache-2.0",
+        "MIT-licensed code": "MIT",
+        "available under MIT": "MIT",
+        "a BSD-licensed fork": "BSD",
+        "she studied at MIT; Apache land 2.0": "",
+        "agplv33 gplv and 2+": "",
+    }
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, found string, `left` string")
+    assert [x["licenses"] for x in license.scan(docs).orderBy("doc_id").collect()] == list(texts.values())
+
+
 def test_wrapped_licence_sentences(spark):
     texts = {"This work is dedicated to the public\ndomain.": "CC0-1.0", "# either version 2 or any later\n# version": "", "CC  BY-SA 4.0": "CC-BY-SA-4.0"}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
