@@ -297,11 +297,11 @@ def _pools(spark, places=12, programs=24, people=90, directors=20, built=1980):
 RULES = compose.Rules({"drink", "both"}, psychiatric_for={"both"}, founder_segments={"high"})
 
 
-@pytest.mark.parametrize("shard", [1000, 4])
-def test_centres_keep_their_rules(spark, shard):
+@pytest.mark.parametrize("shards", [1, 3])
+def test_centres_keep_their_rules(spark, shards):
     pools = _pools(spark)
     places, programs, people, directors = ({r["key"]: r for r in x.collect()} for x in pools)
-    out = compose.compose(*pools, RULES, seed=1, shard=shard).where("place is not null").collect()
+    out = compose.compose(*pools, RULES, seed=1, shards=shards).where("place is not null").collect()
     assert len(out) >= 4
     used = [k for c in out for k in (c["place"], c["program"], c["director"], *c["doctors"], *c["psychologists"], *c["consultants"])]
     assert len(used) == len(set(used))
@@ -320,10 +320,18 @@ def test_centres_keep_their_rules(spark, shard):
         assert c["median_age"] == ages[len(ages) // 2] and chief["age"] >= max(35, c["median_age"] - 8) and c["founded_year"] >= place["year_built"]
         fits = [x["fits"].get(c["focus"], 0.5) for x in team]
         assert abs(c["fit"] - sum(fits) / len(fits)) < 1e-9
-    again = compose.compose(*[x.repartition(5) for x in pools], RULES, seed=1, shard=shard).where("place is not null").collect()
+    again = compose.compose(*[x.repartition(5) for x in pools], RULES, seed=1, shards=shards).where("place is not null").collect()
     assert {tuple(map(str, c)) for c in again} == {tuple(map(str, c)) for c in out}
 
 
+def test_shards_leave_nothing_to_waste(spark):
+    pools = _pools(spark)
+    one = compose.compose(*pools, RULES, seed=1).where("place is not null").count()
+    for shards in (3, 5):
+        assert compose.compose(*pools, RULES, seed=1, shards=shards).where("place is not null").count() >= one
+    assert compose.exactly(compose.compose(*pools, RULES, seed=1, count=one, shards=3), one).count() == one
+
+
 def T_root(name):
     return name.split()[0].lower()
 
