@@ -9,16 +9,11 @@ from . import ranks
 
 
 def numeric_profile(df: DataFrame, column: str) -> DataFrame:
-    """n, min, p10, median, p90, max, mean: q(f) is the value at place round((n - 1) f) of the sorted ones.
-
-    Equal values are counted first; distinct ones are dealt in ranges, and no task has them all.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("c"))
-    upto = ranks.running(counts, [F.col("x").asc()], F.col("c"))
-    whole = upto.agg(F.sum("c").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"))
-    at = lambda f: F.min(F.when(F.col("upto") > F.round((F.col("n") - 1) * F.lit(f)), F.col("x")))
-    places = upto.join(F.broadcast(whole.select("n"))).agg(at(0.1).alias("p10"), at(0.5).alias("median"), at(0.9).alias("p90"))
-    return whole.crossJoin(F.broadcast(places)).select("n", "min", "p10", "median", "p90", "max", "mean")  # a row each
+    """n, min, p10, median, p90, max, mean: q(f) is the value at place round((n - 1) f) of the sorted ones. Of no values n is 0 and the rest null."""
+    x = F.col(column).cast("double")
+    _, values = ranks.select(df, x, lambda n: [ranks.rounded((n - 1) * f) for f in (0.1, 0.5, 0.9)])
+    p10, median, p90 = (F.lit(v).cast("double") for v in values or [None] * 3)
+    return df.where(x.isNotNull()).agg(F.count("*").alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean")).select("n", "min", p10.alias("p10"), median.alias("median"), p90.alias("p90"), "max", "mean")
 
 
 def bool_profile(df: DataFrame, column: str) -> DataFrame:
