@@ -303,8 +303,8 @@ def smp_unique_signature(spark, d):
 
 
 @query(f"""WITH p AS (SELECT o_orderkey AS id, year(o_orderdate) - 30 AS year, floor((year(o_orderdate) - 30) / 10) * 10 AS decade FROM orders), n AS (SELECT n_name AS name, (n_nationkey % 5)::DOUBLE AS weight, 1960 + 10 * (n_nationkey % 2) AS decade FROM nation),
-    r AS (SELECT id, year, p.decade, name, -ln(1 - {_u("'7'", "'first'", "id", "name")}) / weight AS t FROM p JOIN n ON p.decade = n.decade WHERE weight > 0), o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t, name) AS k FROM r)
-    SELECT id, year, CAST(decade AS BIGINT) AS decade, name FROM o WHERE k = 1""")
+    c AS (SELECT *, sum(weight) OVER (PARTITION BY decade ORDER BY name) AS upto, sum(weight) OVER (PARTITION BY decade) AS total FROM n WHERE weight > 0), x AS (SELECT *, {_u("'7'", "'first'", "id")} AS u FROM p)
+    SELECT id, year, CAST(x.decade AS BIGINT) AS decade, name FROM x JOIN c ON x.decade = c.decade AND u * total >= upto - weight AND u * total < upto""")
 def smp_decade_pick(spark, d):
     people = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.year("o_orderdate") - 30).cast("long").alias("year"), F.lit("m").alias("gender"))
     names = t(spark, d, "nation").select(F.lit("m").alias("gender"), (F.lit(1960) + 10 * (F.col("n_nationkey") % 2)).cast("long").alias("decade"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 5).cast("double").alias("weight"))

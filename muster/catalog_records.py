@@ -177,17 +177,14 @@ def smp_capacity(spark, d):
     return sampling.capacity(book["first"], book["patronymics"], book["surnames"])
 
 
-def _race(salt: str, of: str) -> str:
-    return f"-ln(1 - {_u(chr(39) + '7' + chr(39), chr(39) + salt + chr(39), 'id', 'name')}) / {of}"
-
-
 @query(f"""WITH p AS (SELECT c_custkey AS id, 1965 + c_custkey % 10 AS year, CASE WHEN c_custkey % 2 = 0 THEN 'm' ELSE 'f' END AS gender FROM customer WHERE c_custkey % 10 >= 0),
     n(gender, name, decade, weight) AS (VALUES ('m', 'Adam', 1960, 3.0::DOUBLE), ('m', 'Adam', 1970, 1.0), ('m', 'Adam', 1930, 1.0), ('m', 'Adam', 1940, 1.0), ('m', 'Boris', 1970, 2.0), ('m', 'Boris', 1940, 2.0), ('f', 'Clara', 1960, 1.0), ('f', 'Clara', 1970, 1.0)),
-    o AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY {_race('first', 'weight')}, name) AS k FROM p JOIN n ON n.gender = p.gender AND n.decade = (year // 10) * 10),
-    f AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY {_race('father', 'weight')}, name) AS k FROM p JOIN n ON n.gender = 'm' AND n.decade = ((year - 28) // 10) * 10),
+    c AS (SELECT *, sum(weight) OVER (PARTITION BY gender, decade ORDER BY name) AS upto, sum(weight) OVER (PARTITION BY gender, decade) AS total FROM n),
+    o AS (SELECT id, name FROM p JOIN c ON c.gender = p.gender AND c.decade = (year // 10) * 10 AND {_u("'7'", "'first'", "id")} * total >= upto - weight AND {_u("'7'", "'first'", "id")} * total < upto),
+    f AS (SELECT id, name FROM p JOIN c ON c.gender = 'm' AND c.decade = ((year - 28) // 10) * 10 AND {_u("'7'", "'father'", "id")} * total >= upto - weight AND {_u("'7'", "'father'", "id")} * total < upto),
     s AS (SELECT id, {_u("'7'", "'surname'", "id")} * 4 AS u FROM p)
     SELECT p.id, CASE WHEN u < 2 THEN 'Stone' WHEN u < 3 THEN CASE gender WHEN 'm' THEN 'Novy' ELSE 'Novaya' END ELSE CASE gender WHEN 'm' THEN 'Kos' ELSE 'Kosa' END END || ' ' || o.name || ' ' || f.name || CASE gender WHEN 'm' THEN 'ovich' ELSE 'ovna' END AS full_name
-    FROM p JOIN o ON o.id = p.id AND o.k = 1 JOIN f ON f.id = p.id AND f.k = 1 JOIN s ON s.id = p.id""")
+    FROM p JOIN o ON o.id = p.id JOIN f ON f.id = p.id JOIN s ON s.id = p.id""")
 def smp_full_names(spark, d):
     """Names by decade of birth, a father's by his own decade, surnames by gender; the book's fathers go back two decades more."""
     raw = json.loads(json.dumps(_BOOK))
