@@ -239,6 +239,14 @@ def expr_hard_rules(spark, d):
     return li.select("l_orderkey", "l_linenumber", rules.first_violated(hard, rules.kinds_of(li)).alias("violated"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem
+    WHERE l_quantity <= 10 AND l_returnflag <> 'N' AND l_linenumber IN (1, 2, 3) AND (l_discount >= 0.05 OR l_tax < 0.02) AND l_extendedprice / nullif(l_quantity - 3, 0) > 1500""")
+def expr_filter(spark, d):
+    """Rows by a rule, of which all but the division is left to the scan."""
+    rule = "l_quantity <= 10 and l_returnflag != 'N' and 3 >= l_linenumber and (l_discount >= 0.05 or l_tax < 0.02) and l_extendedprice / (l_quantity - 3) > 1500"
+    return rules.keep(t(spark, d, "lineitem"), rule).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+
+
 # ---- sampling
 
 _DICTIONARY = """{"params": [
