@@ -185,20 +185,27 @@ def txt_reject_reason(spark, d):
     return f.select("doc_id", "banned", "foreign_word", reason.alias("reason"))
 
 
-_DEFECTS = ["none", "parse", "missing", "short", "overlap", "banned", "foreign", "echo", "years", "lifetime"]
+_DEFECTS = ["none", "parse", "short", "missing", "overlap", "banned", "foreign", "echo", "years", "lifetime"]
 _BODY = "Она училась долго и потом нашла работу у моря, где лечила людей и писала письма о тихих днях"
 _PATH = "Сначала был завод, потом школа на окраине, курсы вечером, первая группа и наставник из соседнего города"
 
 
-@query("""WITH p AS (SELECT p_partkey, ['none','parse','missing','short','overlap','banned','foreign','echo','years','lifetime'][p_partkey % 10 + 1] AS defect FROM part)
+#: Of two defects the test that comes first speaks; the order is that of _DEFECTS.
+_ORDER = "[" + ", ".join(f"'{x}'" for x in _DEFECTS) + "]"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_ORDER} AS o, p_partkey % 10 + 1 AS a, p_partkey // 10 % 10 + 1 AS b FROM part), d AS (SELECT p_partkey, o[CASE WHEN a = 1 THEN b WHEN b = 1 THEN a ELSE least(a, b) END] AS defect FROM p)
     SELECT p_partkey, CASE WHEN defect = 'parse' THEN 'not_structured' WHEN defect = 'missing' THEN 'missing_field' WHEN defect = 'short' THEN 'too_short' WHEN defect IN ('overlap', 'banned', 'foreign') THEN 'forbidden' WHEN defect IN ('echo', 'years', 'lifetime') THEN 'fact_drift' END AS reject_kind,
       CASE defect WHEN 'parse' THEN 'unparsed' WHEN 'missing' THEN 'missing professional_path' WHEN 'short' THEN 'short biography' WHEN 'overlap' THEN 'overlap biography professional_path' WHEN 'banned' THEN 'banned лучший центр'
-        WHEN 'foreign' THEN 'foreign predictability' WHEN 'echo' THEN 'echo stated_age' WHEN 'years' THEN 'unexplained years' WHEN 'lifetime' THEN 'year out of lifetime' END AS reject_reason FROM p""")
+        WHEN 'foreign' THEN 'foreign predictability' WHEN 'echo' THEN 'echo stated_age' WHEN 'years' THEN 'unexplained years' WHEN 'lifetime' THEN 'year out of lifetime' END AS reject_reason FROM d""")
 def txt_accept_chain(spark, d):
-    """Answers with one defect each, by the part's key."""
-    p = t(spark, d, "part").withColumn("defect", F.element_at(F.array(*map(F.lit, _DEFECTS)), (F.col("p_partkey") % 10 + 1).cast("int")))
-    is_ = lambda name: F.col("defect") == name
-    bio = F.when(is_("short"), "Кратко").when(is_("banned"), F.lit(_BODY + ". Это Лучший центр")).when(is_("foreign"), F.lit(_BODY + " и predictability")).when(is_("years"), F.lit(_BODY + ". Здесь двадцать пять лет подряд")).when(is_("lifetime"), F.lit(_BODY + ". В 1931 приехала")).otherwise(F.lit(_BODY + ". Здесь пять лет"))
+    """Answers with up to two defects, by the digits of the part's key."""
+    defect = lambda k: F.element_at(F.array(*map(F.lit, _DEFECTS)), (k % 10 + 1).cast("int"))
+    p = t(spark, d, "part").withColumn("defects", F.array(defect(F.col("p_partkey")), defect(F.floor(F.col("p_partkey") / 10))))
+    is_ = lambda name: F.array_contains("defects", name)
+    ends = [("banned", ". Это Лучший центр"), ("foreign", " и predictability"), ("years", ". Здесь двадцать пять лет подряд"), ("lifetime", ". В 1931 приехала")]
+    said = F.concat(*[F.when(is_(name), end).otherwise("") for name, end in ends])
+    bio = F.concat(F.when(is_("short"), "Кратко").otherwise(_BODY), F.when((said == "") & ~is_("short"), ". Здесь пять лет").otherwise(said))
     path = F.when(is_("missing"), F.lit(None).cast("string")).when(is_("overlap"), F.lit(_BODY)).otherwise(F.lit(_PATH))
     age = F.when(is_("echo"), "41").otherwise("40")
     body = F.when(is_("parse"), "no object").otherwise(F.concat(F.lit("```json\n"), F.to_json(F.struct(bio.alias("biography"), path.alias("professional_path"), age.alias("stated_age"))), F.lit("\n```")))
@@ -269,10 +276,9 @@ def _u(*parts: str) -> str:
 @query("""WITH n AS (SELECT n_nationkey AS k, count(c_custkey) AS share FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1), x AS (SELECT k, 1000.0 * share / (SELECT sum(share) FROM n) AS exact FROM n),
     r AS (SELECT k, floor(exact) AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, k) AS place FROM x) SELECT k, CAST(base + CASE WHEN place <= 1000 - (SELECT sum(base) FROM r) THEN 1 ELSE 0 END AS BIGINT) AS n FROM r""")
 def smp_cohort_alloc(spark, d):
-    """Quotas of cohorts, which are as few as a plan names them: here one a nation."""
+    """Quotas of cohorts, here one a nation, by how many customers it has."""
     share = t(spark, d, "nation").join(t(spark, d, "customer").groupBy("c_nationkey").count(), F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    rows = share.select(F.col("n_nationkey").alias("k"), F.coalesce("count", F.lit(0)).alias("s")).orderBy("k").collect()
-    return spark.createDataFrame(list(zip([r["k"] for r in rows], sampling.allocate(1000, [float(r["s"]) for r in rows]), strict=True)), "k int, n long")
+    return sampling.allocated(share.select(F.col("n_nationkey").alias("k"), F.col("count").alias("share")), 1000, key="k").select("k", "n")
 
 
 @query()
