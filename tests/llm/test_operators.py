@@ -194,7 +194,7 @@ def test_links_of_odd_rows(spark):
     got = sorted([tuple(x) for x in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect()], key=str)
     assert got == sorted([(None, 3, 6, 5)] * 3 + [(3, 3, 6, 5)] * 2 + [(7, 3, 6, 5), (8, 8, 1, 0), (8, 8, 1, 0), (9, 9, 2, 1), (10, 9, 2, 1), (11, 11, 1, 0)], key=str)
     left = ngram_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, key int"))
-    assert left.columns == ["doc_id", "text", "key"] and sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["None"] * 3 + ["3", "3", "8", "8", "9", "11"])
+    assert left.columns == ["doc_id", "text", "key"] and sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["3", "8", "8", "9", "11"])  # one row of each class, however its ids repeat
 
 
 def _least_edits(item, text):
