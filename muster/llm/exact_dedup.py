@@ -72,7 +72,7 @@ def same(x: bytes, y: bytes) -> bool:
     return len(x) == len(y) and all(a == b for a, b in zip(chunks(x), chunks(y), strict=True))
 
 
-GATHERED, COMPARED = "fp binary, size long, sha string, text binary, ids array<{}>", "group binary, sha string, id {}"
+GATHERED, COMPARED = "fp binary, size long, sha string, text binary, ids array<{}>", "local long, group binary, sha string"
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -117,35 +117,33 @@ def _gather(kind: pa.DataType, huge: int):
     return run
 
 
-def _compare(kind: pa.DataType):
-    """Texts of equal fingerprint and length follow one another; each is compared with one text of each class found so far. Huge texts have no class yet."""
-
-    def run(batches):
-        last, classes = None, []
-        for batch in batches:
-            out: list[tuple] = []
-            for fp, size, sha, text, ids in zip(*(batch.column(c) for c in ("fp", "size", "sha", "text", "ids")), strict=True):
-                key, text = (fp.as_py(), size.as_py()), text.as_py()
-                if text is None:
-                    out += [(None, None, i) for i in ids.as_py()]
-                    continue
-                if key != last:
-                    last, classes = key, []
-                number = next((i for i, known in enumerate(classes) if same(known, text)), len(classes))
-                if number == len(classes):
-                    classes.append(text)
-                name = key[0] + key[1].to_bytes(8, "big") + number.to_bytes(4, "big")
-                out += [(name, sha.as_py(), i) for i in ids.as_py()]
-            for i in range(0, len(out), 20_000):
-                yield _batch(out[i : i + 20_000], ["group", "sha", "id"], [pa.binary(), pa.string(), kind])
-
-    return run
-
-
-def _classed(rows: DataFrame, kind: pa.DataType, ddl: str, huge: int) -> DataFrame:
-    """group, sha, id of rows (id, text): equal groups for equal texts, null for huge ones."""
-    found = rows.mapInArrow(trimmed(_gather(kind, huge)), GATHERED.format(ddl))
-    return found.repartition("fp", "size").sortWithinPartitions("fp", "size").mapInArrow(trimmed(_compare(kind)), COMPARED.format(ddl))
+def _compare(batches):
+    """Texts of equal fingerprint and length follow one another; each is compared with one text of each class found so far."""
+    last, classes = None, []
+    for batch in batches:
+        out: list[tuple] = []
+        for fp, size, sha, text, local in zip(*(batch.column(c) for c in ("fp", "size", "sha", "text", "local")), strict=True):
+            key, text = (fp.as_py(), size.as_py()), text.as_py()
+            if key != last:
+                last, classes = key, []
+            number = next((i for i, known in enumerate(classes) if same(known, text)), len(classes))
+            if number == len(classes):
+                classes.append(text)
+            out.append((local.as_py(), key[0] + key[1].to_bytes(8, "big") + number.to_bytes(4, "big"), sha.as_py()))
+        yield _batch(out, ["local", "group", "sha"], [pa.int64(), pa.binary(), pa.string()])
+
+
+def _classed(scratch: Scratch, rows: DataFrame, kind: pa.DataType, ddl: str, huge: int) -> DataFrame:
+    """group, sha, id of rows (id, text): equal groups for equal texts, null for huge ones.
+
+    A text leaves each task once, under a number of its own, for the comparison; the ids of its rows stay where they were gathered and learn their
+    group by that number, so that the ids of a hot text never meet in one task.
+    """
+    found = rows.mapInArrow(trimmed(_gather(kind, huge)), GATHERED.format(ddl)).withColumn("local", F.monotonically_increasing_id())
+    found = scratch.write(found, "gathered")
+    texts = found.where("text is not null").select("fp", "size", "sha", "text", "local")
+    named = texts.repartition("fp", "size").sortWithinPartitions("fp", "size").mapInArrow(trimmed(_compare), COMPARED)
+    return found.select("local", "ids").join(named, "local", "left").select("group", "sha", F.explode("ids").alias("id"))
 
 
 def _pieces(batches):
@@ -173,7 +171,7 @@ def _huge_groups(scratch: Scratch, rows: DataFrame) -> DataFrame:
     named = rows.select("id", "text", sha.alias("sha")).withColumn("name", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "sha"))
     names = scratch.write(named.drop("text"), "names")
     pieces = named.select("name", "text").repartition("name").mapInArrow(trimmed(_pieces), "id string, text binary")
-    classes = _classed(scratch.write(pieces, "pieces"), pa.string(), "string", 2 * PIECE)
+    classes = _classed(scratch, scratch.write(pieces, "pieces"), pa.string(), "string", 2 * PIECE)
     # Rows equal in id and text share a name, and their pieces are the same.
     parts = classes.groupBy(F.substring_index("id", "/", 1).alias("name")).agg(F.sort_array(F.collect_set(F.struct(F.substring_index("id", "/", -1).cast("int").alias("place"), "group"))).alias("parts"))
     groups = parts.select("name", F.col("parts.group").alias("parts")).mapInArrow(trimmed(_combined), "name string, group binary")
@@ -190,7 +188,7 @@ def exact_groups(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "copies")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    members = scratch.write(_classed(rows, pa.int64(), "long", huge), "members")
+    members = scratch.write(_classed(scratch, rows, pa.int64(), "long", huge), "members")
     if not members.where("group is null").isEmpty():
         members = members.where("group is not null").union(_huge_groups(scratch, rows.where(F.octet_length("text") >= huge)))
     members = members.withColumnRenamed("id", "doc_id")
