@@ -2,7 +2,7 @@
 
 The directory is indexed by bits of a row's hash. All rows start in one bucket; only a bucket over the byte limit splits, on the next bit, until
 every bucket fits. Eight bits are tried in one pass: cells of the deepest prefix are summed first, before any shuffle of rows, and their sums
-rolled up to all shallower prefixes; what still overflows goes to the next pass.
+rolled up to all shallower prefixes; what still overflows goes to the next pass. Rows look their leaf up in the directory, which has an entry for a cell, not for a row.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 BITS, STEP = 60, 8
+#: Entries of a directory's level that are broadcast at most, of some forty bytes each.
+ENTRIES = 200_000
 LIMIT = 32 << 20
 
 
@@ -33,36 +35,45 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(_text()).cast("long").alias("bytes"), _hash().alias("x"))
 
 
-def leaves(scratch: Scratch, rows: DataFrame, limit: int) -> DataFrame:
-    """x, depth, prefix, total, over for each hash of rows (bytes, x): the bucket that it falls into, whose bytes sum to at most limit.
+def directory(scratch: Scratch, rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
+    """The directory for rows (bytes, x), by levels: how many bits index a level, and its entries (cell, leaf), a leaf being depth, prefix, total and over.
 
-    over are buckets of one hash that has more: no further bit divides them.
+    A leaf's bytes sum to at most limit. over are leaves of one hash that has more: no further bit divides them. What a level has no entry for is in the next.
     """
-    done, base, waiting = [], 0, rows.select("bytes", "x")
+    levels, base, waiting = [], 0, rows.select("bytes", "x")
     while True:
         deep = min(base + STEP, BITS)
         cell = F.shiftright("x", BITS - deep)
-        cells = waiting.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+        cells = scratch.write(waiting.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most")), "cells")
         depths = cells.withColumn("depth", F.explode(F.expr(f"sequence({base}, {deep})"))).withColumn("prefix", F.expr(f"shiftright(cell, {deep} - depth)"))
         sums = depths.groupBy("depth", "prefix").agg(F.sum("bytes").alias("total"), F.sum("n").alias("rows"), F.min("least").alias("least"), F.max("most").alias("most"))
         fits = F.col("total").between(0, limit) | (F.col("rows") == 1)
         equal = F.col("least") == F.col("most")
         leaf = depths.select("cell", "depth", "prefix").join(sums.where(fits | equal), ["depth", "prefix"]).groupBy("cell").agg(F.min_by(F.struct("depth", "prefix", "total", (~fits).alias("over")), "depth").alias("leaf"))
-        found = scratch.write(waiting.join(leaf, cell == leaf["cell"], "left").select("bytes", "x", "leaf"), "placed")
-        done.append(found.where("leaf is not null").select("x", "leaf.*").dropDuplicates(["x"]))
-        waiting, base = found.where("leaf is null").select("bytes", "x"), deep
-        if base == BITS or waiting.isEmpty():  # with all bits, a cell is one hash
-            return reduce(DataFrame.union, done)
+        leaf = scratch.write(leaf, "leaves")
+        levels.append((deep, leaf))
+        if deep == BITS or cells.join(leaf, "cell", "left_anti").isEmpty():  # with all bits, a cell is one hash
+            return levels
+        waiting, base = waiting.join(_sized(leaf.select(F.col("cell").alias("_cell"))), cell == F.col("_cell"), "left_anti"), deep
 
 
-def _placed(scratch: Scratch, rows: DataFrame, of: DataFrame, limit: int) -> DataFrame:
+def _sized(entries: DataFrame) -> DataFrame:
+    """A level's entries, broadcast where they are few; AQE splits the join where they are not."""
+    return F.broadcast(entries) if entries.count() <= ENTRIES else entries
+
+
+def _placed(scratch: Scratch, rows: DataFrame, levels: list[tuple[int, DataFrame]], limit: int) -> DataFrame:
     """rows (doc_id, bytes, x and others) with depth, prefix, part, shard, shard_bytes.
 
     Rows of a bucket that no bit divides are counted off into parts that fit: numbered within each input partition first, so that no task sees a
     hot group whole. `tie`, a hash of the row, makes the numbers the same whenever a task runs again.
     """
     own = ["depth", "prefix", "part", "shard_bytes"]
-    every = rows.join(of, "x")
+    every, found = rows, []
+    for k, (deep, leaf) in enumerate(levels):
+        every = every.join(_sized(leaf.select(F.col("cell").alias(f"_cell{k}"), F.col("leaf").alias(f"_leaf{k}"))), F.shiftright("x", BITS - deep) == F.col(f"_cell{k}"), "left")
+        found.append(F.col(f"_leaf{k}"))
+    every = every.withColumn("leaf", F.coalesce(*found)).select(*rows.columns, "leaf.*")
     plain = every.where("not over").withColumns({"part": F.lit(0).cast("long"), "shard_bytes": F.col("total")})
     over = scratch.write(every.where("over"), "over")
     if over.isEmpty():
@@ -96,8 +107,7 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "shards")
     rows = scratch.write(hashed(docs).withColumn("tie", F.lit(0)), "hashed")
-    of = scratch.write(leaves(scratch, rows, limit), "leaves")
-    return _placed(scratch, rows, of, limit).select("doc_id", "bytes", "depth", "prefix", "part", "shard", "shard_bytes", "x")
+    return _placed(scratch, rows, directory(scratch, rows, limit), limit).select("doc_id", "bytes", "depth", "prefix", "part", "shard", "shard_bytes", "x")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
@@ -109,10 +119,10 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
         raise ValueError("docs has a column named _shard")
     scratch = Scratch(docs.sparkSession, "shards")
     rows = scratch.write(hashed(docs), "hashed")
-    of = scratch.write(leaves(scratch, rows, limit), "leaves")
+    levels = directory(scratch, rows, limit)
     plain = [f.name for f in docs.schema.fields if f.dataType.typeName() != "map"]
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(_text()).cast("long").alias("bytes"), _hash().alias("x"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    placed = _placed(scratch, whole, of, limit).select("row.*", F.col("shard").alias("_shard"))
+    placed = _placed(scratch, whole, levels, limit).select("row.*", F.col("shard").alias("_shard"))
     placed.repartition("_shard").write.partitionBy("_shard").parquet(path)
 
 
