@@ -1,8 +1,8 @@
 """Token ids in Simple-8b: 64-bit words of a 4-bit selector and 60 bits of equally wide ids.
 
 A selector tells how many ids a word packs and how wide they are. Ids of 2^60 and more escape: selector 15 packs one place in the
-block's list of escaped ids. A shard is a row sequence of blocks; a block holds whole documents, their word offsets, and the
-ids of the shard before it, so that any block or document decodes by itself and all words of a block decode at once.
+block's list of escaped ids. A shard is a row sequence of blocks; a block holds whole documents, where each begins among its words and among its escapes, and the
+number of ids of the shard before it. So all words of a block decode at once, and any document by itself.
 Blocks are rows of Parquet files, whose writer commits whole files: lost executors leave no half shard, and any store that Spark
 reads holds them.
 """
@@ -32,7 +32,7 @@ WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int6
 # the id 2^60 - 1 announces an escape, whose value is the next of the block's list.
 ESCAPE = np.uint64((1 << 60) - 1)
 BLOCK_BYTES = 1 << 21
-BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("words", pa.binary()), ("escapes", pa.binary())])
+BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("escape_offsets", pa.list_(pa.int64())), ("words", pa.binary()), ("escapes", pa.binary())])
 
 
 #: The narrowest width that holds an id, by id below 2^15.
@@ -130,6 +130,16 @@ PARTED = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-&(-/:;=>?@\[-`{-~]*)$
 BYTES = {k: v for k, v in ALPHABET.items() if k != 10}
 
 
+def escape_offsets(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each document's bounds among the escaped ids."""
+    return np.concatenate(([0], np.cumsum(np.asarray(ids, np.uint64) >= ESCAPE)))[bounds]
+
+
+def decode_document(words: np.ndarray, escapes: np.ndarray, offsets, escape_offsets, k: int) -> np.ndarray:
+    """The ids of a block's k-th document, from its own words and escapes alone."""
+    return decode(words[offsets[k] : offsets[k + 1]], escapes[escape_offsets[k] : escape_offsets[k + 1]])
+
+
 class Tokenizer:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
@@ -245,6 +255,9 @@ def tokenizer_of(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+TABLE = "shard int, block int, before long, doc_ids array<long>, counts array<long>, offsets array<long>, escape_offsets array<long>, words binary, escapes binary"
+
+
 def _write(path: str, last: int):
     def run(batches):
         tokenizer, shard, block, before = tokenizer_of(path), TaskContext.get().partitionId(), 0, 0
@@ -257,8 +270,9 @@ def _write(path: str, last: int):
                 ids, bounds = tokenizer.encode(text.slice(begin, end - begin))
                 counts = np.diff(bounds) + 1
                 whole = np.insert(ids, bounds[1:], last)
-                words, offsets, escapes = encode(whole, np.concatenate(([0], np.cumsum(counts))))
-                row = (shard, block, before, batch.column("doc_id").slice(begin, end - begin).to_pylist(), counts.tolist(), offsets.tolist(), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes())
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                words, offsets, escapes = encode(whole, ends)
+                row = (shard, block, before, batch.column("doc_id").slice(begin, end - begin).to_pylist(), counts.tolist(), offsets.tolist(), escape_offsets(whole, ends).tolist(), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCK, strict=True)], schema=BLOCK)
                 begin, block, before = end, block + 1, before + int(counts.sum())
 
@@ -276,7 +290,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, last: int, path: str) -> None:
     n = partitions(docs.sparkSession)
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    dealt.mapInArrow(trimmed(_write(tokenizer, last)), "shard int, block int, before long, doc_ids array<long>, counts array<long>, offsets array<long>, words binary, escapes binary").write.parquet(path)
+    dealt.mapInArrow(trimmed(_write(tokenizer, last)), TABLE).write.parquet(path)
 
 
 def _read(batches):
@@ -294,7 +308,7 @@ def blocks(spark, path: str) -> DataFrame:
 
     Shards are as many as write tasks, so their sums are a small table, over which one ordered sum runs.
     """
-    written = spark.read.schema("shard int, block int, before long, doc_ids array<long>, counts array<long>, offsets array<long>, words binary, escapes binary").parquet(path)
+    written = spark.read.schema(TABLE).parquet(path)
     sums = written.select("shard", F.expr("aggregate(counts, 0L, (a, x) -> a + x)").alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -306,6 +320,27 @@ def digest(spark, path: str) -> DataFrame:
     return blocks(spark, path).select("before", "doc_ids", "counts", "words", "escapes", "first").mapInArrow(trimmed(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _some(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            words, escapes, ids, out = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["escapes"], "<u8"), row["doc_ids"], []
+            for k in row["places"]:
+                out.append((ids[k], decode_document(words, escapes, row["offsets"], row["escape_offsets"], k).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+
+def read_documents(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, ids of the documents of a written table whose doc_id is in wanted (doc_id): blocks without any are not decoded, and of the others only the documents asked for.
+
+    Rows that repeat a doc_id give a row each; null ids are not found.
+    """
+    written = spark.read.schema(TABLE).parquet(path)
+    places = written.select("shard", "block", F.posexplode("doc_ids").alias("k", "doc_id")).join(wanted.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
+    some = places.groupBy("shard", "block").agg(F.sort_array(F.collect_list("k")).alias("places"))
+    held = written.join(some, ["shard", "block"]).select("doc_ids", "offsets", "escape_offsets", "words", "escapes", "places")
+    return held.mapInArrow(trimmed(_some), "doc_id long, ids array<long>")
+
+
 def round_trip(docs: DataFrame, tokenizer: str, last: int = 2) -> DataFrame:
     """digest() of docs written by write_tokens(): a row for each row of docs, odd ones as stated there, none for an empty table."""
     path = Scratch(docs.sparkSession, "tokens").path("shards")

@@ -55,6 +55,34 @@ def test_simple8b_round_trip():
         assert (simple8b.decode(words, escapes) == ids).all()
 
 
+def test_documents_decode_by_themselves():
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        n = int(r.integers(1, 400))
+        ids = r.integers(0, 1 << 40, n).astype(np.uint64)
+        ids[r.random(n) < 0.1] = 2**63 + 5  # escapes, before and in each document
+        ids[r.random(n) < 0.02] = 2**60 - 1
+        bounds = np.sort(np.concatenate(([0, n], r.integers(0, n + 1, 6))))
+        words, offsets, escapes = simple8b.encode(ids, bounds)
+        places = simple8b.escape_offsets(ids, bounds)
+        for k in range(len(bounds) - 1):
+            assert (simple8b.decode_document(words, escapes, offsets, places, k) == ids[bounds[k] : bounds[k + 1]]).all()
+
+
+def test_some_documents_of_a_table(spark, tmp_path):
+    texts = [(i, f"some words {i} and more" * (i % 7)) for i in range(200)] + [(5, "again"), (None, "none"), (300, None)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in texts], "doc_id long, text string, words string, shard string")
+    path = vocabulary("word_bpe_49k.json")
+    simple8b.write_tokens(docs, path, 2, str(tmp_path / "t"))
+    got = simple8b.read_documents(spark, str(tmp_path / "t"), spark.createDataFrame([(5,), (17,), (300,), (999,), (None,), (5,)], "doc_id long")).collect()
+    t = simple8b.Tokenizer(path)
+
+    def ids(text):
+        return t.encode(pa.array([text]))[0].tolist() + [2]
+
+    assert sorted((r["doc_id"], list(r["ids"])) for r in got) == sorted([(5, ids(dict(texts[:200])[5])), (5, ids("again")), (17, ids(texts[17][1])), (300, [2])])
+
+
 def test_tokenizer_is_the_library():
     t = simple8b.Tokenizer(vocabulary("word_bpe_49k.json"))
     texts = ["eren*** x|y ab|| it's a<| b_c éa!! A-B `", "don't <|endoftext|>x a,b. c!, d., 123, é., ÿŸ ß. . , .", "", None, "a" * 3000, "ſ K Å ﬁ. ª º µ."]
