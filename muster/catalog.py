@@ -11,6 +11,7 @@ from .operators import acceptance, compose, nearest, profiles, prompts, queue, s
 from .operators.lineage import folder
 from .plans import dictionary
 from .sources import records
+from .streaming import unique
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -126,6 +127,19 @@ def txt_unique_greedy(spark, d):
     return similarity.unique(s, 0.5)
 
 
+@query(ORACLES["txt_unique_greedy"])
+def str_unique_stream(spark, d):
+    """The same decisions, of texts that arrive as a stream, a quarter of them at a time."""
+    docs, path = t(spark, d, "documents").select("doc_id", "text"), folder(spark, "unique")
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    step = ((most or 0) - (least or 0)) // 4 + 1
+    for k in range(4):
+        docs.where(F.col("doc_id").between((least or 0) + k * step, (least or 0) + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(f"{path}/arrived")
+    arrived = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrived")
+    unique.unique(arrived, f"{path}/out", 0.5, "doc_id").trigger(availableNow=True).start().awaitTermination()
+    return unique.accepted(spark, f"{path}/out")
+
+
 @query(r"""WITH y AS (SELECT page_id, list_sort(list_distinct(list_filter(list_transform(list_filter(string_split_regex(coalesce(html, ''), '[^\p{L}\p{N}]+'), lambda x: regexp_full_match(x, '[0-9]{4}')), lambda x: CAST(x AS INT)), lambda v: v BETWEEN 1900 AND 2100))) AS y FROM pages)
     SELECT page_id, len(y) AS n_years, array_to_string(y, ',') AS years FROM y""")
 def txt_calendar_years(spark, d):

@@ -14,7 +14,7 @@ from .functions import text as T
 from .operators import compose, profiles, prompts, queue, sampling, similarity
 from .operators.lineage import folder
 from .plans import dictionary
-from .sources import records, search
+from .sources import paged, records, search
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -195,6 +195,17 @@ def smp_full_names(spark, d):
     return sampling.full_names(people, book["first"], book["patronymics"], [(x["male"], x["female"], float(x["weight"])) for x in raw["surnames"]], 7).select("id", "full_name")
 
 
+@query("SELECT 'part:' || p_partkey AS natural_key, p_name, p_brand, p_size, CASE WHEN p_partkey % 3 = 0 THEN 'first' WHEN p_partkey % 3 = 1 THEN 'both' ELSE 'second' END AS came FROM part WHERE p_size = 7")
+def src_pages(spark, d):
+    """Parts written to pages in two loads that share a third of their keys, of which the second writes what is missing; read back by an equality."""
+    parts = t(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("natural_key"), "p_name", "p_brand", "p_size", "p_partkey")
+    path = folder(spark, "pages")
+    came = F.when(F.col("p_partkey") % 3 == 0, "first").when(F.col("p_partkey") % 3 == 1, "both").otherwise("second")
+    paged.write_missing(parts.where("p_partkey % 3 < 2").withColumn("came", came).drop("p_partkey"), path)
+    paged.write_missing(parts.where("p_partkey % 3 > 0").withColumn("came", F.when(came == "both", "conflict").otherwise(came)).drop("p_partkey"), path)
+    return paged.read(spark, path, "natural_key string, p_name string, p_brand string, p_size int, came string").where("p_size = 7")
+
+
 _BM25 = f"""w AS (SELECT doc_id, {_words('text')} AS w FROM documents), z AS (SELECT count(*) AS docs, sum(len(w)) / count(*) AS mean FROM w),
     p AS (SELECT doc_id, any_value(len(w)) AS len, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM w) GROUP BY doc_id, term),
     i AS (SELECT term, ln(1 + (any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, z GROUP BY 1),
