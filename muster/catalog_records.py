@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import api
+from . import api, engine
 from .catalog import _COMPOSE, _DICTIONARY, _JOBS, _jobs, _pools, _u, _words, t
 from .functions import rules
 from .functions import text as T
@@ -445,6 +446,27 @@ def job_images_ready(spark, d):
     return queue.images_ready(images).select("entity", "role", "step")
 
 
+class _Painter:
+    """Draws the hash of a prompt and of what it builds on; some it cannot."""
+
+    def render(self, prompts_, bases):
+        whole = [p.encode() + b"|" + (b or b"") for p, b in zip(prompts_, bases, strict=True)]
+        return [None if p.startswith("face 7") else hashlib.md5(w).hexdigest().encode() for p, w in zip(prompts_, whole, strict=True)]
+
+
+@query("""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS entity, c_custkey AS k, 'face ' || c_custkey % 10 || ' ' || c_name AS face FROM customer),
+    f AS (SELECT *, CASE WHEN k % 10 <> 7 THEN md5(face || '|') END AS f FROM c), s AS (SELECT *, md5('scene ' || entity || '|' || coalesce(f, '')) AS s FROM f), b AS (SELECT *, md5('badge ' || entity || '|' || s) AS b FROM s)
+    SELECT entity, 'face' AS role, 'alone' AS step, f AS data, CASE WHEN f IS NULL THEN 'dead' ELSE 'done' END AS status FROM b UNION ALL SELECT entity, 'scene', CASE WHEN f IS NULL THEN 'alone' ELSE 'ready' END, s, 'done' FROM b
+    UNION ALL SELECT entity, 'badge', 'ready', b, 'done' FROM b UNION ALL SELECT entity, 'lone', 'alone', md5('lone ' || entity || '|'), 'done' FROM b""")
+def str_image_line(spark, d):
+    """Images of customers in passes: a face, a scene with it, a badge with the scene, and one whose base was never asked for."""
+    key = F.col("c_custkey").cast("string")
+    asked = lambda role, prompt, ref: F.struct(F.lit(role).alias("role"), prompt.alias("prompt"), F.lit(ref).cast("string").alias("ref_role"))
+    roles = [asked("face", F.concat(F.lit("face "), (F.col("c_custkey") % 10).cast("string"), F.lit(" "), F.col("c_name")), None), asked("scene", F.concat(F.lit("scene "), key), "face"), asked("badge", F.concat(F.lit("badge "), key), "scene"), asked("lone", F.concat(F.lit("lone "), key), "nothing")]
+    requests = t(spark, d, "customer").select(key.alias("entity"), F.inline(F.array(*roles)))
+    return engine.draw_images(requests, _Painter()).withColumn("data", F.decode("data", "utf-8"))
+
+
 @query("""WITH x AS (SELECT 'place:' || s_suppkey AS place, 30 + s_suppkey % 40 AS median_age, 'region ' || s_nationkey % 5 AS region, ['low','middle','high'][s_suppkey % 3 + 1] AS segment, ['name' || s_suppkey % 97] AS surnames FROM supplier),
     c AS (SELECT 'person:' || c_custkey AS director, 25 + c_custkey % 45 AS age, 'region ' || c_nationkey % 5 AS home_region, c_custkey % 2 = 0 AS founder, 'name' || (c_custkey // 5) % 97 AS root FROM customer WHERE c_custkey % 5 = 4),
     s AS (SELECT place, director, round(0.5 + CASE WHEN region = home_region THEN 0.3 ELSE 0 END + CASE WHEN founder AND segment = 'high' THEN 0.2 ELSE 0 END, 6) AS score FROM x JOIN c ON age >= greatest(35, median_age - 8) AND NOT list_contains(surnames, root))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import acceptance, prompts, queue, sampling, similarity
+from .operators.lineage import cut
 from .plans.dictionary import Dictionary, check_spec
 from .store import Store
 
@@ -25,9 +26,9 @@ class TextModel(Protocol):
 
 
 class ImageModel(Protocol):
-    """Draws images of prompts; the bytes of each."""
+    """Draws images of prompts, some with an image to build on; the bytes of each, None where it cannot. It goes to the workers, so it must pickle."""
 
-    def render(self, prompts: list[str]) -> list[bytes]: ...
+    def render(self, prompts: list[str], bases: list[bytes | None]) -> list[bytes | None]: ...
 
 
 class ContentStore(Protocol):
@@ -118,8 +119,8 @@ class Fake:
             out.append({"text": text, "tokens_in": len(r), "tokens_out": len(text), "cost": self.cost} if text is not None else {"error": "no answer", "fatal": self.fatal_after is not None})
         return out
 
-    def render(self, prompts_: list[str]) -> list[bytes]:
-        return [b"\x89PNG" + p.encode()[:64] for p in prompts_]
+    def render(self, prompts_: list[str], bases: list[bytes | None]) -> list[bytes | None]:
+        return [b"\x89PNG" + p.encode()[:64] + (base or b"")[:8] for p, base in zip(prompts_, bases, strict=True)]
 
 
 def start(store: Store, generator: Generator, spec: dict) -> str:
@@ -264,6 +265,40 @@ class Files:
         return self.spark.read.parquet(f"{self.root}/{collection}").count() if fs.exists(path) and fs.listStatus(path) else 0
 
 
-def image_steps(store: Store, images: DataFrame) -> DataFrame:
-    """What to do with image jobs (entity, role, ref_role, status, path), bases first: see queue.images_ready."""
-    return queue.images_ready(images)
+def rendered(asked: DataFrame, model: ImageModel, at_once: int = 4) -> DataFrame:
+    """entity, role, data, status of image jobs (entity, role, prompt, base): done, or dead where the model gave none or failed."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for begin in range(0, len(part), at_once):
+                some = part.iloc[begin : begin + at_once]
+                try:
+                    data = model.render(some["prompt"].tolist(), [None if b is None else bytes(b) for b in some["base"]])
+                except Exception:
+                    data = [None] * len(some)
+                yield pd.DataFrame({"entity": some["entity"].to_numpy(), "role": some["role"].to_numpy(), "data": data, "status": ["dead" if d is None else "done" for d in data]})
+
+    return asked.select("entity", "role", "prompt", "base").mapInPandas(run, "entity string, role string, data binary, status string")
+
+
+def draw_images(requests: DataFrame, model: ImageModel) -> DataFrame:
+    """entity, role, step, data, status of image requests (entity, role, prompt, ref_role), each as queue.images_ready says.
+
+    Bases first: an image whose base is drawn gets it with its prompt, one whose base is dead or was never asked for is drawn alone. There are as many passes as roles build on one another;
+    roles in a circle are never drawn and stay pending.
+    """
+    requests = cut(requests.select(F.col("entity").cast("string").alias("entity"), "role", "prompt", "ref_role"))
+    done = None
+    while True:
+        state = requests.withColumns({"status": F.lit("pending"), "path": F.lit(None).cast("string"), "data": F.lit(None).cast("binary"), "step": F.lit(None).cast("string")})
+        if done is not None:
+            state = requests.join(done, ["entity", "role"], "left").withColumns({"status": F.coalesce("status", F.lit("pending")), "path": F.lit(None).cast("string")})
+        steps = queue.images_ready(state.drop("step")).where("status = 'pending' and step in ('ready', 'alone')")
+        base = state.select("entity", F.col("role").alias("ref_role"), F.col("data").alias("base"))
+        asked = cut(steps.select("entity", "role", "prompt", "ref_role", "step").join(base, ["entity", "ref_role"], "left").withColumn("base", F.when(F.col("step") == "ready", F.col("base"))))
+        if asked.isEmpty():
+            return state.select("entity", "role", "step", "data", "status")
+        new = rendered(asked, model).join(asked.select("entity", "role", "step"), ["entity", "role"])
+        done = cut(new if done is None else done.unionByName(new))
+
+
