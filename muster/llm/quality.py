@@ -45,6 +45,7 @@ def features(column: pa.Array) -> np.ndarray:
     lines = np.add.reduceat(data == 10, starts, dtype=np.int64) + 1
     ended = np.zeros(len(data), bool)
     ended[:-1] = (code[:-1] == 0) & (code[1:] == 4)  # a symbol before white space
+    ended[bounds[1:][some] - 1] = False  # of the same text
     blanks = np.maximum(1, np.add.reduceat(code == 4, starts, dtype=np.int64))
     h, at = words(column)
     n = np.diff(at)[some]
