@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, groups, trimmed
 
 #: Pivots at most; anchors a part; rows a block.
-PIVOTS, PART, BLOCK = 64, 4096, 16384
+PIVOTS, PART, BLOCK = 16, 16384, 32768
 #: Distances are computed in doubles; bounds give way by this share.
 SLACK = 1e-6
 #: Integers up to which sums of products are exact in doubles.
