@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tables
 from .functions import rules
 from .functions import text as T
 from .operators import acceptance, compose, nearest, profiles, prompts, queue, sampling, similarity
@@ -613,6 +614,32 @@ def cmp_offers(spark, d):
     return compose.offers(places, catalog, {"always": F.lit(True), "solvent": F.col("solvent")}, factors).select("place", "service", "price")
 
 
+# ---- table functions
+
+
+def _view(spark, d, name):
+    tables.register(spark)
+    t(spark, d, name).createOrReplaceTempView(f"muster_{name}")
+
+
+@query("SELECT o_custkey AS session_id, o_orderkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS place FROM orders WHERE o_orderstatus = 'O' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3")
+def sql_claims(spark, d):
+    """The first three open orders of each customer, claimed in SQL."""
+    _view(spark, d, "orders")
+    return spark.sql("""WITH jobs AS (SELECT o_custkey AS session_id, o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'done' END AS status FROM muster_orders)
+        SELECT * FROM claims(3, TABLE(jobs) PARTITION BY session_id ORDER BY id)""")
+
+
+@query(r"""WITH w AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+    g AS (SELECT item_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w)
+    SELECT shingle, count(DISTINCT item_id) AS items FROM g GROUP BY 1""")
+def sql_shingles(spark, d):
+    """How many benchmark items have each run of three words, in SQL."""
+    _view(spark, d, "benchmark")
+    return spark.sql(r"""WITH w AS (SELECT item_id, filter(split(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x != '') AS words FROM muster_benchmark)
+        SELECT shingle, count(DISTINCT item_id) AS items FROM w, LATERAL shingles(words, 3) GROUP BY shingle""")
+
+
 # ---- projections
 
 
