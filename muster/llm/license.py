@@ -1,5 +1,7 @@
 """Licence scans by sentences: each normalised sentence that is known gives an identifier, and ordered rules match the sequence of identifiers.
 
+Sentences of licences are looked up whole. Those that name a licence, or say a known thing in other surroundings, are told by patterns within them.
+
 All of it is DataFrame expressions. A rule takes its identifiers out of the sequence, so that a later, shorter rule does not see them again; one
 identifier of another licence may stand between two of a rule, and stays.
 """
@@ -95,6 +97,47 @@ SENTENCES = [
     ("UNLICENSE", "this is free and unencumbered software released into the public domain"),
     ("RESERVED", "all rights reserved"),
 ]
+# Whole sentences of licences, by identifier. A sentence that is one of them, however it is written and wrapped, is looked up; patterns are for the others.
+WHOLE = {
+    "MITGRANT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    ],
+    "MITNOTICE": [
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software",
+    ],
+    "ASIS": [
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement",
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "This software is provided 'as-is', without any express or implied warranty",
+    ],
+    "ISCGRANT": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "BSDREDIST": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ],
+    "BSDSOURCE": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
+    "BSDBINARY": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "BSDENDORSE": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "APACHECOMPLY": ["you may not use this file except in compliance with the License"],
+    "ZLIBGRANT": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "ZLIBORIGIN": ["The origin of this software must not be misrepresented"],
+    "ZLIBALTERED": ["Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"],
+    "ZLIBKEEP": ["This notice may not be removed or altered from any source distribution"],
+    "UNLICENSE": ["This is free and unencumbered software released into the public domain"],
+    "RESERVED": ["All rights reserved"],
+}
+
+
+def normalised(sentence: str) -> str:
+    """Lower case, and one space for whatever is not a letter or digit; a number or letter of a list in front is no part of a sentence."""
+    return re.sub(NUMBERED, "", re.sub("[^a-z0-9]+", " ", sentence.lower()).strip())
+
+
+#: What counts the items of a list.
+NUMBERED = "^(?:[0-9]{1,2}|[a-z]) "
+LOOKUP = {normalised(x): name for name, some in WHOLE.items() for x in some}
+
 # Rules of several sentences, the first to match first. A licence and its identifiers in order.
 RULES = [
     ("BSD-4-Clause", ["BSDREDIST", "BSDSOURCE", "BSDBINARY", "BSDADVERT", "BSDENDORSE", "ASIS"]),
@@ -168,10 +211,14 @@ def scan(docs: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    sentences = F.create_map(*[F.lit(x) for pair in LOOKUP.items() for x in pair])
 
     def identifiers(sentence):
-        plain = F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
-        return F.transform(F.regexp_extract_all(plain, F.lit(ANY), F.lit(0)), identifier)
+        return F.element_at(F.transform(F.array(F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))), of_plain), 1)
+
+    def of_plain(plain):
+        whole = F.try_element_at(sentences, F.regexp_replace(plain, NUMBERED, ""))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(F.regexp_extract_all(plain, F.lit(ANY), F.lit(0)), identifier))
 
     def identifier(match):
         out = None
@@ -207,6 +254,7 @@ def oracle() -> str:
         return "'" + x.replace("'", "''") + "'"
 
     case = " ".join(f"WHEN regexp_full_match(x, {text(p)}) THEN {text(n)}" for n, p in KNOWN)
+    whole_map = "MAP {" + ", ".join(f"{text(a)}: {text(b)}" for a, b in LOOKUP.items()) + "}"
     whole = "lower(coalesce(text, ''))"
     for pattern, to in JOINED:
         whole = f"regexp_replace({whole}, {text(pattern)}, {text(to.format(chr(92)))}, 'g')"
@@ -219,8 +267,8 @@ def oracle() -> str:
     singles = "MAP {" + ", ".join(f"{text(a)}: {text(b)}" for a, b in SINGLE.items()) + "}"
     return f"""
         WITH s AS (SELECT doc_id, list_filter(string_split_regex({whole}, {text(END)}), lambda s: regexp_matches(s, {text(HINT)})) AS parts FROM documents),
-        w AS (SELECT doc_id, flatten(list_transform(parts, lambda s: regexp_extract_all(trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')), {text(ANY)}))) AS hits FROM s),
-        g AS (SELECT doc_id, list_transform(hits, lambda x: CASE {case} END) AS found FROM w),
+        w AS (SELECT doc_id, list_transform(parts, lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))) AS plain, {whole_map} AS known FROM s),
+        g AS (SELECT doc_id, flatten(list_transform(plain, lambda p: CASE WHEN known[regexp_replace(p, {text(NUMBERED)}, '')] IS NOT NULL THEN [known[regexp_replace(p, {text(NUMBERED)}, '')]] ELSE list_transform(regexp_extract_all(p, {text(ANY)}), lambda x: CASE {case} END) END)) AS found FROM w),
         f AS (SELECT doc_id, coalesce(array_to_string(found, ','), '') AS sentences, CASE WHEN len(found) > 0 THEN ',' || array_to_string(found, ',,') || ',' ELSE '' END AS rest FROM g),
         {", ".join(steps)},
         e AS (SELECT *, list_filter(string_split(rest, ','), lambda x: x <> '') AS ids, {singles} AS m FROM {last})

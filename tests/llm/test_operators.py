@@ -405,6 +405,24 @@ def test_licence_notices(spark):
     assert got == dict(enumerate(texts.values()))
 
 
+def test_whole_licence_texts(spark):
+    """Each licence of several sentences, as it is usually wrapped, numbered and quoted, gives its identifiers in order by look-up alone."""
+    whole = lambda name, k=0: license.WHOLE[name][k]
+    texts = {
+        f"{whole('MITGRANT')}:\n\n{whole('MITNOTICE')}.\n\n{whole('ASIS').upper()}. IN NO EVENT SHALL ANYBODY BE LIABLE.": "MIT",
+        f"{whole('BSDREDIST')}:\n\n1. {whole('BSDSOURCE')}.\n2. {whole('BSDBINARY')}.\n3. {whole('BSDENDORSE')}.\n\n{whole('ASIS', 1).upper()}.": "BSD-3-Clause",
+        f"{whole('BSDREDIST')}:\n* {whole('BSDSOURCE')}.\n* {whole('BSDBINARY')}.\n\n{whole('ASIS', 1)}.": "BSD-2-Clause",
+        f"{whole('ISCGRANT')}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{whole('ASIS', 2)}.": "ISC",
+        f"{whole('ASIS', 3)}. {whole('ZLIBGRANT')}:\n 1. {whole('ZLIBORIGIN')}; you must not claim that you wrote it.\n 2. {whole('ZLIBALTERED')}.\n 3. {whole('ZLIBKEEP')}.": "Zlib",
+        f"{whole('UNLICENSE')}.": "Unlicense",
+    }
+    wrapped = {re.sub(" ", lambda m: "\n    " if m.start() % 60 < 6 else " ", t): v for t, v in texts.items()}
+    both = list(texts.items()) + list(wrapped.items())
+    got = license.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(both)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x["licenses"] for x in got] == [v for _, v in both] and not any(x["unmatched"] for x in got)
+    assert all(re.search(license.HINT, x) for x in license.LOOKUP)  # what is looked up is never passed over
+
+
 def test_licence_shorthand(spark):
     texts = {
         "This is GPLv3 code.": "GPL-3.0",
