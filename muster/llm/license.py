@@ -207,7 +207,8 @@ def scan(docs: DataFrame) -> DataFrame:
     sentences are the identifiers found in order; licenses the licences of the rules that matched in order of the rules, each as often as it was found,
     and then those of identifiers that are a licence by themselves, in order of place; unmatched the identifiers that neither took; all joined by commas,
     empty where there are none, as for null and empty texts. A sentence that holds several known ones gives each in order of place, but none within
-    another; of two at one place the first listed. Lines of one sentence are joined. Repeated rows give the same row each; extra columns are not read; an
+    another; of two at one place the first listed. Lines of one sentence are joined. Between the parts of a sentence that names somebody
+    (who provides a software, whose name may not be used) at most 80 or 120 characters stand. Repeated rows give the same row each; extra columns are not read; an
     empty table gives no rows.
     """
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
