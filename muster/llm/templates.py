@@ -3,10 +3,10 @@
 1. Each page is parsed and every element's subtree hashed: tag, names, text and the hashes of its children.
 2. Spark counts, for each host and hash, in how many different surroundings (hashes of the parent) the subtree stands. A subtree that is repeated because
    the whole page is repeated stands in one; a menu, an advert or a footer stands in as many as there are pages. Subtrees of at least LEAST
-   surroundings and SHARE of the host's pages are the host's template.
+   surroundings and SHARE of the host's pages are the host's template; those of FIRM of its pages firmly so.
 3. Pages are parsed again with the template of their host. Template subtrees go, and so do those that their tag, role or name declares to be something
    else than the article. Prose of an article itself (paragraphs, headings, quotations, lists without links) is kept however often it recurs: a common
-   sentence is no template.
+   sentence is no template. Where a page does not tell where its article is, a single block goes only with the firm template, for sentences recur more than structures do.
 
 A host's template has at most (subtrees of a page) / SHARE hashes. All templates are broadcast while they are under BROADCAST_BYTES, and joined beyond it.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices, trimmed
 
-LEAST, SHARE = 4, 0.01
+LEAST, SHARE, FIRM = 4, 0.01, 0.3
 BROADCAST_BYTES = 32 << 20
 
 # Elements of HTML by how they are read.
@@ -246,7 +246,21 @@ def links_only(element: Element) -> bool:
     return 2 * linked > total
 
 
-def blocks(scope: Element, template: set[int], whole_page: bool) -> list[str]:
+def single(element: Element) -> bool:
+    """Whether an element is one block: it holds no element but inline ones."""
+    return all(child is None or isinstance(child, str) or child.tag in FLOWING for child in element.children)
+
+
+def recurs(element: Element, template: set[int], firm: set[int], whole_page: bool) -> bool:
+    """Whether a subtree is its site's and not its page's."""
+    if element.main or element.digest not in template:
+        return False
+    if whole_page:
+        return element.digest in firm or not single(element) and element.tag not in PROSE or links_only(element)
+    return element.tag not in PROSE or links_only(element)
+
+
+def blocks(scope: Element, template: set[int], firm: set[int], whole_page: bool) -> list[str]:
     """Texts of a scope's blocks in page order, without template subtrees and other parts."""
     out: list[str] = []
     run: list[str] = []
@@ -267,7 +281,7 @@ def blocks(scope: Element, template: set[int], whole_page: bool) -> list[str]:
         elif now is not scope and not (now.main and now.tag not in OTHER_TAGS and not declared_part(now)) and declared(now, not whole_page):
             if now.tag not in FLOWING:
                 end()
-        elif now is not scope and not now.main and now.digest in template and (whole_page or now.tag not in PROSE or links_only(now)):
+        elif now is not scope and recurs(now, template, firm, whole_page):
             end()
         elif now.tag in FLOWING:
             stack += reversed(now.children)
@@ -284,14 +298,14 @@ def declared_part(element: Element) -> bool:
     return element.tag in ("article", "main") and declared(element, True)
 
 
-def main_text(html: str | None, template: set[int] = frozenset()) -> str:
+def main_text(html: str | None, template: set[int] = frozenset(), firm: set[int] = frozenset()) -> str:
     """The article of a page: its blocks joined by two line ends."""
     if not html:
         return ""
     root = parse(html)
     label(root)
     held = scopes(root)
-    return "\n\n".join(x for scope in held for x in blocks(scope, template, scope is root))
+    return "\n\n".join(x for scope in held for x in blocks(scope, template, firm, scope is root))
 
 
 def _hashes(batches):
@@ -310,20 +324,17 @@ def _hashes(batches):
 
 
 def _texts(batches):
-    last: tuple = (None, frozenset())
+    known: dict[str, tuple] = {}  # of a few hosts
     for batch in batches:
         for part in slices(batch):
             out = []
-            for html, template in zip(part.column("text"), part.column("template"), strict=True):
-                if template.is_valid and template.values is not None:
-                    held = template.values
-                    if not (last[0] is not None and held.equals(last[0])):
-                        last = (held, frozenset(held.to_pylist()))
-                    known = last[1]
-                else:
-                    known = frozenset()
-                out.append(main_text(html.as_py(), known))
-            kept = [c for c in part.schema.names if c not in ("text", "template")]
+            for html, host, template, firm in zip(part.column("text"), part.column("host").to_pylist(), part.column("template"), part.column("firm"), strict=True):
+                if host not in known:
+                    if len(known) == 256:
+                        known.clear()
+                    known[host] = frozenset(template.as_py() or ()), frozenset(firm.as_py() or ())
+                out.append(main_text(html.as_py(), *known[host]))
+            kept = [c for c in part.schema.names if c not in ("text", "host", "template", "firm")]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(out, pa.string())], [*kept, "text"])
 
 
@@ -332,13 +343,14 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, scratch: Scratch, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """host, template: the hashes of each host's template subtrees, for pages (host, text)."""
+def templates(pages: DataFrame, scratch: Scratch, least: int = LEAST, share: float = SHARE, firm: float = FIRM) -> DataFrame:
+    """host, template, firm: the hashes of each host's template subtrees, and of those of its firm template, for pages (host, text)."""
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
     found = pages.select("host", "text").mapInArrow(trimmed(_hashes), "host string, digest long, parent long").distinct()
     counted = found.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     recurring = scratch.write(counted, "recurring").join(hosts, "host").where(F.col("n") >= share * F.col("pages"))
-    return scratch.write(recurring.groupBy("host").agg(F.array_sort(F.collect_list("digest")).alias("template")), "templates")
+    lists = [F.array_sort(F.collect_list(x)).alias(name) for name, x in (("template", F.col("digest")), ("firm", F.when(F.col("n") >= firm * F.col("pages"), F.col("digest"))))]
+    return scratch.write(recurring.groupBy("host").agg(*lists), "templates")
 
 
 def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
@@ -351,8 +363,8 @@ def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataF
     scratch = Scratch(pages.sparkSession, "pages")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("text"))
     known = templates(rows, scratch, least, share)
-    size = known.agg(F.sum(F.size("template") * 8 + F.octet_length("host"))).first()[0] or 0
-    joined = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left").drop("host")
+    size = known.agg(F.sum((F.size("template") + F.size("firm")) * 8 + F.octet_length("host"))).first()[0] or 0
+    joined = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
     kind = dict(pages.dtypes)["page_id"]
     texts = joined.mapInArrow(trimmed(_texts), f"page_id {kind}, url string, text string")
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -114,6 +114,14 @@ def test_counts_are_those_of_a_plain_loop(spark):
     assert got == {h: sorted(x) for h, x in want.items()}
 
 
+def test_sentences_that_recur_are_no_template(spark):
+    """Pages without an article: a sentence of every tenth page stays, what all pages have goes, and so does a menu of every tenth."""
+    words = [f"<div>{' '.join(f'w{i}x{k}' for k in range(9))}</div>" for i in range(200)]
+    rows = [(i, "http://a.b/", f"<div><p>top</p></div><section>{w}{'<p>a common sentence</p>' if i % 10 == 0 else ''}</section>{'<div><ul><li>one<li>two</ul></div>' if i % 10 == 5 else ''}<p>All <i>rights</i></p>", "", "", "") for i, w in enumerate(words)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in templates.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: [w[5:-6], *(["a common sentence"] if i % 10 == 0 else [])] for i, w in enumerate(words)}
+
+
 def test_pages_of_the_table(spark):
     from muster.llm.queries import op13_html_extraction
 
