@@ -72,42 +72,35 @@ def same(x: bytes, y: bytes) -> bool:
     return len(x) == len(y) and all(a == b for a, b in zip(chunks(x), chunks(y), strict=True))
 
 
-GATHERED, COMPARED = "fp binary, size long, sha string, text binary, ids array<{}>", "local long, group binary, sha string"
+TEXTS, IDS, COMPARED = "fp binary, size long, sha string, text binary", "fp binary, size long, sha string, ids array<{}>", "fp binary, size long, sha string, group binary"
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
 
-def _gather(kind: pa.DataType, huge: int):
-    """Joins equal texts of one task, so that a hot text leaves it once, with the ids of its rows. Ids of huge texts leave alone."""
+def _texts(huge: int):
+    """Distinct texts of one task: a hot text leaves it once. Huge ones do not leave."""
 
     def run(batches):
         held: dict[tuple, list] = {}
         size = 0
 
         def leave():
-            rows = [(key[0], key[1], sha, text, ids) for key, found in held.items() for sha, text, ids in found]
+            rows = [(key[0], key[1], sha, text) for key, found in held.items() for sha, text in found]
             for i in range(0, len(rows), 2000):
-                yield _batch(rows[i : i + 2000], ["fp", "size", "sha", "text", "ids"], [pa.binary(), pa.int64(), pa.string(), pa.binary(), pa.list_(kind)])
+                yield _batch(rows[i : i + 2000], ["fp", "size", "sha", "text"], [pa.binary(), pa.int64(), pa.string(), pa.binary()])
 
         for batch in batches:
-            for own, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
+            for text in batch.column("text").cast(pa.large_binary()):
                 raw = text.as_py() or b""
                 if len(raw) >= huge:
-                    held.setdefault((b"", len(raw)), [(None, None, [])])[0][2].append(own)
-                    size += 40
                     continue
                 low = raw.translate(LOWER)
                 value, length = fingerprint(low)
                 found = held.setdefault((value.to_bytes(16, "big"), length), [])
-                for known in found:
-                    if same(known[1], low):
-                        known[2].append(own)
-                        size += 40
-                        break
-                else:
-                    found.append((hashlib.sha256(low).hexdigest(), low, [own]))
+                if not any(same(known, low) for _, known in found):
+                    found.append((hashlib.sha256(low).hexdigest(), low))
                     size += length + 240
                 if size > HELD:
                     yield from leave()
@@ -117,33 +110,69 @@ def _gather(kind: pa.DataType, huge: int):
     return run
 
 
+def _ids(kind: pa.DataType, huge: int):
+    """The ids of one task's rows by what their texts are known by; those of huge texts by nothing."""
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def leave():
+            rows = [(*key, ids) for key, ids in held.items()]
+            for i in range(0, len(rows), 2000):
+                yield _batch(rows[i : i + 2000], ["fp", "size", "sha", "ids"], [pa.binary(), pa.int64(), pa.string(), pa.list_(kind)])
+
+        for batch in batches:
+            for own, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
+                raw = text.as_py() or b""
+                if len(raw) >= huge:
+                    key = (b"", len(raw), None)
+                else:
+                    low = raw.translate(LOWER)
+                    value, length = fingerprint(low)
+                    key = (value.to_bytes(16, "big"), length, hashlib.sha256(low).hexdigest())
+                known = held.get(key)
+                if known is None:
+                    known = held[key] = []
+                    size += 300
+                known.append(own)
+                size += 40
+                if size > HELD:
+                    yield from leave()
+                    held, size = {}, 0
+        yield from leave()
+
+    return run
+
+
 def _compare(batches):
-    """Texts of equal fingerprint and length follow one another; each is compared with one text of each class found so far."""
-    last, classes = None, []
+    """Texts of equal fingerprint and length follow one another; each is compared with one text of each class found so far. A class is told by its sha-256, which no two share."""
+    last, classes, known_by = None, [], {}
     for batch in batches:
         out: list[tuple] = []
-        for fp, size, sha, text, local in zip(*(batch.column(c) for c in ("fp", "size", "sha", "text", "local")), strict=True):
-            key, text = (fp.as_py(), size.as_py()), text.as_py()
+        for fp, size, sha, text in zip(*(batch.column(c) for c in ("fp", "size", "sha", "text")), strict=True):
+            key, text, sha = (fp.as_py(), size.as_py()), text.as_py(), sha.as_py()
             if key != last:
-                last, classes = key, []
+                last, classes, known_by = key, [], {}
             number = next((i for i, known in enumerate(classes) if same(known, text)), len(classes))
             if number == len(classes):
                 classes.append(text)
-            out.append((local.as_py(), key[0] + key[1].to_bytes(8, "big") + number.to_bytes(4, "big"), sha.as_py()))
-        yield _batch(out, ["local", "group", "sha"], [pa.int64(), pa.binary(), pa.string()])
+                if known_by.setdefault(sha, number) != number:
+                    raise ValueError("two texts share a fingerprint, a length and a sha-256")
+                out.append((*key, sha, key[0] + key[1].to_bytes(8, "big") + number.to_bytes(4, "big")))
+        yield _batch(out, ["fp", "size", "sha", "group"], [pa.binary(), pa.int64(), pa.string(), pa.binary()])
 
 
 def _classed(scratch: Scratch, rows: DataFrame, kind: pa.DataType, ddl: str, huge: int) -> DataFrame:
     """group, sha, id of rows (id, text): equal groups for equal texts, null for huge ones.
 
-    A text leaves each task once, under a number of its own, for the comparison; the ids of its rows stay where they were gathered and learn their
-    group by that number, so that the ids of a hot text never meet in one task.
+    Texts go to the comparison alone, each once a task; ids are gathered in another reading, a row for each task and text, and learn their group in a join, which AQE splits:
+    the ids of a hot text never meet in one task.
     """
-    found = rows.mapInArrow(trimmed(_gather(kind, huge)), GATHERED.format(ddl)).withColumn("local", F.monotonically_increasing_id())
-    found = scratch.write(found, "gathered")
-    texts = found.where("text is not null").select("fp", "size", "sha", "text", "local")
-    named = texts.repartition("fp", "size").sortWithinPartitions("fp", "size").mapInArrow(trimmed(_compare), COMPARED)
-    return found.select("local", "ids").join(named, "local", "left").select("group", "sha", F.explode("ids").alias("id"))
+    texts = rows.select("text").mapInArrow(trimmed(_texts(huge)), TEXTS)
+    classes = scratch.write(texts.repartition("fp", "size").sortWithinPartitions("fp", "size").mapInArrow(trimmed(_compare), COMPARED), "classes")
+    ids = rows.mapInArrow(trimmed(_ids(kind, huge)), IDS.format(ddl))
+    return ids.join(classes, ["fp", "size", "sha"], "left").select("group", "sha", F.explode("ids").alias("id"))
 
 
 def _pieces(batches):
