@@ -102,8 +102,14 @@ def delete_one(df: DataFrame, key: str, value) -> DataFrame:
 
 
 def create_collection(spark: SparkSession, name: str, schema: str) -> None:
-    """A table with the schema and the store's own fields, if there is none."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}, natural_key string, batch_id string) USING parquet")
+    """A table with the schema and the store's own fields, if there is none; one that is there gets the fields that it lacks. A field of another type is an error, and nothing is changed then."""
+    wanted = T.StructType.fromDDL(f"{schema}, natural_key string, batch_id string")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in wanted)}) USING parquet")
+    have = {f.name.lower(): f.dataType for f in spark.table(name).schema}
+    if wrong := [f.name for f in wanted if have.get(f.name.lower(), f.dataType) != f.dataType]:
+        raise ValueError(f"{name} has another type of {', '.join(wrong)}")
+    if new := [f"`{f.name}` {f.dataType.simpleString()}" for f in wanted if f.name.lower() not in have]:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(new)})")
 
 
 def mirrored(primary: Callable[[DataFrame], DataFrame], mirror: Callable[[DataFrame], None]) -> Callable[[DataFrame], None]:

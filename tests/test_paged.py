@@ -58,3 +58,21 @@ def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
     assert paged.read(spark, path, SCHEMA).count() == 20 and all(json.loads(x) for p in paged.pages(path) for x in open(p))
     with pytest.raises(Exception, match="250"):
         one.write.format("pages").option("size", 251).mode("append").save(path)
+
+
+def test_a_collection_is_created_once_and_grows(spark):
+    from muster.sources import records
+
+    spark.sql("DROP TABLE IF EXISTS collection_of_test")
+    try:
+        records.create_collection(spark, "collection_of_test", "name string, n int")
+        spark.sql("INSERT INTO collection_of_test VALUES ('a', 1, 'k', 'b')")
+        for schema in ("name string, n int", "n int", "Name string, tags array<string>"):
+            records.create_collection(spark, "collection_of_test", schema)
+        assert [f.name for f in spark.table("collection_of_test").schema] == ["name", "n", "natural_key", "batch_id", "tags"]
+        assert spark.table("collection_of_test").first().asDict() == {"name": "a", "n": 1, "natural_key": "k", "batch_id": "b", "tags": None}
+        with pytest.raises(ValueError, match="another type of n"):
+            records.create_collection(spark, "collection_of_test", "n string, more int")
+        assert "more" not in spark.table("collection_of_test").columns
+    finally:
+        spark.sql("DROP TABLE IF EXISTS collection_of_test")
