@@ -49,7 +49,8 @@ def judged(answers: DataFrame, policy: Policy, answer: str = "answer") -> DataFr
     wide = parsed.withColumns({f"_{f}": x for f, x in zip(names, texts, strict=True)} | {f"_{e}": F.col("_a")[e] for e in policy.echoes})
     wide = wide.withColumns({f"_w{i}": T.words(F.col(f"_{f}")) for i, f in enumerate(names)})
     wide = wide.withColumns({f"_s{i}": T.shingles(F.col(f"_w{i}")) for i in range(len(names))})
-    prose = F.concat_ws(" ", *[F.coalesce(F.col(f"_{f}"), F.lit("")) for f in names])
+    wide = wide.withColumn("_prose", F.concat_ws(" ", *[F.coalesce(F.col(f"_{f}"), F.lit("")) for f in names]))
+    prose = F.col("_prose")
     tests: list[tuple[Column, str, Column]] = [(~F.col("_object"), "not_structured", F.lit("unparsed"))]
     for f, least in policy.fields.items():
         tests += [(F.col(f"_{f}").isNull(), "missing_field", F.lit(f"missing {f}")), (F.char_length(f"_{f}") < least, "too_short", F.lit(f"short {f}"))]
@@ -77,9 +78,11 @@ def judged(answers: DataFrame, policy: Policy, answer: str = "answer") -> DataFr
     if policy.named:
         surname = F.substring_index(F.col(policy.named), " ", 1)
         tests.append((~T.named(surname, [F.col(f"_{f}") for f in policy.named_in or names]), "missing_field", F.concat(F.lit("not named "), F.col(policy.named))))
-    failed = [F.coalesce(t, F.lit(False)) for t, _, _ in tests]
-    reason = F.coalesce(*[F.when(t, r) for t, (_, _, r) in zip(failed, tests, strict=True)])
-    kind = F.coalesce(*[F.when(t, F.lit(k)) for t, (_, k, _) in zip(failed, tests, strict=True)])
+    # Which test fails first is a column of its own, so that no test is made twice.
+    at = F.coalesce(*[F.when(F.coalesce(t, F.lit(False)), F.lit(i)) for i, (t, _, _) in enumerate(tests)])
+    wide = wide.withColumn("_failed", at)
+    reason = F.coalesce(*[F.when(F.col("_failed") == i, r) for i, (_, _, r) in enumerate(tests)])
+    kind = F.coalesce(*[F.when(F.col("_failed") == i, F.lit(k)) for i, (_, k, _) in enumerate(tests)])
     compared = policy.unique or [f for f in names if policy.fields[f] >= 100]
     unique = F.concat_ws(" ", *[F.col(f"_{f}") for f in compared]) if compared else F.lit(None).cast("string")
     kept = [F.col(f"_{f}").alias(f) for f in names]

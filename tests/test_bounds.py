@@ -79,3 +79,11 @@ def test_directors_by_look_up(spark):
                 near = bool(home) and region is not None and (home in region or region in home)
                 best.append((-round(0.5 + 0.3 * near + 0.2 * (founder and segment == "high"), 6), key))
         assert got.get(place) == ((min(best)[1], -min(best)[0]) if best else None), place
+
+
+def test_checks_of_answers_are_dealt_to_all_cores(spark):
+    from muster.catalog import queries
+
+    got = queries()["txt_accept_chain"](spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert got.where("(reject_kind is null) != (reject_reason is null)").count() == 0
