@@ -111,3 +111,11 @@ def test_a_fold_does_not_look_at_all_directors_for_each_place():
     out = compose._fold(compose.Rules(), None)(pd.DataFrame(rows))
     assert out["place"].notna().sum() == n and out["director"].dropna().is_unique
     assert time.process_time() - begin < 4
+
+
+def test_offers_of_one_segment_are_many_tasks(spark):
+    places = spark.range(40).select(F.col("id").alias("place"), F.lit("a").alias("segment"), F.lit("r").alias("region"))
+    catalog = spark.range(60).select(F.col("id").alias("service"), F.lit("a").alias("segment"), F.lit("all").alias("needs"), F.lit(100).alias("low"), F.lit(900).alias("high"))
+    got = compose.offers(places, catalog, {"all": F.lit(True)})
+    assert got.select("place", "service").distinct().count() == got.count() == 2400
+    assert got.select(F.spark_partition_id()).distinct().count() > 8
